@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 
 def to_cells(df: DataFrame, columns: Sequence[str], feature_ids: Sequence[int], *keep: str) -> DataFrame:
     """Unpivot ``columns`` to ``(keep…, feature_id, value)``, without missing cells."""
-    cells = F.array(
-        *[F.struct(F.lit(i).alias("feature_id"), F.col(c).alias("value")) for c, i in zip(columns, feature_ids)]
-    )
-    long = df.select(*keep, F.explode(cells).alias("cell")).select(*keep, "cell.feature_id", "cell.value")
+    pairs = [part for c, i in zip(columns, feature_ids) for part in (F.lit(i), F.col(c))]
+    long = df.select(*keep, F.stack(F.lit(len(columns)), *pairs).alias("feature_id", "value"))
     present = F.col("value").isNotNull()
     if dict(df.dtypes)[columns[0]] == "string":
         present = present & (F.col("value") != "")

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 # Numbers held at once in one intermediate array of a task.
 _BLOCK_NUMBERS = 4_000_000
+# A (feature, value) pair fits one integer: value ids are 32-bit.
+_VALUE_BITS = 32
 # Feature id under which the cluster mass per data row is reported.
 RECORD_MASS = -1
 
@@ -66,11 +68,11 @@ class LogModel:
             yield part, here, p
 
 
-def _add_by_row(totals: np.ndarray, rows: np.ndarray, p: np.ndarray) -> None:
-    order = np.argsort(rows, kind="stable")
-    ordered = rows[order]
+def _add_by_key(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
     starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    totals[ordered[starts]] += np.add.reduceat(p[order], starts, axis=0)
+    return ordered[starts], np.add.reduceat(n[order], starts, axis=0)
 
 
 def partial_statistics(
@@ -91,7 +93,8 @@ def partial_statistics(
             p *= weight[part, None]
             mass += p.sum(axis=0)
             for r in rows:
-                _add_by_row(totals, r, p)
+                hit, n = _add_by_key(r, p)
+                totals[hit] += n
     feature = np.repeat(np.arange(len(model.value_ids)), [len(v) for v in model.value_ids])
     value = np.concatenate([*model.value_ids, np.empty(0, np.int64)])
     touched = np.flatnonzero(totals[:-1].any(axis=1))
@@ -102,6 +105,23 @@ def partial_statistics(
     yield _statistics_batch(np.array([RECORD_MASS]), np.array([0]), mass[None, :])
 
 
+def summed_statistics(batches: Iterator[pa.RecordBatch], clusters: int) -> Iterator[pa.RecordBatch]:
+    """Total per (feature, value) of partial statistics that were shuffled by these two columns."""
+    keys, totals = np.empty(0, np.int64), np.empty((0, clusters))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        feature, value = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+        n = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, clusters)
+        keys, totals = _add_by_key(
+            np.concatenate([keys, (feature << _VALUE_BITS) + value]), np.concatenate([totals, n])
+        )
+    step = max(1, _BLOCK_NUMBERS // clusters)
+    for start in range(0, len(keys), step):
+        part = slice(start, start + step)
+        yield _statistics_batch(keys[part] >> _VALUE_BITS, keys[part] & (1 << _VALUE_BITS) - 1, totals[part])
+
+
 def _statistics_batch(feature: np.ndarray, value: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(feature, pa.int32()), pa.array(value, pa.int32()), vectors(n)], names=["feature_id", "value_id", "n"]

@@ -19,7 +19,14 @@ from pyspark.sql import functions as F
 from logmix.functions.uniform import uniform
 from logmix.functions.vectors import argmax, pick_by_cumulative, softmax
 from logmix.operators import kernel
-from logmix.operators.kernel import RECORD_MASS, LogModel, partial_statistics, sample_clusters, vectors
+from logmix.operators.kernel import (
+    RECORD_MASS,
+    LogModel,
+    partial_statistics,
+    sample_clusters,
+    summed_statistics,
+    vectors,
+)
 from logmix.operators.lookup import BROADCAST_BYTES, Keyed, lookup, split_budget
 from logmix.storage import stage
 
@@ -215,14 +222,25 @@ def joined_statistics(scored: DataFrame, columns: Sequence[str], posterior: str,
     )
 
 
+def sum_vectors(partial: DataFrame, domain: DataFrame, clusters: int) -> DataFrame:
+    """Add up statistics held as arrays. Every value of the domain appears, with zeros if nothing fell on it.
+
+    Each task sent one array per value, so no value has more rows than there were tasks; shuffling whole arrays moves a
+    fraction of the bytes and rows of one row per cluster.
+    """
+    zeros = domain.select("feature_id", "value_id", F.array_repeat(F.lit(0.0), clusters).alias("n"))
+
+    def run(batches):
+        return summed_statistics(batches, clusters)
+
+    summed = partial.unionByName(zeros).repartition("feature_id", "value_id").mapInArrow(run, STATISTICS)
+    return summed.select("feature_id", "value_id", F.posexplode("n").alias("k", "n"))
+
+
 def sum_statistics(partial: DataFrame, domain: DataFrame, clusters: int) -> DataFrame:
-    """Add up partial statistics; every (value, cluster) of the domain appears, with 0 if nothing fell on it."""
-    if dict(partial.dtypes)["n"].startswith("array"):
-        partial = partial.select("feature_id", "value_id", F.posexplode("n").alias("k", "n"))
+    """The same for statistics in long form ``(feature_id, value_id, k, n)``."""
     zeros = with_clusters(domain, clusters).withColumn("n", F.lit(0.0))
-    return (
-        partial.unionByName(zeros).groupBy("feature_id", "value_id", "k").agg(F.sum("n").alias("n"))
-    )
+    return partial.unionByName(zeros).groupBy("feature_id", "value_id", "k").agg(F.sum("n").alias("n"))
 
 
 def cluster_mass(statistics: DataFrame, per: str) -> DataFrame:
@@ -231,13 +249,17 @@ def cluster_mass(statistics: DataFrame, per: str) -> DataFrame:
     return statistics.where(wanted).groupBy("k").agg(F.sum("n").alias("mass"))
 
 
-def update_theta(statistics: DataFrame, domain: DataFrame, beta: float | None = None) -> DataFrame:
+def domain_sizes(domain: DataFrame) -> dict[int, int]:
+    """V for each feature."""
+    return {r["feature_id"]: r["v"] for r in domain.groupBy("feature_id").agg(F.count("*").alias("v")).collect()}
+
+
+def update_theta(statistics: DataFrame, sizes: dict[int, int], beta: float | None = None) -> DataFrame:
     """theta = (beta + n), scaled per feature and cluster. ``beta`` is 1/V by default."""
-    counted = statistics.where(F.col("feature_id") >= 0)
-    if beta is not None:
-        return normalize_theta(counted.withColumn("x", F.col("n") + F.lit(float(beta))))
-    sizes = domain.groupBy("feature_id").agg((F.lit(1.0) / F.count("*")).alias("beta"))
-    return normalize_theta(counted.join(sizes, "feature_id").withColumn("x", F.col("n") + F.col("beta")))
+    pseudo = [(d, 1.0 / v if beta is None else float(beta)) for d, v in sizes.items()]  # one row per feature
+    betas = statistics.sparkSession.createDataFrame(pseudo, "feature_id int, beta double")
+    raised = statistics.join(F.broadcast(betas), "feature_id").withColumn("x", F.col("n") + F.col("beta"))
+    return normalize_theta(raised)
 
 
 def update_prior(mass: Sequence[float], alpha: float) -> list[float]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,7 @@ from logmix.operators import mixture as mx
 from logmix.operators.cells import encoded_value_counts
 from logmix.storage import stage
 
+Start = tuple[DataFrame, Sequence[float]]
 # Identical rows are collapsed only if that shrinks the table to this share or less.
 _COLLAPSE_SHARE = 0.5
 
@@ -40,9 +41,13 @@ class Model:
         return mx.model_bytes(self.domain.count(), self.clusters) <= budget
 
 
-def distinct_patterns(encoded: DataFrame, columns: Sequence[str], collapse: bool | str = "auto") -> DataFrame:
+def distinct_patterns(
+    encoded: DataFrame, columns: Sequence[str], collapse: bool | str = "auto", stored: bool = False
+) -> DataFrame:
     """Feature columns and a weight ``w``, stored once for all iterations.
 
+    If ``encoded`` is a ``stored`` table already and its rows are not collapsed, it is used where it is.
+
     Identical rows share one posterior, so a row with its count is exact. Where rows are mostly unique the grouping
     would only shuffle the whole table, so ``"auto"`` first estimates the number of distinct rows in a narrow pass; the
     estimate picks the layout and never changes a result.
@@ -57,6 +62,8 @@ def distinct_patterns(encoded: DataFrame, columns: Sequence[str], collapse: bool
         rows = features.groupBy(*columns).agg(F.count("*").alias(mx.WEIGHT))
     else:
         rows = features.withColumn(mx.WEIGHT, F.lit(1).cast("bigint"))
+        if stored:
+            return rows
     return stage(rows, "patterns")
 
 
@@ -79,10 +86,9 @@ def estep_statistics(
     if fits:
         model = mx.collect_log_model(theta, prior, len(columns))
         partial = mx.broadcast_statistics(patterns.sparkSession, patterns, columns, model, hard)
-    else:
-        scored = mx.joined_posterior(patterns, columns, theta, domain, prior, "_p", budget)
-        partial = mx.joined_statistics(scored, columns, "_p", hard)
-    return mx.sum_statistics(partial, domain, len(prior))
+        return mx.sum_vectors(partial, domain, len(prior))
+    scored = mx.joined_posterior(patterns, columns, theta, domain, prior, "_p", budget)
+    return mx.sum_statistics(mx.joined_statistics(scored, columns, "_p", hard), domain, len(prior))
 
 
 def fit(
@@ -96,8 +102,10 @@ def fit(
     alpha: float = -1.0,
     beta: float | None = None,
     seed: int = 0,
-    start: tuple[DataFrame, Sequence[float]] | None = None,
+    start: Start | Callable[[DataFrame], Start] | None = None,
     collapse: bool | str = "auto",
+    stored: bool = False,
+    tasks: int | None = None,
     keep_trace: bool = False,
     model_bytes: int = mx.MODEL_BYTES,
 ) -> Model:
@@ -105,21 +113,27 @@ def fit(
 
     ``mode`` is "soft" or "hard" (each row counts for its likeliest cluster). ``prior`` weighs clusters by present
     cells ("cells") or by rows ("records"). ``alpha <= 0`` means 1/K, and no ``beta`` means 1/V for each feature.
-    ``start`` is a first ``(theta, prior)``; by default a random one. A model above ``model_bytes`` is never brought
-    to the driver: it is joined to the data instead.
+    ``start`` is a first ``(theta, prior)``, or a function that makes one for the domain; by default a random one.
+    ``stored`` tells that ``encoded`` is a written table. ``tasks`` merges input splits to that number: each task sends
+    its sums for the whole model, so on a large table fewer, longer tasks shuffle less. A model above ``model_bytes``
+    is never brought to the driver: it is joined to the data instead.
     """
     if clusters <= 0 or iterations <= 0 or not columns:
         raise ValueError("clusters, iterations and the number of features must be positive")
     if mode not in ("soft", "hard") or prior not in ("cells", "records"):
         raise ValueError("mode is 'soft' or 'hard'; prior is 'cells' or 'records'")
-    patterns = distinct_patterns(encoded, columns, collapse)
+    patterns = distinct_patterns(encoded, columns, collapse, stored)
+    if tasks:
+        patterns = patterns.coalesce(tasks)
     domain = stage(data_domain(patterns, columns), "domain")
-    fits = mx.model_bytes(domain.count(), clusters) <= model_bytes
+    sizes = mx.domain_sizes(domain)
+    fits = mx.model_bytes(sum(sizes.values()), clusters) <= model_bytes
     pseudo = alpha if alpha > 0 else 1.0 / clusters
     if start is None:
-        theta, weights = stage(mx.random_theta(domain, clusters, seed), "theta"), mx.random_prior(clusters, seed)
+        theta, weights = mx.random_theta(domain, clusters, seed), mx.random_prior(clusters, seed)
+        theta = theta if fits else stage(theta, "theta")
     else:
-        theta, weights = start[0], list(start[1])
+        theta, weights = start(domain) if callable(start) else start
     trace = []
     for _ in range(iterations):
         statistics = stage(
@@ -127,7 +141,7 @@ def fit(
         )
         mass = {r["k"]: r["mass"] for r in mx.cluster_mass(statistics, prior).collect()}  # K rows
         weights = mx.update_prior([mass.get(k, 0.0) for k in range(clusters)], pseudo)
-        theta = mx.update_theta(statistics, domain, beta)
+        theta = mx.update_theta(statistics, sizes, beta)
         if not fits:
             theta = stage(theta, "theta")
         if keep_trace:

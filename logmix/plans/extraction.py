@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmix.functions.text import join_fields, normalize_text
-from logmix.sources.text import split_tsv
+from logmix.sources.text import read_tsv, split_tsv
 
-# The width of a log line, and its text fields by position.
-LOG_WIDTH = 63
-TEXT_FIELDS = {9: "exactCanonicalQuery", 14: "title", 15: "description", 16: "displayUrl", 17: "targetUrl"}
+# The columns of a log line in order, and those that hold text.
+LOG_COLUMNS = (
+    "pvid sec adRank page_position dude n_ads pagenum rawQuery canonicalQuery exactCanonicalQuery osqp bucket timestamp "
+    "matchType title description displayUrl targetUrl sitelinkNum sitelinkClicks adClicks adSiteLinkClicks clkbMS ec "
+    "cpcMl cpcSb bid rankScore relevanceScore fddEcpm quality_score dwell_time bcookie ip birthYear gender browser "
+    "userAgent referUrl ucp scb effectiveFddThresholds iguid model device_type screen_width screen_height carrier srcspc "
+    "advertiser_id campaign_id adgroup_id ad_id bidded_term_id apollo_advertiser_id apollo_campaign_id apollo_adgroup_id "
+    "apollo_ad_id apollo_bidded_term_id NormalizedKeyword ClickabilityScore deviceCategory source"
+).split()
+TEXT_COLUMNS = "exactCanonicalQuery title description displayUrl targetUrl".split()
+LOG_WIDTH = len(LOG_COLUMNS)
+
+
+def read_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The log as 63 named string columns."""
+    return read_tsv(spark, path, LOG_COLUMNS)
 
 
 def select_text_fields(lines: DataFrame, *keep: str, strict: bool = False) -> DataFrame:
@@ -21,14 +34,13 @@ def select_text_fields(lines: DataFrame, *keep: str, strict: bool = False) -> Da
             F.raise_error(F.concat(F.lit(f"expected {LOG_WIDTH} cells, found "), width.cast("string")))
         )
         lines = lines.withColumn("value", checked)
-    names = [TEXT_FIELDS.get(i, f"c{i}") for i in range(max(TEXT_FIELDS) + 1)]
-    return split_tsv(lines, names, *keep).select(*keep, *TEXT_FIELDS.values())
+    return split_tsv(lines, LOG_COLUMNS, *keep).select(*keep, *TEXT_COLUMNS)
 
 
 def extract_text(lines: DataFrame, *keep: str, strict: bool = False) -> DataFrame:
     """Cleaned text fields and, as ``line``, the fields joined by TABs. One narrow pass without a shuffle."""
     fields = select_text_fields(lines, *keep, strict=strict)
     clean = fields.select(
-        *keep, *[normalize_text(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in TEXT_FIELDS.values()]
+        *keep, *[normalize_text(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in TEXT_COLUMNS]
     )
-    return clean.withColumn("line", join_fields(*[F.col(c) for c in TEXT_FIELDS.values()]))
+    return clean.withColumn("line", join_fields(*[F.col(c) for c in TEXT_COLUMNS]))

@@ -108,8 +108,10 @@ def index_features(
     data, columns, positions = project_features(raw, spec, *keep)
     counts = stage(value_counts(data, columns, positions), "value-counts")
     sizes = within_cutoff(cardinality(counts), min_cutoff, max_cutoff, min_exclusive)
-    kept = stage(kept_fields(raw_fields(spec), sizes), "kept")
+    fields = kept_fields(raw_fields(spec), sizes)
+    rows = fields.collect()  # one row per column
+    kept = raw.sparkSession.createDataFrame(rows, fields.schema)
     dictionary = stage(build_dictionary(counts, kept, max_cutoff), "dictionary", by=["feature_id"])
-    used = {r["pos"] for r in kept.collect()}  # one row per column
+    used = {r["pos"] for r in rows}
     kept_columns = [c for c, p in zip(columns, positions) if p in used]
     return Index(dictionary, kept, encode(data, kept_columns, dictionary, *keep, budget=budget))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +39,15 @@ def train_logistic(
     step: float = 1.0,
     seed: int = 42,
 ) -> list[float]:
-    """Weights after a fixed number of steps against the gradient. Only the gradient reaches the driver."""
+    """Weights after a fixed number of steps against the gradient.
+
+    The columns in use are kept for the next pass, on disk where memory ends. Only the gradient reaches the driver.
+    """
+    names = [f"x{i}" for i in range(len(x))]
+    used = points.select(y.alias("y"), *[c.alias(n) for c, n in zip(x, names)]).persist(StorageLevel.MEMORY_AND_DISK)
     w = list(weights) if weights is not None else start_weights(len(x), seed)
     for _ in range(iterations):
-        g = gradient(points, y, x, w).first()
+        g = gradient(used, F.col("y"), [F.col(n) for n in names], w).first()
         w = [wi - step * (gi or 0.0) for wi, gi in zip(w, g)]
+    used.unpersist()
     return w

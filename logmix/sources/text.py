@@ -10,10 +10,28 @@ from pyspark.sql import functions as F
 from logmix.functions.text import split_lines
 
 
+# An input below this size may arrive as one or two tasks; a larger one is cut into enough of them by the scan itself.
+SMALL_INPUT_BYTES = 512 * 1024 * 1024
+
+
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Spread rows over ``partitions`` tasks; by default over all cores, and only if the input is small.
+
+    A single file with one row group is one task however many cores wait. A large input stays as it is: moving it would
+    cost a shuffle and gain nothing. ``df`` should be a scan, whose row numbers a retried task repeats; hashing them
+    spreads equal rows too and needs no sort.
+    """
+    if partitions is None:
+        if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SMALL_INPUT_BYTES:
+            return df
+        partitions = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(partitions, F.monotonically_increasing_id())
+
+
 def read_lines(spark: SparkSession, path: str | list[str], partitions: int | None = None) -> DataFrame:
-    """Lines of a file, folder or glob as column ``value``; ``partitions`` spreads them over more tasks."""
+    """Lines of a file, folder or glob as column ``value``; ``partitions`` spreads them over that many tasks."""
     lines = spark.read.text(path)
-    return lines.repartition(partitions) if partitions else lines
+    return spread(lines, partitions) if partitions else lines
 
 
 def lines_of(df: DataFrame, text: str, *keep: str) -> DataFrame:

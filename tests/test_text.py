@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from logmix.functions import text as tx
 from logmix.plans.counting import word_count
-from logmix.plans.extraction import LOG_WIDTH, TEXT_FIELDS, extract_text
+from logmix.plans.extraction import LOG_COLUMNS, LOG_WIDTH, TEXT_COLUMNS, extract_text, read_log
 
 
 def apply(spark, function, values):
@@ -82,8 +82,15 @@ def test_word_count_with_a_hot_word(spark):
 
 
 def log_line(**fields):
-    cells = [fields.get(TEXT_FIELDS.get(i), f"c{i}") for i in range(LOG_WIDTH)]
-    return "\t".join(cells)
+    return "\t".join(fields.get(name, f"c{i}") for i, name in enumerate(LOG_COLUMNS))
+
+
+def test_log_columns(spark, tmp_path):
+    assert LOG_WIDTH == len(set(LOG_COLUMNS)) == 63
+    assert [LOG_COLUMNS.index(c) for c in TEXT_COLUMNS] == [9, 14, 15, 16, 17]
+    (tmp_path / "log.tsv").write_text(log_line(title="T", source="") + "\n")
+    row = read_log(spark, str(tmp_path / "log.tsv")).first()
+    assert row["title"] == "T" and row["pvid"] == "c0" and row["source"] is None
 
 
 def test_extract_text(spark):

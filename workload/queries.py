@@ -320,7 +320,7 @@ def nb_prior_records(spark, sf_dir):
 @query
 def nb_mstep(spark, sf_dir):
     statistics, domain = _statistics(spark, sf_dir, hard=False)
-    return mx.update_theta(stage(statistics, "statistics"), domain).withColumn("p", rounded("p"))
+    return mx.update_theta(stage(statistics, "statistics"), mx.domain_sizes(domain)).withColumn("p", rounded("p"))
 
 
 # --- mixture model: whole fits ---
@@ -329,10 +329,7 @@ def nb_mstep(spark, sf_dir):
 def fit_lineitem(spark, sf_dir, iterations: int, **options) -> cl.Model:
     index = t.lineitem_index(spark, sf_dir)
     encoded = stage(index.encoded, "encoded")
-    domain = cl.data_domain(encoded.withColumn(mx.WEIGHT, F.lit(1)), index.columns)
-    return cl.fit(
-        encoded, index.columns, CLUSTERS, iterations, start=t.arithmetic_start(stage(domain, "domain")), **options
-    )
+    return cl.fit(encoded, index.columns, CLUSTERS, iterations, start=t.arithmetic_start, stored=True, **options)
 
 
 def _model_table(model: cl.Model) -> DataFrame:
@@ -367,8 +364,7 @@ def nb_score(spark, sf_dir):
     """Two soft iterations on parts, then the probabilities of every part."""
     index = t.part_index(spark, sf_dir)
     encoded = stage(index.encoded, "encoded")
-    domain = stage(cl.data_domain(cl.distinct_patterns(encoded, index.columns), index.columns), "domain")
-    model = cl.fit(encoded, index.columns, CLUSTERS, 2, start=t.arithmetic_start(domain))
+    model = cl.fit(encoded, index.columns, CLUSTERS, 2, start=t.arithmetic_start, stored=True)
     return _by_cluster(cl.posterior(encoded, index.columns, model), "p_partkey")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logmix.functions.uniform import uniform
 from logmix.operators.mixture import normalize_theta, with_clusters
 from logmix.plans.indexing import Index, index_features
-from logmix.sources.text import lines_of, parse_spec
+from logmix.sources.text import lines_of, parse_spec, spread
 
 CLUSTERS = 4
 # Cut-offs of the indexing queries.
@@ -18,7 +18,7 @@ LOGISTIC_STEP = 1e-5
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def spec(spark: SparkSession, *lines: str) -> DataFrame:
