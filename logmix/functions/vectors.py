@@ -24,51 +24,11 @@ def dot(weights: Sequence[float], components: Sequence[Column]) -> Column:
     return reduce(lambda s, wx: s + wx, [F.lit(float(w)) * x for w, x in zip(weights, components)])
 
 
-def sum_components(vector: Column, size: int) -> list[Column]:
-    """One sum aggregate per component of an array column."""
-    return [F.sum(F.get(vector, F.lit(i))).alias(f"s{i}") for i in range(size)]
-
-
 def argmax(vector: Column) -> Column:
     """0-based place of the largest element, the first one on ties."""
     return (F.array_position(vector, F.array_max(vector)) - 1).cast("int")
 
 
-def bind(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once, however often the body mentions it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def softmax(logs: Column) -> Column:
-    """Exponentials of a log vector, scaled to sum to 1 without underflow."""
-    shifted = bind(
-        logs, lambda a: bind(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top)))
-    )
-    return bind(
-        shifted,
-        lambda a: bind(
-            F.aggregate(a, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(a, lambda x: x / total)
-        ),
-    )
-
-
-def pick_by_cumulative(probabilities: Column, u: Column) -> Column:
-    """First index whose cumulative probability reaches ``u``; the last one with mass if rounding leaves a gap."""
-    step = lambda s, p: F.struct(
-        (s["at"] + 1).alias("at"),
-        (s["cum"] + p).alias("cum"),
-        F.when(s["found"], s["hit"])
-        .when((p > 0) | (s["cum"] + p >= u), s["at"] + 1)
-        .otherwise(s["hit"])
-        .alias("hit"),
-        (s["found"] | (s["cum"] + p >= u)).alias("found"),
-    )
-    start = F.struct(
-        F.lit(-1).alias("at"), F.lit(0.0).alias("cum"), F.lit(-1).alias("hit"), F.lit(False).alias("found")
-    )
-    return F.aggregate(probabilities, start, step, lambda s: s["hit"])
-
-
 def vector_line(components: Sequence[Column]) -> Column:
     """Integers joined by one space; a missing one prints as -1."""
     return F.concat_ws(" ", *[F.coalesce(c.cast("string"), F.lit("-1")) for c in components])

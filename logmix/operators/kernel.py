@@ -1,7 +1,8 @@
 """The per-batch arithmetic of the mixture model, on Arrow batches inside Spark tasks.
 
 Adding up D table rows of K numbers for each data row is array work: on numpy it runs many times faster than through
-higher-order SQL functions. Spark still partitions the rows, combines the partial sums and keeps the model tables.
+higher-order SQL functions. Spark still partitions the rows, joins what is too large to broadcast, shuffles the partial
+sums and keeps the model tables.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ import pyarrow.compute as pc
 
 # Numbers held at once in one intermediate array of a task.
 _BLOCK_NUMBERS = 4_000_000
+# Sums of joined features that a task holds before it passes some on, and the numbers in the heaviest it then keeps.
+_HELD_NUMBERS = 8_000_000
+_KEPT_NUMBERS = 800_000
 # A (feature, value) pair fits one integer: value ids are 32-bit.
 _VALUE_BITS = 32
 # Feature id under which the cluster mass per data row is reported.
@@ -23,11 +27,15 @@ RECORD_MASS = -1
 
 @dataclass(frozen=True)
 class LogModel:
-    """ln p(value | cluster) with one row per (feature, value), one more of zeros for a missing cell, and ln prior."""
+    """ln prior, and ln p(value | cluster) for the broadcast features.
+
+    ``log_theta`` has one row per (feature, value) and one more of zeros for a missing cell. ``value_ids`` is None for
+    a joined feature, whose ln p arrive with the data rows.
+    """
 
     log_theta: np.ndarray
     log_prior: np.ndarray
-    value_ids: list[np.ndarray]
+    value_ids: list[np.ndarray | None]
     first_row: list[int]
 
     def arrays(self) -> tuple:
@@ -35,37 +43,62 @@ class LogModel:
         return self.log_theta, self.log_prior, self.value_ids, self.first_row
 
     @property
-    def missing_row(self) -> int:
-        return len(self.log_theta) - 1
+    def clusters(self) -> int:
+        return len(self.log_prior)
+
+    @property
+    def joined(self) -> list[int]:
+        return [d for d, known in enumerate(self.value_ids) if known is None]
 
-    def table_rows(self, feature: int, column: pa.Array) -> np.ndarray:
-        """The row of ``log_theta`` for each cell of a feature; an id outside the model is an error."""
-        ids = pc.fill_null(column, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    def table_rows(self, feature: int, ids: np.ndarray) -> np.ndarray:
+        """The row of ``log_theta`` for each cell of a broadcast feature."""
         known = self.value_ids[feature]
         present = ids >= 0
         place = np.searchsorted(known, ids)
-        if len(known):
-            unknown = present & (known[np.minimum(place, len(known) - 1)] != ids)
-        else:
-            unknown = present
-        if unknown.any():
-            raise ValueError(f"value id {ids[unknown][0]} of feature {feature} is not in the model")
-        return np.where(present, place + self.first_row[feature], self.missing_row)
-
-    def blocks(self, columns: list[pa.Array]) -> Iterator[tuple[slice, list[np.ndarray], np.ndarray]]:
-        """Posterior cluster probabilities, a block of rows at a time: ``(rows, table rows per feature, p)``."""
-        rows = [self.table_rows(d, c) for d, c in enumerate(columns)]
-        size, step = len(columns[0]), max(1, _BLOCK_NUMBERS // len(self.log_prior))
+        unknown = present & (known[np.minimum(place, len(known) - 1)] != ids) if len(known) else present
+        _fail_on_unknown(feature, ids, unknown)
+        return np.where(present, place + self.first_row[feature], len(self.log_theta) - 1)
+
+    def joined_logs(self, feature: int, ids: np.ndarray, logs: pa.ListArray) -> np.ndarray:
+        """The ln p of each cell of a joined feature, zeros for a missing cell."""
+        found = logs.is_valid().to_numpy(zero_copy_only=False)
+        _fail_on_unknown(feature, ids, (ids >= 0) & ~found)
+        dense = np.zeros((len(ids), self.clusters))
+        dense[found] = logs.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, self.clusters)
+        return dense
+
+    def blocks(self, columns: list[pa.Array]) -> Iterator[tuple[slice, dict[int, np.ndarray], np.ndarray]]:
+        """Posterior probabilities, a block of rows at a time: ``(rows, cells by feature, p)``.
+
+        ``columns`` are the value ids of all features, then the ln p of the joined ones. A block's cells are rows of
+        ``log_theta`` for a broadcast feature, value ids for a joined one.
+        """
+        features, joined = len(self.value_ids), self.joined
+        size, step = len(columns[0]), max(1, _BLOCK_NUMBERS // self.clusters)
         for start in range(0, size, step):
             part = slice(start, min(start + step, size))
-            here = [r[part] for r in rows]
+            here = [c.slice(start, part.stop - start) for c in columns]
+            cells = {d: _ids(c) for d, c in enumerate(here[:features])}
             p = np.tile(self.log_prior, (part.stop - start, 1))
-            for r in here:
-                p += self.log_theta[r]
+            for d, logs in zip(joined, here[features:]):
+                p += self.joined_logs(d, cells[d], logs)
+            for d in range(features):
+                if d not in joined:
+                    cells[d] = self.table_rows(d, cells[d])
+                    p += self.log_theta[cells[d]]
             p -= p.max(axis=1, keepdims=True)
             np.exp(p, out=p)
             p /= p.sum(axis=1, keepdims=True)
-            yield part, here, p
+            yield part, cells, p
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(column, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _fail_on_unknown(feature: int, ids: np.ndarray, unknown: np.ndarray) -> None:
+    if unknown.any():
+        raise ValueError(f"value id {ids[unknown][0]} of feature {feature} is not in the model")
 
 
 def _add_by_key(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,31 +111,44 @@ def _add_by_key(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def partial_statistics(
     model: LogModel, batches: Iterator[pa.RecordBatch], hard: bool
 ) -> Iterator[pa.RecordBatch]:
-    """Weighted cluster mass per (feature, value) over one task's rows; the last column is the row weight."""
+    """Weighted cluster mass per (feature, value) over one task's rows; the last column is the row weight.
+
+    The sums of broadcast features stay within the size of the model. Those of joined features may outgrow a task: then
+    all but the heaviest are passed on, so that even a value found in most rows leaves the task only once.
+    """
     totals = np.zeros_like(model.log_theta)
     mass = np.zeros_like(model.log_prior)
+    joined = model.joined
+    keys, sums = np.empty(0, np.int64), np.empty((0, model.clusters))
     for batch in batches:
         if not batch.num_rows:
             continue
         weight = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(float)
-        for part, rows, p in model.blocks(batch.columns[:-1]):
+        for part, cells, p in model.blocks(batch.columns[:-1]):
             if hard:
                 best = p.argmax(axis=1)
                 p = np.zeros_like(p)
                 p[np.arange(len(p)), best] = 1.0
             p *= weight[part, None]
             mass += p.sum(axis=0)
-            for r in rows:
-                hit, n = _add_by_key(r, p)
-                totals[hit] += n
-    feature = np.repeat(np.arange(len(model.value_ids)), [len(v) for v in model.value_ids])
-    value = np.concatenate([*model.value_ids, np.empty(0, np.int64)])
+            for d, cell in cells.items():
+                if d not in joined:
+                    hit, n = _add_by_key(cell, p)
+                    totals[hit] += n
+                elif (present := cell >= 0).any():
+                    key = (d << _VALUE_BITS) + cell[present]
+                    keys, sums = _add_by_key(np.concatenate([keys, key]), np.concatenate([sums, p[present]]))
+        if sums.size > _HELD_NUMBERS:
+            light = np.argsort(sums.sum(axis=1))[: -max(1, _KEPT_NUMBERS // model.clusters)]
+            yield from _by_key(keys[light], sums[light])
+            keys, sums = np.delete(keys, light), np.delete(sums, light, axis=0)
+    yield from _by_key(keys, sums)
+    sizes = [0 if known is None else len(known) for known in model.value_ids]
+    feature = np.repeat(np.arange(len(sizes)), sizes)
+    value = np.concatenate([np.empty(0, np.int64), *[known for known in model.value_ids if known is not None]])
     touched = np.flatnonzero(totals[:-1].any(axis=1))
-    step = max(1, _BLOCK_NUMBERS // len(mass))
-    for start in range(0, len(touched), step):
-        hit = touched[start : start + step]
-        yield _statistics_batch(feature[hit], value[hit], totals[hit])
-    yield _statistics_batch(np.array([RECORD_MASS]), np.array([0]), mass[None, :])
+    yield from _statistics(feature[touched], value[touched], totals[touched])
+    yield from _statistics(np.array([RECORD_MASS]), np.array([0]), mass[None, :])
 
 
 def summed_statistics(batches: Iterator[pa.RecordBatch], clusters: int) -> Iterator[pa.RecordBatch]:
@@ -116,16 +162,19 @@ def summed_statistics(batches: Iterator[pa.RecordBatch], clusters: int) -> Itera
         keys, totals = _add_by_key(
             np.concatenate([keys, (feature << _VALUE_BITS) + value]), np.concatenate([totals, n])
         )
-    step = max(1, _BLOCK_NUMBERS // clusters)
-    for start in range(0, len(keys), step):
-        part = slice(start, start + step)
-        yield _statistics_batch(keys[part] >> _VALUE_BITS, keys[part] & (1 << _VALUE_BITS) - 1, totals[part])
+    yield from _by_key(keys, totals)
+
+
+def _by_key(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    return _statistics(keys >> _VALUE_BITS, keys & (1 << _VALUE_BITS) - 1, n)
 
 
-def _statistics_batch(feature: np.ndarray, value: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(feature, pa.int32()), pa.array(value, pa.int32()), vectors(n)], names=["feature_id", "value_id", "n"]
-    )
+def _statistics(feature: np.ndarray, value: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    step = max(1, _BLOCK_NUMBERS // n.shape[1])
+    for start in range(0, len(n), step):
+        part = slice(start, start + step)
+        columns = [pa.array(feature[part], pa.int32()), pa.array(value[part], pa.int32()), vectors(n[part])]
+        yield pa.RecordBatch.from_arrays(columns, names=["feature_id", "value_id", "n"])
 
 
 def vectors(rows: np.ndarray) -> pa.ListArray:
@@ -139,3 +188,18 @@ def sample_clusters(p: np.ndarray, u: np.ndarray) -> np.ndarray:
     reached = np.cumsum(p, axis=1) >= u[:, None]
     last = p.shape[1] - 1 - (p[:, ::-1] > 0).argmax(axis=1)
     return np.where(reached.any(axis=1), reached.argmax(axis=1), last)
+
+
+def scores(model: LogModel, columns: list[pa.Array], kind: str) -> pa.Array:
+    """Posterior vectors ("soft"), likeliest clusters ("argmax"), or draws ("sampled") by a last column of uniforms."""
+    cells = columns[:-1] if kind == "sampled" else columns
+    parts = [pa.array([], pa.list_(pa.float64()) if kind == "soft" else pa.int32())]
+    for part, _, p in model.blocks(cells):
+        if kind == "soft":
+            parts.append(vectors(p))
+        elif kind == "argmax":
+            parts.append(pa.array(p.argmax(axis=1), pa.int32()))
+        else:
+            u = columns[-1].to_numpy(zero_copy_only=False)[part]
+            parts.append(pa.array(sample_clusters(p, u), pa.int32()))
+    return pa.concat_arrays(parts)

@@ -1,8 +1,8 @@
 """The steps of expectation-maximisation for a mixture of categorical distributions, as DataFrame operators.
 
 Tables: domain ``(feature_id, value_id, cnt, patterns)``, statistics ``(feature_id, value_id, k, n)``, theta
-``(feature_id, value_id, k, p)``. Each data row may stand for ``w`` identical ones. A model that fits the broadcast
-budget runs in Arrow batches; a larger one is joined to the data feature by feature with built-in functions.
+``(feature_id, value_id, k, p)``. Each data row may stand for ``w`` identical ones. Features are broadcast as far as
+they fit the budget for the model; the others are joined to the data, so a model may be of any size.
 """
 
 from __future__ import annotations
@@ -11,23 +11,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmix.functions.uniform import uniform
-from logmix.functions.vectors import argmax, pick_by_cumulative, softmax
 from logmix.operators import kernel
-from logmix.operators.kernel import (
-    RECORD_MASS,
-    LogModel,
-    partial_statistics,
-    sample_clusters,
-    summed_statistics,
-    vectors,
-)
-from logmix.operators.lookup import BROADCAST_BYTES, Keyed, lookup, split_budget
+from logmix.operators.kernel import RECORD_MASS, LogModel, partial_statistics, scores, summed_statistics
+from logmix.operators.lookup import Keyed, lookup, split_budget
 from logmix.storage import stage
 
 # The batch arithmetic travels with the task, so executors need no installed copy of this package.
@@ -80,153 +71,90 @@ def prior_table(spark: SparkSession, prior: Sequence[float]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(map(float, prior))), "k int, p double")
 
 
-def model_bytes(domain_rows: int, clusters: int) -> int:
-    return 8 * (domain_rows + 1) * clusters
+def domain_sizes(domain: DataFrame) -> dict[int, int]:
+    """V for each feature."""
+    return {r["feature_id"]: r["v"] for r in domain.groupBy("feature_id").agg(F.count("*").alias("v")).collect()}
 
 
-def collect_log_model(theta: DataFrame, prior: Sequence[float], features: int) -> LogModel:
-    """The model as arrays on the driver. Callers check ``model_bytes`` first."""
-    rows = theta.select("feature_id", "value_id", "k", "p").toArrow()
-    feature, value, k, p = (rows.column(i).to_numpy() for i in range(4))
-    order = np.lexsort((k, value, feature))
+def broadcast_features(sizes: dict[int, int], clusters: int, budget: int = MODEL_BYTES) -> set[int]:
+    """The features whose part of the model is broadcast: smallest first, within ``budget`` bytes."""
+    return split_budget({d: 8 * v * clusters for d, v in sizes.items()}, budget)
+
+
+def collect_log_model(theta: DataFrame, prior: Sequence[float], features: int, broadcast: set[int]) -> LogModel:
+    """The prior and the ``broadcast`` features, whose size was checked, as arrays on the driver."""
     clusters = len(prior)
-    per_value = order.reshape(-1, clusters)
+    small = theta.where(F.col("feature_id").isin(sorted(broadcast)))
+    rows = small.select("feature_id", "value_id", "k", "p").toArrow()
+    feature, value, k, p = (rows.column(i).to_numpy() for i in range(4))
+    by_value = np.lexsort((k, value, feature)).reshape(-1, clusters)
     with np.errstate(divide="ignore"):
-        log_theta = np.vstack([np.log(p[per_value]), np.zeros((1, clusters))])
+        log_theta = np.vstack([np.log(p[by_value]), np.zeros((1, clusters))])
         log_prior = np.log(np.asarray(prior, float))
-    feature, value = feature[per_value[:, 0]], value[per_value[:, 0]].astype(np.int64)
+    feature, value = feature[by_value[:, 0]], value[by_value[:, 0]].astype(np.int64)
     first = np.searchsorted(feature, np.arange(features + 1))
-    value_ids = [value[first[d] : first[d + 1]] for d in range(features)]
+    value_ids = [value[first[d] : first[d + 1]] if d in broadcast else None for d in range(features)]
     return LogModel(log_theta, log_prior, value_ids, first[:-1].tolist())
 
 
-def broadcast_statistics(
-    spark: SparkSession, rows: DataFrame, columns: Sequence[str], model: LogModel, hard: bool
+def join_logs(
+    rows: DataFrame, columns: Sequence[str], theta: DataFrame, domain: DataFrame, joined: Sequence[int], count: str
 ) -> DataFrame:
-    """Partial statistics ``(feature_id, value_id, n array)``, one set per task; to be summed."""
-    shared = spark.sparkContext.broadcast(model.arrays())
-
-    def run(batches):
-        return partial_statistics(LogModel(*shared.value), batches, hard)
-
-    return rows.select(*columns, F.col(WEIGHT).cast("double")).mapInArrow(run, STATISTICS)
-
-
-def broadcast_score(
-    spark: SparkSession, model: LogModel, columns: Sequence[Column], kind: str, u: Column | None = None
-) -> Column:
-    """Posterior (``kind="soft"``), most likely cluster (``"argmax"``) or a draw by ``u`` (``"sampled"``)."""
-    shared = spark.sparkContext.broadcast(model.arrays())
-    features = len(columns)
-    result = "array<double>" if kind == "soft" else "int"
-
-    @F.arrow_udf(result)
-    def score(*cells):
-        parts = []
-        for part, _, p in LogModel(*shared.value).blocks(list(cells[:features])):
-            if kind == "soft":
-                parts.append(vectors(p))
-            elif kind == "argmax":
-                parts.append(pa.array(p.argmax(axis=1), pa.int32()))
-            else:
-                draws = pc.cast(cells[features], pa.float64()).to_numpy(zero_copy_only=False)[part]
-                parts.append(pa.array(sample_clusters(p, draws), pa.int32()))
-        if not parts:
-            return pa.array([], pa.list_(pa.float64()) if kind == "soft" else pa.int32())
-        return pa.concat_arrays(parts)
-
-    return score(*columns, u) if kind == "sampled" else score(*columns)
-
-
-def joined_posterior(
-    rows: DataFrame,
-    columns: Sequence[str],
-    theta: DataFrame,
-    domain: DataFrame,
-    prior: Sequence[float],
-    out: str,
-    budget: int = BROADCAST_BYTES,
-    count: str = "patterns",
-) -> DataFrame:
-    """Add the posterior array ``out`` for a model too large to broadcast: one lookup of ln p per feature.
+    """Add ``_log<d>``, the array of ln p of the cell, for each feature in ``joined``.
 
     ``count`` is the column of ``domain`` that tells how often a value occurs in ``rows``.
     """
-    clusters = len(prior)
-    vectors_by_value = stage(
-        theta.groupBy("feature_id", "value_id")
+    if not joined:
+        return rows
+    wanted = F.col("feature_id").isin(list(joined))
+    logs = stage(
+        theta.where(wanted)
+        .groupBy("feature_id", "value_id")
         .agg(F.sort_array(F.collect_list(F.struct("k", "p"))).alias("by_k"))  # K entries
         .select("feature_id", "value_id", F.transform("by_k", lambda e: F.ln(e["p"])).alias("log_p"))
         .join(domain.select("feature_id", "value_id", F.col(count).alias("cnt")), ["feature_id", "value_id"]),
         "log-theta",
         by=["feature_id"],
     )
-    sizes = {
-        r["feature_id"]: r
-        for r in domain.groupBy("feature_id").agg(F.count("*").alias("v"), F.sum(count).alias("rows")).collect()
+    cells = {
+        r["feature_id"]: r["cells"]
+        for r in domain.where(wanted).groupBy("feature_id").agg(F.sum(count).alias("cells")).collect()
     }
-    small = split_budget({d: 8 * r["v"] * clusters for d, r in sizes.items()}, budget)
     found = rows.withColumn("_row", F.monotonically_increasing_id())
-    logs = []
-    for d, column in enumerate(columns):
-        if d not in sizes:
-            continue
-        table = vectors_by_value.where(F.col("feature_id") == d)
-        keyed = Keyed(table, "value_id", "log_p", sizes[d]["rows"])
-        found = lookup(found, column, keyed, f"_log{d}", d in small, F.col("_row"))
-        known = F.col(column).isNull() | F.col(f"_log{d}").isNotNull()
-        checked = F.when(known, F.col(f"_log{d}")).otherwise(
-            F.raise_error(F.lit(f"a value id of feature {d} is not in the model")).cast("array<double>")
-        )
-        found = found.withColumn(f"_log{d}", checked)
-        logs.append(f"_log{d}")
+    for d in joined:
+        keyed = Keyed(logs.where(F.col("feature_id") == d), "value_id", "log_p", cells.get(d, 0))
+        found = lookup(found, columns[d], keyed, f"_log{d}", False, F.col("_row"))
+    return found.drop("_row")
 
-    with np.errstate(divide="ignore"):
-        log_prior = F.array(*[F.lit(float(x)) for x in np.log(np.asarray(prior, float))])
 
-    def total(k: Column) -> Column:
-        terms = F.get(log_prior, k)
-        for name in logs:
-            terms = terms + F.coalesce(F.get(F.col(name), k), F.lit(0.0))
-        return terms
+def partial_sums(rows: DataFrame, columns: Sequence[str], model: LogModel, hard: bool) -> DataFrame:
+    """Partial statistics ``(feature_id, value_id, n array)`` from each task, to be summed."""
+    shared = rows.sparkSession.sparkContext.broadcast(model.arrays())
 
-    summed = F.transform(F.sequence(F.lit(0), F.lit(clusters - 1)), total)
-    return found.withColumn(out, softmax(summed)).drop("_row", *logs)
+    def run(batches):
+        return partial_statistics(LogModel(*shared.value), batches, hard)
 
+    logs = [f"_log{d}" for d in model.joined]
+    return rows.select(*columns, *logs, F.col(WEIGHT).cast("double")).mapInArrow(run, STATISTICS)
 
-def joined_score(posterior: Column, kind: str, u: Column | None = None) -> Column:
-    if kind == "soft":
-        return posterior
-    return argmax(posterior) if kind == "argmax" else pick_by_cumulative(posterior, u)
 
+def score(rows: DataFrame, columns: Sequence[str], model: LogModel, kind: str, u: str | None) -> Column:
+    """The posterior ("soft"), the likeliest cluster ("argmax") or a draw by column ``u`` ("sampled")."""
+    shared = rows.sparkSession.sparkContext.broadcast(model.arrays())
 
-def joined_statistics(scored: DataFrame, columns: Sequence[str], posterior: str, hard: bool) -> DataFrame:
-    """``(feature_id, value_id, k, n)`` to be summed, from rows that carry their posterior."""
-    cells = F.array(
-        *[
-            F.struct(F.lit(d).alias("feature_id"), F.col(c).cast("int").alias("value_id"))
-            for d, c in enumerate(columns)
-        ],
-        F.struct(F.lit(RECORD_MASS).alias("feature_id"), F.lit(0).alias("value_id")),
-    )
-    mass = (
-        F.explode(F.array(F.struct(argmax(F.col(posterior)).alias("k"), F.lit(1.0).alias("p")))).alias("share")
-        if hard
-        else F.explode(F.transform(posterior, lambda p, k: F.struct(k.alias("k"), p.alias("p")))).alias("share")
-    )
-    return (
-        scored.select(WEIGHT, posterior, F.explode(cells).alias("cell"))
-        .where(F.col("cell.value_id") >= 0)
-        .select(WEIGHT, "cell.feature_id", "cell.value_id", mass)
-        .select("feature_id", "value_id", "share.k", (F.col(WEIGHT) * F.col("share.p")).alias("n"))
-    )
+    def run(*cells: pa.Array) -> pa.Array:
+        return scores(LogModel(*shared.value), list(cells), kind)
 
+    logs = [f"_log{d}" for d in model.joined]
+    inputs = [*columns, *logs, *([u] if kind == "sampled" else [])]
+    return F.arrow_udf(run, "array<double>" if kind == "soft" else "int")(*[F.col(c) for c in inputs])
 
-def sum_vectors(partial: DataFrame, domain: DataFrame, clusters: int) -> DataFrame:
-    """Add up statistics held as arrays. Every value of the domain appears, with zeros if nothing fell on it.
 
-    Each task sent one array per value, so no value has more rows than there were tasks; shuffling whole arrays moves a
-    fraction of the bytes and rows of one row per cluster.
+def sum_statistics(partial: DataFrame, domain: DataFrame, clusters: int) -> DataFrame:
+    """Add up partial statistics to ``(feature_id, value_id, k, n)``, with zeros where nothing fell on a value.
+
+    A hot value comes as one array per task. Shuffling whole arrays moves a fraction of the bytes and rows that one row
+    per cluster would.
     """
     zeros = domain.select("feature_id", "value_id", F.array_repeat(F.lit(0.0), clusters).alias("n"))
 
@@ -237,23 +165,12 @@ def sum_vectors(partial: DataFrame, domain: DataFrame, clusters: int) -> DataFra
     return summed.select("feature_id", "value_id", F.posexplode("n").alias("k", "n"))
 
 
-def sum_statistics(partial: DataFrame, domain: DataFrame, clusters: int) -> DataFrame:
-    """The same for statistics in long form ``(feature_id, value_id, k, n)``."""
-    zeros = with_clusters(domain, clusters).withColumn("n", F.lit(0.0))
-    return partial.unionByName(zeros).groupBy("feature_id", "value_id", "k").agg(F.sum("n").alias("n"))
-
-
 def cluster_mass(statistics: DataFrame, per: str) -> DataFrame:
     """``(k, mass)``: each cluster's share of all present cells (``per="cells"``) or of all rows (``"records"``)."""
     wanted = F.col("feature_id") >= 0 if per == "cells" else F.col("feature_id") == RECORD_MASS
     return statistics.where(wanted).groupBy("k").agg(F.sum("n").alias("mass"))
 
 
-def domain_sizes(domain: DataFrame) -> dict[int, int]:
-    """V for each feature."""
-    return {r["feature_id"]: r["v"] for r in domain.groupBy("feature_id").agg(F.count("*").alias("v")).collect()}
-
-
 def update_theta(statistics: DataFrame, sizes: dict[int, int], beta: float | None = None) -> DataFrame:
     """theta = (beta + n), scaled per feature and cluster. ``beta`` is 1/V by default."""
     pseudo = [(d, 1.0 / v if beta is None else float(beta)) for d, v in sizes.items()]  # one row per feature

@@ -37,9 +37,6 @@ class Model:
     def prior_table(self) -> DataFrame:
         return mx.prior_table(self.theta.sparkSession, self.prior)
 
-    def fits(self, budget: int) -> bool:
-        return mx.model_bytes(self.domain.count(), self.clusters) <= budget
-
 
 def distinct_patterns(
     encoded: DataFrame, columns: Sequence[str], collapse: bool | str = "auto", stored: bool = False
@@ -78,17 +75,18 @@ def estep_statistics(
     theta: DataFrame,
     prior: Sequence[float],
     domain: DataFrame,
-    hard: bool,
-    fits: bool,
-    budget: int = mx.BROADCAST_BYTES,
+    hard: bool = False,
+    broadcast: set[int] | None = None,
 ) -> DataFrame:
-    """Expected (soft) or assigned (hard) cluster mass of every (feature, value)."""
-    if fits:
-        model = mx.collect_log_model(theta, prior, len(columns))
-        partial = mx.broadcast_statistics(patterns.sparkSession, patterns, columns, model, hard)
-        return mx.sum_vectors(partial, domain, len(prior))
-    scored = mx.joined_posterior(patterns, columns, theta, domain, prior, "_p", budget)
-    return mx.sum_statistics(mx.joined_statistics(scored, columns, "_p", hard), domain, len(prior))
+    """Expected (soft) or assigned (hard) cluster mass of every (feature, value).
+
+    ``broadcast`` are the features to broadcast, by default those that fit the budget.
+    """
+    if broadcast is None:
+        broadcast = mx.broadcast_features(mx.domain_sizes(domain), len(prior))
+    model = mx.collect_log_model(theta, prior, len(columns), broadcast)
+    rows = mx.join_logs(patterns, columns, theta, domain, model.joined, "patterns")
+    return mx.sum_statistics(mx.partial_sums(rows, columns, model, hard), domain, len(prior))
 
 
 def fit(
@@ -115,8 +113,8 @@ def fit(
     cells ("cells") or by rows ("records"). ``alpha <= 0`` means 1/K, and no ``beta`` means 1/V for each feature.
     ``start`` is a first ``(theta, prior)``, or a function that makes one for the domain; by default a random one.
     ``stored`` tells that ``encoded`` is a written table. ``tasks`` merges input splits to that number: each task sends
-    its sums for the whole model, so on a large table fewer, longer tasks shuffle less. A model above ``model_bytes``
-    is never brought to the driver: it is joined to the data instead.
+    its sums for the whole model, so on a large table fewer, longer tasks shuffle less. Up to ``model_bytes`` of the
+    model are broadcast, the features with the smallest domains first; the other features are joined to the data.
     """
     if clusters <= 0 or iterations <= 0 or not columns:
         raise ValueError("clusters, iterations and the number of features must be positive")
@@ -127,26 +125,27 @@ def fit(
         patterns = patterns.coalesce(tasks)
     domain = stage(data_domain(patterns, columns), "domain")
     sizes = mx.domain_sizes(domain)
-    fits = mx.model_bytes(sum(sizes.values()), clusters) <= model_bytes
+    broadcast = mx.broadcast_features(sizes, clusters, model_bytes)
+    joins = len(broadcast) < len(columns)
     pseudo = alpha if alpha > 0 else 1.0 / clusters
     if start is None:
         theta, weights = mx.random_theta(domain, clusters, seed), mx.random_prior(clusters, seed)
-        theta = theta if fits else stage(theta, "theta")
+        theta = stage(theta, "theta") if joins else theta
     else:
         theta, weights = start(domain) if callable(start) else start
     trace = []
     for _ in range(iterations):
         statistics = stage(
-            estep_statistics(patterns, columns, theta, weights, domain, mode == "hard", fits), "statistics"
+            estep_statistics(patterns, columns, theta, weights, domain, mode == "hard", broadcast), "statistics"
         )
         mass = {r["k"]: r["mass"] for r in mx.cluster_mass(statistics, prior).collect()}  # K rows
         weights = mx.update_prior([mass.get(k, 0.0) for k in range(clusters)], pseudo)
         theta = mx.update_theta(statistics, sizes, beta)
-        if not fits:
+        if joins:
             theta = stage(theta, "theta")
         if keep_trace:
             trace.append((statistics, theta, weights))
-    return Model(stage(theta, "theta") if fits else theta, weights, domain, trace)
+    return Model(theta if joins else stage(theta, "theta"), weights, domain, trace)
 
 
 def posterior(
@@ -183,11 +182,11 @@ def assign(
 
 
 def _score(rows, columns, model, out, kind, u, budget) -> DataFrame:
-    cells = [F.when(F.col(c) >= 0, F.col(c)).cast("int") for c in columns]
-    if model.fits(budget):
-        arrays = mx.collect_log_model(model.theta, model.prior, len(columns))
-        return rows.withColumn(out, mx.broadcast_score(rows.sparkSession, arrays, cells, kind, u))
-    coded = [f"_cell{i}" for i in range(len(columns))]
-    held = rows.select("*", *[c.alias(n) for c, n in zip(cells, coded)], (u if u is not None else F.lit(None)).alias("_u"))
-    scored = mx.joined_posterior(held, coded, model.theta, model.domain, model.prior, "_p", count="cnt")
-    return scored.withColumn(out, mx.joined_score(F.col("_p"), kind, F.col("_u"))).drop("_p", "_u", *coded)
+    broadcast = mx.broadcast_features(mx.domain_sizes(model.domain), model.clusters, budget)
+    arrays = mx.collect_log_model(model.theta, model.prior, len(columns), broadcast)
+    coded = [f"_cell{d}" for d in range(len(columns))]
+    cells = [F.when(F.col(c) >= 0, F.col(c)).cast("int").alias(name) for c, name in zip(columns, coded)]
+    held = rows.select("*", *cells, *([u.cast("double").alias("_u")] if u is not None else []))
+    held = mx.join_logs(held, coded, model.theta, model.domain, arrays.joined, "cnt")
+    scored = held.withColumn(out, mx.score(held, coded, arrays, kind, "_u"))
+    return scored.select(*[c for c in rows.columns if c != out], out)

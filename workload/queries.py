@@ -239,10 +239,10 @@ def _part_model(spark, sf_dir):
     return index.encoded, index.columns, cl.Model(theta, prior, domain)
 
 
-def _statistics(spark, sf_dir, hard: bool, fits: bool = True):
+def _statistics(spark, sf_dir, hard: bool, broadcast: set[int] | None = None):
     patterns, columns, domain = _lineitem_patterns(spark, sf_dir)
     theta, prior = t.arithmetic_start(domain)
-    return cl.estep_statistics(patterns, columns, theta, prior, domain, hard, fits), domain
+    return cl.estep_statistics(patterns, columns, theta, prior, domain, hard, broadcast), domain
 
 
 def _present(statistics: DataFrame) -> DataFrame:
@@ -297,7 +297,8 @@ def nb_soft_stats(spark, sf_dir):
 
 @query
 def nb_soft_stats_joined(spark, sf_dir):
-    return _present(_statistics(spark, sf_dir, hard=False, fits=False)[0])
+    """The same with two features broadcast and three joined to the rows."""
+    return _present(_statistics(spark, sf_dir, hard=False, broadcast={0, 3})[0])
 
 
 @query
