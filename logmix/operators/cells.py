@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -46,10 +47,18 @@ def cardinality(counts: DataFrame) -> DataFrame:
 
 
 def approx_cardinality(df: DataFrame, columns: Sequence[str], rsd: float = 0.01) -> DataFrame:
-    """``(feature_id, v_approx)`` in one pass with one small sketch per column and no unpivot."""
-    sketches = df.agg(*[F.approx_count_distinct(c, rsd).alias(f"v{i}") for i, c in enumerate(columns)])
+    """``(feature_id, v_approx)`` with relative standard deviation ``rsd``, in one pass without an unpivot.
+
+    One sketch of a bounded size per column travels from each task.
+    """
+    bits = max(4, math.ceil(2 * math.log2(1.04 / rsd)))
+    if bits > 21:
+        raise ValueError("rsd must be at least 0.00072")
+    sketches = df.agg(*[F.hll_sketch_agg(c, bits).alias(f"v{i}") for i, c in enumerate(columns)])
     return sketches.select(
-        F.posexplode(F.array(*[f"v{i}" for i in range(len(columns))])).alias("feature_id", "v_approx")
+        F.posexplode(F.array(*[F.hll_sketch_estimate(f"v{i}") for i in range(len(columns))])).alias(
+            "feature_id", "v_approx"
+        )
     )
 
 

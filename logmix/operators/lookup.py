@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 256 * 1024 * 1024
 # A key is hot if it makes up at least 1/HOT_SHARE of a column; there can be no more than HOT_SHARE such keys.
 HOT_SHARE = 200
-# Rows that need no partner are spread over this many shuffle keys.
-_SPREAD = 4096
+# Rows are shuffled by their key and one of this many slots; a row without a partner to seek takes any slot.
+_SLOTS = 65536
 
 
 @dataclass(frozen=True)
@@ -40,8 +40,8 @@ def lookup(df: DataFrame, column: str, keyed: Keyed, out: str, small: bool, row_
     """Add ``out``, the payload for ``df[column]``, NULL where the cell is missing or unknown.
 
     A small table is broadcast. Otherwise the hot keys (few by definition) are broadcast and the rest is joined through
-    a shuffle; rows that already found their partner or have none travel under spread-out keys, so no shuffle
-    partition receives a hot key. ``row_id`` must be a stored or scan-stable number, so that retried tasks agree.
+    a shuffle; rows that already found their partner or have none are spread over all slots, so no shuffle partition
+    receives a hot key. ``row_id`` must be a stored or scan-stable number, so that retried tasks agree.
     """
     found = keyed.table.select(F.col(keyed.key).alias("_key"), F.col(keyed.payload).alias("_found"), "cnt")
     if small:
@@ -52,22 +52,22 @@ def lookup(df: DataFrame, column: str, keyed: Keyed, out: str, small: bool, row_
         )
     is_hot = F.col("cnt") * HOT_SHARE >= F.lit(keyed.rows)
     hot = found.where(is_hot).select("_key", F.col("_found").alias("_hot"))
+    slot = lambda key: F.pmod(F.xxhash64(key), F.lit(_SLOTS))
     cold = found.where(~is_hot).select(
-        F.col("_key").alias("_cold_key"), F.lit(0).alias("_cold_salt"), F.col("_found").alias("_cold")
+        F.col("_key").alias("_cold_key"), slot("_key").alias("_cold_slot"), F.col("_found").alias("_cold")
     )
     settled = F.col("_hot").isNotNull() | F.col(column).isNull()
-    salt = F.pmod(F.xxhash64(row_id), F.lit(_SPREAD)).cast("int") + 1
     joined = (
         df.join(F.broadcast(hot), F.col(column) == F.col("_key"), "left")
         .withColumn("_seek", F.when(~settled, F.col(column)))
-        .withColumn("_salt", F.when(settled, salt).otherwise(F.lit(0)))
+        .withColumn("_slot", F.when(settled, slot(row_id)).otherwise(slot(column)))
     )
     return (
         joined.join(
             cold,
-            (F.col("_seek") == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")),
+            (F.col("_seek") == F.col("_cold_key")) & (F.col("_slot") == F.col("_cold_slot")),
             "left",
         )
         .withColumn(out, F.coalesce("_hot", "_cold"))
-        .drop("_key", "_hot", "_seek", "_salt", "_cold_key", "_cold_salt", "_cold")
+        .drop("_key", "_hot", "_seek", "_slot", "_cold_key", "_cold_slot", "_cold")
     )

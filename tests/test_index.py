@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,7 +124,7 @@ def test_split_lookup_equals_broadcast(spark):
         plain = lookup(data, "value", keyed, "c", True).select("id", "value", "c")
         assert rows(split, "id") == rows(plain, "id")
         assert split.where("c is null and value is not null").select("value").distinct().collect()[0][0] == "v5"
-        assert "SortMergeJoin" in split._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [_seek" in split._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
@@ -134,6 +136,7 @@ def test_split_lookup_spreads_hot_and_missing_rows(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         joined = lookup(data, "value", Keyed(table, "value", "code", 16_000), "c", False, F.col("row"))
+        assert re.search(r"hashpartitioning\(_seek#\d+, _slot#\d+L, 8\)", joined._jdf.queryExecution().toString())
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
