@@ -6,39 +6,66 @@ survives the loss of any executor, keeps the columnar layout for later passes, a
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+# Below the default Hadoop file system's root, where no checkpoint folder is named.
+STAGING = "/tmp/logmix-staging"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; in local mode a scratch folder is set if none is named."""
+    """The folder named by ``spark.checkpoint.dir``; if none is named, one on the default Hadoop file system.
+
+    A default file system that is each machine's own is refused unless the tasks run in the driver itself.
+    """
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(STAGING)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    in_driver = spark.sparkContext.master.partition("[")[0] == "local"
+    if whole.startswith("file:") and not in_driver:
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="logmix-"))
-    return spark.sparkContext.getCheckpointDir()
+    return whole
 
 
 def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path for a new folder of this application in the shared folder; nothing is created."""
+    return f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` to the shared folder, in one directory per value of ``by``, and return the stored table."""
-    spark = df.sparkSession
-    path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, label)
     df.write.partitionBy(*by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def staged_path(df: DataFrame) -> str | None:
+    """The folder of a table that ``stage`` returned."""
+    files = df.inputFiles()
+    return files[0].rpartition("/")[0] if files else None
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete one staged table; nothing that still reads it may run later."""
+    folder = staged_path(df)
+    if folder and folder.rpartition("/")[0].endswith(df.sparkSession.sparkContext.applicationId):
+        _delete(df.sparkSession, folder)
 
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete the tables staged by this application. Results that still read them must be saved first."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _folder(spark))
