@@ -126,8 +126,8 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndar
     short = np.flatnonzero((counts > 0) & (counts < size))
     for i in short:  # sums of fewer words
         a, b = ends[i] - counts[i], ends[i]
-        rolled[a] = hashes[a] + mix(hashes[a + 1 : b] + np.arange(1, b - a, dtype=np.uint64)).sum(dtype=np.uint64)
-        rolled[a] += np.uint64(b - a)
+        rest = mix(hashes[a + 1 : b] + np.arange(1, b - a, dtype=np.uint64))
+        rolled[a] = np.concatenate([hashes[a : a + 1], rest, [np.uint64(b - a)]]).sum(dtype=np.uint64)
     return mix(rolled[keep]), number
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmix.llm import language_model, suffix_dedup
+from logmix.llm import language_model, minhash_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(rows, model, ["doc_id", "held_out"])
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = minhash_dedup.Settings(shingle=3, percent=85)
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", settings)
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return suffix_dedup.remove_repeats(docs, "doc_id", "text", ["doc_id"]).select(
@@ -34,5 +39,6 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_model": op1_language_model,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
 }

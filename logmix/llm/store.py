@@ -10,11 +10,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame
 
-from logmix.llm.batches import shard_bounds
+from logmix.llm.batches import mix, pack, shard_bounds, unpack
+from logmix.storage import new_folder
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
@@ -120,3 +124,32 @@ class Store:
             for target, value in zip(out, values, strict=True):
                 target[a + hit] = value[at[hit]]
         return out
+
+
+def build(table: DataFrame, key: str, values: Sequence[str], label: str) -> Store:
+    """A store of long columns: ``key`` scrambled, ``values`` beside it. Of rows with one key, one is kept."""
+    spark = table.sparkSession
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = new_folder(spark, label)
+
+    def send(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (key, *values)]
+            keys = mix(columns[0].view(np.uint64))
+            order = np.argsort(keys)
+            bounds = shard_bounds(keys[order], shards)
+            for k in np.flatnonzero(np.diff(bounds)):
+                own = order[bounds[k] : bounds[k + 1]]
+                blob = pack(keys[own], *(c[own].view(np.uint64) for c in columns[1:]))
+                yield pa.record_batch([pa.array([k], pa.int64()), pa.array([blob], pa.binary())], ["shard", "blob"])
+
+    def write(part: pa.Table) -> pa.Table:
+        blobs = [unpack(b, 1 + len(values)) for b in part.column("blob").to_pylist()]
+        keys, *rest = (np.concatenate(x) for x in zip(*blobs))
+        order = np.argsort(keys, kind="stable")
+        order = order[np.concatenate([[True], keys[order][1:] != keys[order][:-1]])]
+        return pa.table({"shard": [part.column("shard")[0].as_py()], "file": [write_arrays(folder, [x[order] for x in (keys, *rest)])]})
+
+    sent = table.select(key, *values).mapInArrow(send, "shard long, blob binary").repartition(shards, "shard")
+    files = sent.groupBy("shard").applyInArrow(write, "shard long, file string").collect()  # one per shard
+    return Store(folder, {r["shard"]: r["file"] for r in files}, shards, ["<u8"] + ["<i8"] * len(values))
