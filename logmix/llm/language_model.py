@@ -34,7 +34,7 @@ from logmix.storage import new_folder, stage
 
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 # A task sums and sends what it has read after this many tokens, so its memory is bounded.
-FLUSH_TOKENS = 4_000_000
+FLUSH_TOKENS = 1_500_000
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
