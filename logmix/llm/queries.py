@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmix.llm import chat_format, language_model, minhash_dedup, multi_index, suffix_dedup
+from logmix.llm import chat_format, language_model, minhash_dedup, multi_index, suffix_dedup, toxicity
 from logmix.storage import stage
 
 
@@ -46,6 +46,13 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 4) == 2).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2)
+    scored = toxicity.score(docs, toxicity.train(docs, labels, "doc_id", "text"), ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return multi_index.search(rows, F.col("vec_id") % 100 == 0, "vec_id", "embedding")
@@ -56,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_chat_format": op5_chat_format,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_multi_index": op10_multi_index,
 }
