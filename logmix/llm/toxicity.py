@@ -8,12 +8,13 @@ left to right; composed, they give each insult or threat its reading:
     negated    a negation stands up to three words before it, none in between being an insult or threat
     aimed      a target stands within four words of it
     plain      none of these
+    hint       a word with a learned beginning, of which the text holds too few
 
 A clause's readings are the features; a text's are how many clauses hold each, so an isolated word counts for what its
 clause makes of it. A logistic model, learned from labelled rows, weighs them.
 
-The insults are a fixed list and stems learned from the labelled rows: word beginnings (4 to 8 letters) that at least
-``least`` toxic texts hold and that are ``odds`` times likelier in toxic texts, taken one by one for texts that no insult
+The insults are a fixed list and stems learned from the labelled rows: word beginnings (4 to 8 letters), with the number of
+words of a text that must begin so (one to three), that at least ``least`` toxic texts hold and that are ``odds`` times likelier in toxic texts, taken one by one for texts that no insult
 explains so far. Learning reads at most ``sample`` labelled
 rows (those with the least hashes of their ids; whole texts), so the driver sees bounded counts whatever the input.
 
@@ -40,14 +41,15 @@ INSULTS = (
     "idiot idiots stupid moron morons loser losers scum trash garbage pathetic worthless disgusting clown clowns dumb fool fools "
     "imbecile pig pigs rat rats vermin filth filthy freak freaks coward liar jerk creep ugly useless hate hated"
 ).split()
-THREATS = "kill hurt beat destroy burn shoot stab die crush punish smash hang attack".split()
+THREATS = "kill hurt beat destroy burn shoot stab crush punish smash strangle attack".split()
 TARGETS = "you your yours yourself u he she they them his her their these those people".split()
 NEGATIONS = "not no never neither nor cannot without isn't aren't don't doesn't didn't won't".split()
 REPORTS = "said says say wrote writes called calls reported reports quoted according claimed claims told".split()
 CLASSES = {"insult": INSULTS, "threat": THREATS, "target": TARGETS, "negation": NEGATIONS, "report": REPORTS}
 READINGS = ("plain", "aimed", "negated", "reported")
-FEATURES = [f"{kind}_{reading}" for kind in ("insult", "threat") for reading in READINGS]
+FEATURES = [f"{kind}_{reading}" for kind in ("insult", "threat") for reading in READINGS] + ["hint"]
 _STEMS = range(4, 9)
+_LEVELS = 3
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]+|[\"“”«»]")
 
 
@@ -63,20 +65,25 @@ class Settings:
 
 @dataclass(frozen=True)
 class Grammar:
-    """Word classes: whole words, and stems of insults."""
+    """Word classes: whole words, and stems of insults with the number of words of a text that must begin so."""
 
     words: dict[str, str]
-    stems: frozenset[str]
+    stems: dict[str, int]
 
-    def word_class(self, word: str) -> str:
-        found = self.words.get(word, "")
-        if not found and any(word[:n] in self.stems for n in _STEMS):
-            return "insult"
-        return found
+    def classes(self, words: Sequence[str]) -> list[str]:
+        """The class of each word of a text."""
+        begun = Counter(w[:n] for w in words for n in _STEMS if len(w) >= n and w[:n] in self.stems) if self.stems else {}
+        active = {s for s, n in begun.items() if n >= self.stems[s]}
 
-    def candidates(self) -> re.Pattern:
-        """Finds texts that hold an insult or threat at all."""
-        whole = sorted(w for w, c in self.words.items() if c in ("insult", "threat"))
+        def learned(word: str) -> str:
+            own = {word[:n] for n in _STEMS}
+            return "insult" if own & active else "hint" if own & begun.keys() else ""
+
+        return [self.words.get(w) or (learned(w) if begun else "") for w in words]
+
+    def candidates(self, kinds: Sequence[str] = ("insult", "threat")) -> re.Pattern:
+        """Finds texts that hold a word of these classes at all."""
+        whole = sorted(w for w, c in self.words.items() if c in kinds)
         parts = [rf"(?:{'|'.join(map(re.escape, whole))})(?![^\W\d_])"] if whole else []
         # A stem whose beginning is a stem adds nothing.
         short = [s for s in sorted(self.stems) if not any(s[:n] in self.stems for n in range(4, len(s)))]
@@ -84,8 +91,8 @@ class Grammar:
         return re.compile(rf"(?<![^\W\d_])(?:{'|'.join(parts)})")
 
 
-def base_grammar(stems: Sequence[str] = ()) -> Grammar:
-    return Grammar({w: c for c, words in CLASSES.items() for w in words}, frozenset(stems))
+def base_grammar(stems: dict[str, int] | None = None) -> Grammar:
+    return Grammar({w: c for c, words in CLASSES.items() for w in words}, stems or {})
 
 
 def _negation(classes: list[str]) -> list[bool]:
@@ -120,9 +127,9 @@ def _aimed(classes: list[str]) -> list[bool]:
 
 def clause_readings(classes: list[str]) -> set[str]:
     """The transducers composed: the reading of each insult and threat of a clause."""
+    out = {"hint"} & set(classes)
     if "insult" not in classes and "threat" not in classes:
-        return set()
-    out = set()
+        return out
     for kind, said, negated, aimed in zip(classes, _reported(classes), _negation(classes), _aimed(classes), strict=True):
         if kind in ("insult", "threat"):
             out.add(f"{kind}_{'reported' if said else 'negated' if negated else 'aimed' if aimed else 'plain'}")
@@ -131,16 +138,16 @@ def clause_readings(classes: list[str]) -> set[str]:
 
 def readings(grammar: Grammar, text: str) -> list[int]:
     """How many clauses of a lower-case text hold each reading."""
+    tokens = _TOKEN.findall(text)
     found: Counter[str] = Counter()
-    classes: list[str] = []
-    for m in _TOKEN.finditer(text):
-        token = m[0]
+    clause: list[str] = []
+    for token, kind in zip(tokens, grammar.classes(tokens), strict=True):
         if token[0] in ".!?;:\n":
-            found.update(clause_readings(classes))
-            classes = []
+            found.update(clause_readings(clause))
+            clause = []
         else:
-            classes.append("quote" if token[0] in '"“”«»' else grammar.word_class(token))
-    found.update(clause_readings(classes))
+            clause.append("quote" if token[0] in '"“”«»' else kind)
+    found.update(clause_readings(clause))
     return [found[f] for f in FEATURES]
 
 
@@ -177,7 +184,9 @@ class Model:
 
 
 def _beginnings(text: str) -> set[str]:
-    return {w[:n] for w in set(re.findall(r"[^\W\d_]+", text.lower())) for n in _STEMS if len(w) >= n}
+    """The word beginnings of a text, each behind every number (up to ``_LEVELS``) of words that at least begin so."""
+    counts = Counter(w[:n] for w in re.findall(r"[^\W\d_]+", text.lower()) for n in _STEMS if len(w) >= n)
+    return {f"{level}{s}" for s, n in counts.items() for level in range(1, min(n, _LEVELS) + 1)}
 
 
 def _cover(found: list, size: dict[bool, int], settings: Settings) -> list[str]:
@@ -201,18 +210,18 @@ def _cover(found: list, size: dict[bool, int], settings: Settings) -> list[str]:
             if t < settings.least or t / size[True] < settings.odds * (c + 0.5) / size[False]:
                 del holds[s]
             else:
-                gains[s] = (t - 4 * c, len(s), s)
+                gains[s] = (t - 4 * c, -int(s[0]), len(s), s)
         if not gains:
             break
-        best = max(gains.values())[2]
+        best = max(gains.values())[-1]
         taken.append(best)
         open_[holds.pop(best)] = False
     return taken
 
 
-def learn_stems(labelled: DataFrame, settings: Settings) -> list[str]:
+def learn_stems(labelled: DataFrame, settings: Settings) -> dict[str, int]:
     """Word beginnings that set toxic texts apart. ``labelled`` (bounded) holds ``_text`` and ``_toxic``."""
-    fixed = base_grammar().candidates()
+    fixed = base_grammar().candidates(("insult",))
 
     def count(batches):
         for batch in batches:
@@ -225,7 +234,7 @@ def learn_stems(labelled: DataFrame, settings: Settings) -> list[str]:
 
     size = {bool(r["_toxic"]): r["count"] for r in labelled.groupBy("_toxic").count().collect()}
     if len(size) < 2:
-        return []
+        return {}
     counts = labelled.select("_text", "_toxic").mapInArrow(count, "stem string, toxic long, clean long")
     sums = counts.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     ratio = (F.col("toxic") / size[True]) / ((F.col("clean") + 0.5) / size[False])
@@ -240,7 +249,11 @@ def learn_stems(labelled: DataFrame, settings: Settings) -> list[str]:
 
     held = labelled.select("_text", "_toxic").mapInArrow(hold, "toxic int, stems array<string>")
     rows = held.where(F.size("stems") > 0).groupBy("toxic", "stems").count().collect()  # of a bounded sample
-    return _cover([(bool(r["toxic"]), r["stems"], r["count"]) for r in rows], size, settings)
+    taken = _cover([(bool(r["toxic"]), r["stems"], r["count"]) for r in rows], size, settings)
+    levels: dict[str, int] = {}
+    for stem in taken:
+        levels[stem[1:]] = min(int(stem[0]), levels.get(stem[1:], _LEVELS))
+    return levels
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
