@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmix.llm import chat_format, language_model, minhash_dedup, multi_index, suffix_dedup, toxicity
-from logmix.storage import stage
+from logmix.llm import chat_format, huffman_ids, language_model, minhash_dedup, multi_index, suffix_dedup, toxicity
+from logmix.storage import new_folder, stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,15 @@ def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(rows, model, ["doc_id", "held_out"])
 
 
+def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = new_folder(spark, "huffman")
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    huffman_ids.write_ids(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer, 2, folder)
+    return huffman_ids.read_ids(spark, folder, "doc_id", digest=True)
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = minhash_dedup.Settings(shingle=3, percent=85)
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", settings)
@@ -60,6 +69,7 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_model": op1_language_model,
+    "op3_huffman_ids": op3_huffman_ids,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_chat_format": op5_chat_format,
     "op8_suffix_dedup": op8_suffix_dedup,
