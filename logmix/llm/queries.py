@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmix.llm import chat_format, huffman_ids, language_model, minhash_dedup, multi_index, suffix_dedup, toxicity
+from logmix.llm import chat_format, fingerprints, huffman_ids, language_model, minhash_dedup, multi_index, suffix_dedup, toxicity
 from logmix.storage import new_folder, stage
 
 
@@ -26,6 +26,10 @@ def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(rows, model, ["doc_id", "held_out"])
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,6 +73,7 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_model": op1_language_model,
+    "op2_fingerprints": op2_fingerprints,
     "op3_huffman_ids": op3_huffman_ids,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_chat_format": op5_chat_format,
