@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmix.llm import chat_format, fingerprints, huffman_ids, language_model, minhash_dedup, multi_index, suffix_dedup, toxicity
+from logmix.llm import chat_format, fingerprints, huffman_ids, language_model, minhash_dedup, mixing, multi_index, sentence_pieces, suffix_dedup, toxicity
 from logmix.storage import new_folder, stage
 
 
@@ -52,6 +52,20 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(written)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), ["doc_id", "source"])
+
+
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = sentence_pieces.encode(table(spark, sf_dir, "documents"), "text", ["doc_id"], model)
+    # Decoding reads the ids alone.
+    decoded = sentence_pieces.decode(encoded, "ids", ["doc_id", "ids"], model)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return suffix_dedup.remove_repeats(docs, "doc_id", "text", ["doc_id"]).select(
@@ -77,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_huffman_ids": op3_huffman_ids,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_chat_format": op5_chat_format,
+    "op6_mixing": op6_mixing,
+    "op7_sentence_pieces": op7_sentence_pieces,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_multi_index": op10_multi_index,

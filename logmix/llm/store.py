@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from logmix.llm.batches import mix, pack, shard_bounds, unpack
+from logmix.llm.batches import mix, pack, shard_bounds, shard_of, unpack
 from logmix.storage import new_folder
 
 
@@ -153,3 +154,53 @@ def build(table: DataFrame, key: str, values: Sequence[str], label: str) -> Stor
     sent = table.select(key, *values).mapInArrow(send, "shard long, blob binary").repartition(shards, "shard")
     files = sent.groupBy("shard").applyInArrow(write, "shard long, file string").collect()  # one per shard
     return Store(folder, {r["shard"]: r["file"] for r in files}, shards, ["<u8"] + ["<i8"] * len(values))
+
+
+class BlobStore:
+    """Bytes by 64-bit key: places in a store of sorted scrambled keys, the bytes in a file beside each of its shards."""
+
+    def __init__(self, index: Store, data: dict[int, str]):
+        self.index, self.data = index, data
+
+    def get(self, keys: np.ndarray) -> list[bytes | None]:
+        """The bytes of each key (any order)."""
+        scrambled = mix(keys.view(np.uint64))
+        wanted, back = np.unique(scrambled, return_inverse=True)
+        start, end = self.index.lookup(wanted, [-1, -1])
+        found: list[bytes | None] = []
+        for shard, a, b in zip(shard_of(wanted, self.index.shards).tolist(), start.tolist(), end.tolist()):
+            if a < 0:
+                found.append(None)
+                continue
+            place = (self.index.folder, self.data[shard])
+            if place not in _mapped:
+                _mapped[place] = [map_file(*place)]
+            found.append(_mapped[place][0][a:b].tobytes())
+        return [found[i] for i in back.tolist()]
+
+
+def build_blobs(table: DataFrame, key: str, value: str, label: str) -> BlobStore:
+    """A store of a binary column by a long key. Of rows with one key, one is kept."""
+    spark = table.sparkSession
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = new_folder(spark, label)
+
+    def place(batches):
+        for batch in batches:
+            keys = mix(batch.column(0).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of(keys, shards)), *batch.columns], ["shard", "key", "value"])
+
+    def write(part: pa.Table) -> pa.Table:
+        keys, first = np.unique(mix(part.column("key").to_numpy().view(np.uint64)), return_index=True)
+        values = part.column("value").take(pa.array(first)).to_pylist()
+        ends = np.cumsum([len(v) for v in values])
+        starts = np.concatenate([[0], ends[:-1]])
+        index = write_arrays(folder, [keys, starts.astype("<i8"), ends.astype("<i8")])
+        data = write_arrays(folder, [np.frombuffer(b"".join(values), np.uint8)])
+        return pa.table({"shard": [part.column("shard")[0].as_py()], "index": [index], "data": [data]})
+
+    rows = table.select(F.col(key).alias("key"), F.col(value).alias("value"))
+    sent = rows.mapInArrow(place, "shard long, key long, value binary").repartition(shards, "shard")
+    files = sent.groupBy("shard").applyInArrow(write, "shard long, index string, data string").collect()  # one per shard
+    index = Store(folder, {r["shard"]: r["index"] for r in files}, shards, ["<u8", "<i8", "<i8"])
+    return BlobStore(index, {r["shard"]: r["data"] for r in files})
