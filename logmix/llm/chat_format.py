@@ -75,7 +75,8 @@ def write_turn(template: Template, state: str, role: str, text: str, first: bool
     marks = template.roles.get(role)
     if marks is None:
         a, b = template.other_before
-        marks = Marks(a + escape(role) + b, template.other_after)
+        # No ">>" may be left in the name, since that ends it.
+        marks = Marks(a + escape(role).replace(">", ">\\.") + b, template.other_after)
     before = (template.opening if first else "") + marks.before
     return valid, [(before, False), (escape(text), marks.loss), (marks.after, False)]
 
