@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from logmix.llm import minhash_dedup, mixing, sentence_pieces, suffix_dedup, toxicity
 from logmix.llm.queries import fold
+from logmix.llm.shipping import shipped
 from logmix.storage import new_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,6 +28,7 @@ TOXIC_FROM = 0.3
 ORACLE_SQL: str | None = None
 
 
+@shipped
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 4) != 2)
     model = toxicity.train(docs, labels, "doc_id", "text")
@@ -34,6 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("score") < TOXIC_FROM).select(*COLUMNS)
 
 
+@shipped
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash_dedup.near_duplicates(docs, "doc_id", "text", minhash_dedup.Settings(shingle=5, percent=80))
     # An id may stand in several rows; a document stays if one of its rows is kept, and rows without an id are one.
@@ -41,6 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(kept, F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("_kept"), "left_semi").select(*COLUMNS)
 
 
+@shipped
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = [c for c in COLUMNS if c not in ("text", "n_chars")]
     cut = suffix_dedup.remove_repeats(docs, "doc_id", "text", others, as_text=True)
@@ -49,10 +53,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+@shipped
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_order(mixing.mix(docs, COLUMNS)).select(*COLUMNS)
 
 
+@shipped
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
