@@ -13,7 +13,7 @@ import pyarrow as pa
 import zstandard
 
 # Texts are worked on in slices of about this many bytes, so that memory does not follow the size of a batch.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 512 << 10
 
 _SEED = 20240607
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd

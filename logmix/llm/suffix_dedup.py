@@ -38,9 +38,10 @@ from logmix.storage import new_folder
 
 LENGTH, GRAM = 50, 20
 _RUN = 32  # windows of a run, one bit each
+_FINER = 4  # contents are larger than owners' hashes, so they have as many times more shards
 _NO_ID = np.iinfo(np.int64).max
 # A task sends what it has gathered after this many runs.
-FLUSH_RUNS = 1_000_000
+FLUSH_RUNS = 250_000
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -171,6 +172,8 @@ def repeated_contents(docs: DataFrame, key: str, text: str, length: int, gram: i
     owners = sent.groupBy("shard").applyInArrow(store_owners, "shard long, file string").collect()  # one per shard
     shared = Store(folder, {r["shard"]: r["file"] for r in owners}, shards, ["<u8"])
 
+    finer = shards * _FINER
+
     def send_contents(parts):
         owner, content, low, high, size, spans, text = (np.concatenate(x) for x in zip(*parts))
         at = np.cumsum(spans) - spans
@@ -179,7 +182,7 @@ def repeated_contents(docs: DataFrame, key: str, text: str, length: int, gram: i
         high = np.maximum.reduceat(high[order], np.flatnonzero(lead))
         order = order[lead]
         owner = owner[order]
-        bounds = bt.shard_bounds(owner, shards)
+        bounds = bt.shard_bounds(owner, finer)
         used = np.flatnonzero(np.diff(bounds))
         blobs, texts = [], []
         for k in used:
@@ -231,7 +234,7 @@ def repeated_contents(docs: DataFrame, key: str, text: str, length: int, gram: i
         cuts = np.flatnonzero(np.diff(group[several], prepend=-1))
         a = 0
         while a < len(several):
-            later = cuts[np.searchsorted(cuts, min(a + 100_000, len(several)))] if a + 100_000 <= (cuts[-1] if len(cuts) else 0) else len(several)
+            later = cuts[np.searchsorted(cuts, min(a + 30_000, len(several)))] if a + 30_000 <= (cuts[-1] if len(cuts) else 0) else len(several)
             some = own[several[a:later]]
             masks[several[a:later]] = _repeated_windows(_gather(text, at[some], spans[some]), size[some], low[some], length)
             a = later
@@ -240,7 +243,7 @@ def repeated_contents(docs: DataFrame, key: str, text: str, length: int, gram: i
         order = np.argsort(out)
         rows = [out[order], low[own][keep][order], masks[keep][order].astype("<u4")]
         # Contents are looked up by their own hash, so they change shards.
-        bounds = bt.shard_bounds(rows[0], shards)
+        bounds = bt.shard_bounds(rows[0], finer)
         used = np.flatnonzero(np.diff(bounds))
         packed = [bt.pack(rows[0][bounds[k] : bounds[k + 1]], *(r[bounds[k] : bounds[k + 1]].astype(np.int64).view("u8") for r in rows[1:])) for k in used]
         return pa.table({"shard": pa.array(used, pa.int64()), "blob": pa.array(packed, pa.binary())})
@@ -255,7 +258,7 @@ def repeated_contents(docs: DataFrame, key: str, text: str, length: int, gram: i
     sent = texts.mapInArrow(find_contents, "shard long, blob binary, text binary").repartition(shards, "shard")
     ranked = sent.groupBy("shard").applyInArrow(store_contents, "shard long, blob binary").repartition(shards, "shard")
     files = ranked.groupBy("shard").applyInArrow(store_results, "shard long, file string").collect()  # one per shard
-    return Store(folder, {r["shard"]: r["file"] for r in files}, shards, ["<u8", "<i8", "<u4"])
+    return Store(folder, {r["shard"]: r["file"] for r in files}, finer, ["<u8", "<i8", "<u4"])
 
 
 def _covered(data, offsets, ids, found: Store, length: int, gram: int) -> np.ndarray:
