@@ -10,20 +10,19 @@ import os
 import re
 import statistics
 import sys
-import tempfile
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 
 from logmix.plans import clustering as cl
-from logmix.storage import stage
+from logmix.storage import drop_staged, stage
 from workload.queries import QUERIES
 from workload.tables import lineitem_index
 
 RUNS = 3
 
 
-def fit(clusters: int, collapse: bool | str = "auto", model_bytes: int = cl.mx.MODEL_BYTES, **options):
+def fit(clusters: int, collapse: bool = True, model_bytes: int = cl.mx.MODEL_BYTES, **options):
     """Three iterations on stored, encoded lineitem rows."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +63,6 @@ BENCH = {
             "nb_score",
             "nb_assign_sampled",
             "logreg_train",
-            "monte_carlo_share",
         )
     },
     "encode_lineitem": encode_lineitem,
@@ -88,7 +86,6 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="logmix-bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -113,6 +110,7 @@ def main() -> None:
             }
         )
     )
+    drop_staged(spark)
     spark.stop()
 
 

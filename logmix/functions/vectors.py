@@ -24,11 +24,6 @@ def dot(weights: Sequence[float], components: Sequence[Column]) -> Column:
     return reduce(lambda s, wx: s + wx, [F.lit(float(w)) * x for w, x in zip(weights, components)])
 
 
-def argmax(vector: Column) -> Column:
-    """0-based place of the largest element, the first one on ties."""
-    return (F.array_position(vector, F.array_max(vector)) - 1).cast("int")
-
-
 def vector_line(components: Sequence[Column]) -> Column:
     """Integers joined by one space; a missing one prints as -1."""
     return F.concat_ws(" ", *[F.coalesce(c.cast("string"), F.lit("-1")) for c in components])

@@ -1,6 +1,7 @@
 """Whole jobs from files to files, with the options of the command-line tools they stand in for.
 
-``partition`` spreads the input over that many tasks; by default only a small input is spread.
+``partition`` spreads the input over that many tasks; without it the input stays as it is read. Tables stored on the way are
+deleted when a job ends, also by an error.
 """
 
 from __future__ import annotations
@@ -9,14 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmix.functions.uniform import uniform
-from logmix.plans.clustering import Model, assign, fit
-from logmix.plans.counting import monte_carlo_share, random_points, word_count
-from logmix.plans.extraction import extract_text
-from logmix.plans.indexing import Index, index_features
+from logmix.plans.clustering import Model, assign, fit, posterior
+from logmix.plans.counting import word_count
+from logmix.plans.extraction import LOG_WIDTH, extract_text
+from logmix.plans.indexing import index_features
 from logmix.plans.logistic import components, start_weights, train_logistic
 from logmix.sources import sinks
-from logmix.sources.text import parse_vectors, read_labelled, read_lines, read_spec, split_tsv, spread
-from logmix.storage import stage
+from logmix.sources.text import (
+    LINE,
+    parse_vectors,
+    read_labelled,
+    read_lines,
+    read_numbered_lines,
+    read_spec,
+    row_width_audit,
+    split_tsv,
+)
+from logmix.storage import scratch, stage
 
 
 def _positive(**options: int | None) -> None:
@@ -25,14 +35,19 @@ def _positive(**options: int | None) -> None:
             raise ValueError(f"{name} must be positive")
 
 
-def _lines(spark: SparkSession, path: str, partition: int | None) -> DataFrame:
-    return spread(read_lines(spark, path), partition)
+def run_extract(spark: SparkSession, input: str, output: str, partition: int | None = None, strict: bool = True) -> int:
+    """Ad-log lines to cleaned, TAB-joined text fields.
 
-
-def run_extract(spark: SparkSession, input: str, output: str, partition: int | None = None) -> None:
-    """Ad-log lines to cleaned, TAB-joined text fields."""
+    A line of another width fails the job. Without ``strict`` it is written with what it has, and the number of such
+    lines is counted in a second pass and returned.
+    """
     _positive(partition=partition)
-    sinks.write_lines(extract_text(_lines(spark, input, partition)).select(F.col("line").alias("value")), output)
+    lines = read_lines(spark, input, partition)
+    sinks.write_lines(extract_text(lines, strict=strict).select(F.col("line").alias("value")), output)
+    if strict:
+        return 0
+    odd = row_width_audit(read_lines(spark, input), LOG_WIDTH).where("not is_valid")
+    return odd.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
 
 
 def run_index(
@@ -44,17 +59,26 @@ def run_index(
     max_cutoff: int | None = None,
     min_cutoff: int = 1,
     min_exclusive: bool = False,
-) -> Index:
-    """TSV lines and the field spec at ``index`` to ``data`` (ids), ``feature`` (values) and ``feature.dat`` (spec)."""
+    allow_empty: bool = False,
+    **options,
+) -> list[str]:
+    """TSV lines and the field spec at ``index`` to ``data`` (ids), ``feature`` (values) and ``feature.dat`` (spec).
+
+    Returns the names of the kept features. A raw field without any value fails the job unless ``allow_empty``.
+    """
     _positive(partition=partition)
-    spec = read_spec(spark, index)
-    names = [f"c{r['pos']}" for r in spec.orderBy("pos").collect()]  # one row per column
-    raw = split_tsv(_lines(spark, input, partition), names)
-    result = index_features(raw, spec, min_cutoff, max_cutoff, min_exclusive=min_exclusive)
-    sinks.write_vectors(result.encoded, result.columns, f"{output}/data")
-    sinks.write_dictionary_text(result.dictionary, f"{output}/feature")
-    sinks.write_kept(result.kept, f"{output}/feature.dat")
-    return result
+    with scratch(spark):
+        spec = read_spec(spark, index)
+        width = max((r["pos"] for r in spec.select("pos").collect()), default=-1) + 1  # one row per column
+        raw = split_tsv(read_numbered_lines(spark, input, partition), [f"c{i}" for i in range(width)], LINE)
+        result = index_features(
+            raw, spec, min_cutoff, max_cutoff,
+            min_exclusive=min_exclusive, keep=[LINE], row_id=LINE, allow_empty=allow_empty, **options,
+        )
+        sinks.write_vectors(result.encoded, result.columns, f"{output}/data")
+        sinks.write_dictionary_text(result.dictionary, f"{output}/feature")
+        sinks.write_kept(result.kept, f"{output}/feature.dat")
+        return [r["name"] for r in result.kept.orderBy("feature_id").collect()]
 
 
 def run_cluster(
@@ -68,35 +92,46 @@ def run_cluster(
     sample: int = 0,
     alpha: float = -1.0,
     seed: int = 0,
+    beta: float | None = None,
+    prior: str = "cells",
+    collapse: bool = True,
+    tasks: int | None = None,
+    how: str = "sampled",
+    trace: bool = False,
 ) -> Model:
-    """Id lines to ``data`` (each line with a cluster drawn from its posterior) and ``model``.
+    """Id lines to ``data`` (each line with its score) and ``model``, and with ``trace`` every iteration to ``trace``.
 
-    ``sample`` only chooses the kind of fit: 0 or less is soft, more is hard.
+    ``sample`` only chooses the kind of fit: 0 or less is soft, more is hard. ``how`` is the score: a cluster drawn from
+    the posterior ("sampled"), the likeliest ("argmax") or the probabilities ("posterior"). The model returned is the
+    written one.
     """
-    _positive(cluster=cluster, iteration=iteration, feature=feature, partition=partition)
-    lines = _lines(spark, input, partition)
-    numbered = lines.withColumn("_line", F.monotonically_increasing_id())
-    rows = stage(parse_vectors(numbered, feature, "_line"), "vectors")
-    columns = [f"f{d}" for d in range(feature)]
-    mode = "soft" if sample <= 0 else "hard"
-    model = fit(rows, columns, cluster, iteration, mode=mode, alpha=alpha, seed=seed, stored=True)
-    drawn = assign(rows, columns, model, u=uniform(seed, F.col("_line")))
-    sinks.write_scores(drawn, columns, "cluster", f"{output}/data")
-    sinks.save_model(model, f"{output}/model")
-    return model
+    _positive(cluster=cluster, iteration=iteration, feature=feature, partition=partition, tasks=tasks)
+    if how not in ("sampled", "argmax", "posterior"):
+        raise ValueError("how is 'sampled', 'argmax' or 'posterior'")
+    with scratch(spark):
+        rows = stage(parse_vectors(read_numbered_lines(spark, input, partition), feature, LINE), "vectors")
+        columns = [f"f{d}" for d in range(feature)]
+        model = fit(
+            rows, columns, cluster, iteration, mode="soft" if sample <= 0 else "hard", prior=prior, alpha=alpha, beta=beta,
+            seed=seed, collapse=collapse, stored=True, tasks=tasks, keep_trace=trace,
+        )
+        if how == "posterior":
+            scored = posterior(rows, columns, model, "cluster")
+        else:
+            scored = assign(rows, columns, model, how=how, u=uniform(seed, F.col(LINE)) if how == "sampled" else None)
+        sinks.write_scores(scored, columns, "cluster", f"{output}/data")
+        sinks.save_model(model, f"{output}/model")
+        if trace:
+            sinks.write_table(sinks.trace_table(model), f"{output}/trace")
+    return sinks.load_model(spark, f"{output}/model")
 
 
 def run_word_count(spark: SparkSession, input: str, partition: int | None = None) -> DataFrame:
     _positive(partition=partition)
-    return word_count(_lines(spark, input, partition))
+    return word_count(read_lines(spark, input, partition))
 
 
 def run_logistic_regression(spark: SparkSession, input: str, iterations: int, dimensions: int = 16) -> list[float]:
-    points = spread(read_labelled(spark, input, dimensions))
+    points = read_labelled(spark, input, dimensions)
     x = components(points, "x", dimensions)
     return train_logistic(points, F.col("y"), x, iterations, weights=start_weights(dimensions))
-
-
-def run_pi(spark: SparkSession, slices: int = 2, seed: int = 0) -> float:
-    share = monte_carlo_share(random_points(spark, slices, seed), F.col("x"), F.col("y"))
-    return share.first()["pi"]

@@ -78,8 +78,8 @@ def within_cutoff(
 
 
 def empty_features(spec: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rows of ``spec`` (column ``pos``) for which no value was counted."""
-    return spec.join(sizes, spec["pos"] == sizes["feature_id"], "left_anti")
+    """Raw (flag 0) rows of ``spec`` for which no value was counted."""
+    return spec.where("flag = 0").join(sizes, spec["pos"] == sizes["feature_id"], "left_anti")
 
 
 def out_of_domain_cells(cells: DataFrame, domain: DataFrame) -> DataFrame:

@@ -59,19 +59,11 @@ class LogModel:
         _fail_on_unknown(feature, ids, unknown)
         return np.where(present, place + self.first_row[feature], len(self.log_theta) - 1)
 
-    def joined_logs(self, feature: int, ids: np.ndarray, logs: pa.ListArray) -> np.ndarray:
-        """The ln p of each cell of a joined feature, zeros for a missing cell."""
-        found = logs.is_valid().to_numpy(zero_copy_only=False)
-        _fail_on_unknown(feature, ids, (ids >= 0) & ~found)
-        dense = np.zeros((len(ids), self.clusters))
-        dense[found] = logs.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, self.clusters)
-        return dense
-
     def blocks(self, columns: list[pa.Array]) -> Iterator[tuple[slice, dict[int, np.ndarray], np.ndarray]]:
         """Posterior probabilities, a block of rows at a time: ``(rows, cells by feature, p)``.
 
-        ``columns`` are the value ids of all features, then the ln p of the joined ones. A block's cells are rows of
-        ``log_theta`` for a broadcast feature, value ids for a joined one.
+        ``columns`` are the value ids of all features, then the sums of the joined ones' ln p, if there are any. A
+        block's cells are rows of ``log_theta`` for a broadcast feature, value ids for a joined one.
         """
         features, joined = len(self.value_ids), self.joined
         size, step = len(columns[0]), max(1, _BLOCK_NUMBERS // self.clusters)
@@ -80,8 +72,8 @@ class LogModel:
             here = [c.slice(start, part.stop - start) for c in columns]
             cells = {d: _ids(c) for d, c in enumerate(here[:features])}
             p = np.tile(self.log_prior, (part.stop - start, 1))
-            for d, logs in zip(joined, here[features:]):
-                p += self.joined_logs(d, cells[d], logs)
+            if joined:
+                p += here[features].flatten().to_numpy(zero_copy_only=False).reshape(-1, self.clusters)
             for d in range(features):
                 if d not in joined:
                     cells[d] = self.table_rows(d, cells[d])
@@ -108,6 +100,11 @@ def _add_by_key(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ordered[starts], np.add.reduceat(n[order], starts, axis=0)
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, sums = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    return _add_by_key(keys, sums) if len(keys) else (keys, sums)
+
+
 def partial_statistics(
     model: LogModel, batches: Iterator[pa.RecordBatch], hard: bool
 ) -> Iterator[pa.RecordBatch]:
@@ -119,7 +116,7 @@ def partial_statistics(
     totals = np.zeros_like(model.log_theta)
     mass = np.zeros_like(model.log_prior)
     joined = model.joined
-    keys, sums = np.empty(0, np.int64), np.empty((0, model.clusters))
+    held, numbers = [(np.empty(0, np.int64), np.empty((0, model.clusters)))], 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -136,13 +133,16 @@ def partial_statistics(
                     hit, n = _add_by_key(cell, p)
                     totals[hit] += n
                 elif (present := cell >= 0).any():
-                    key = (d << _VALUE_BITS) + cell[present]
-                    keys, sums = _add_by_key(np.concatenate([keys, key]), np.concatenate([sums, p[present]]))
-        if sums.size > _HELD_NUMBERS:
-            light = np.argsort(sums.sum(axis=1))[: -max(1, _KEPT_NUMBERS // model.clusters)]
-            yield from _by_key(keys[light], sums[light])
-            keys, sums = np.delete(keys, light), np.delete(sums, light, axis=0)
-    yield from _by_key(keys, sums)
+                    held.append(_add_by_key((d << _VALUE_BITS) + cell[present], p[present]))
+                    numbers += held[-1][1].size
+        if numbers > _HELD_NUMBERS:
+            keys, sums = _merged(held)
+            if sums.size > _HELD_NUMBERS // 2:
+                light = np.argsort(sums.sum(axis=1))[: -max(1, _KEPT_NUMBERS // model.clusters)]
+                yield from _by_key(keys[light], sums[light])
+                keys, sums = np.delete(keys, light), np.delete(sums, light, axis=0)
+            held, numbers = [(keys, sums)], sums.size
+    yield from _by_key(*_merged(held))
     sizes = [0 if known is None else len(known) for known in model.value_ids]
     feature = np.repeat(np.arange(len(sizes)), sizes)
     value = np.concatenate([np.empty(0, np.int64), *[known for known in model.value_ids if known is not None]])
@@ -152,17 +152,27 @@ def partial_statistics(
 
 
 def summed_statistics(batches: Iterator[pa.RecordBatch], clusters: int) -> Iterator[pa.RecordBatch]:
-    """Total per (feature, value) of partial statistics that were shuffled by these two columns."""
-    keys, totals = np.empty(0, np.int64), np.empty((0, clusters))
+    """Total per (feature, value) of partial statistics that come sorted by these two columns.
+
+    Only the sum that the next batch may go on with is held.
+    """
+    key, total = None, np.zeros(clusters)
     for batch in batches:
         if not batch.num_rows:
             continue
         feature, value = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
         n = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, clusters)
-        keys, totals = _add_by_key(
-            np.concatenate([keys, (feature << _VALUE_BITS) + value]), np.concatenate([totals, n])
-        )
-    yield from _by_key(keys, totals)
+        keys = (feature << _VALUE_BITS) + value
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        keys, sums = keys[starts], np.add.reduceat(n, starts, axis=0)
+        if key == keys[0]:
+            sums[0] += total
+        elif key is not None:
+            yield from _by_key(np.array([key]), total[None, :])
+        yield from _by_key(keys[:-1], sums[:-1])
+        key, total = int(keys[-1]), sums[-1]
+    if key is not None:
+        yield from _by_key(np.array([key]), total[None, :])
 
 
 def _by_key(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 # Together, the tables broadcast by one plan stay below this size.
 BROADCAST_BYTES = 256 * 1024 * 1024
-# A key is hot if it makes up at least 1/HOT_SHARE of a column; there can be no more than HOT_SHARE such keys.
-HOT_SHARE = 200
 # Rows are shuffled by their key and one of this many slots; a row without a partner to seek takes any slot.
 _SLOTS = 65536
 
@@ -50,7 +48,9 @@ def lookup(df: DataFrame, column: str, keyed: Keyed, out: str, small: bool, row_
             .withColumnRenamed("_found", out)
             .drop("_key")
         )
-    is_hot = F.col("cnt") * HOT_SHARE >= F.lit(keyed.rows)
+    # A key is hot if it fills the mean shuffle partition; there can be no more such keys than partitions.
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    is_hot = F.col("cnt") * partitions >= F.lit(keyed.rows)
     hot = found.where(is_hot).select("_key", F.col("_found").alias("_hot"))
     slot = lambda key: F.pmod(F.xxhash64(key), F.lit(_SLOTS))
     cold = found.where(~is_hot).select(

@@ -7,6 +7,7 @@ they fit the budget for the model; the others are joined to the data, so a model
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -40,10 +41,10 @@ def normalize_theta(raw: DataFrame) -> DataFrame:
     """Scale column ``x`` of ``(feature_id, value_id, k, x)`` to sum to 1 over the values of each feature and cluster.
 
     ``raw`` is read twice, so it should be cheap or stored. Sums use partial aggregation rather than a window, whose
-    group would be a whole feature.
+    group would be a whole feature; there is one per feature and cluster, so they are broadcast.
     """
     totals = raw.groupBy("feature_id", "k").agg(F.sum("x").alias("total"))
-    return raw.join(totals, ["feature_id", "k"]).select(
+    return raw.join(F.broadcast(totals), ["feature_id", "k"]).select(
         "feature_id", "value_id", "k", (F.col("x") / F.col("total")).alias("p")
     )
 
@@ -55,14 +56,16 @@ def random_theta(domain: DataFrame, clusters: int, seed: int) -> DataFrame:
 
 
 def random_prior(clusters: int, seed: int) -> list[float]:
-    u = np.random.default_rng(seed).random(clusters)
-    return (u / u.sum()).tolist()
+    """Made from the same hash as the distributions."""
+    digits = [hashlib.md5(f"{seed},prior,{k}".encode()).hexdigest()[:12] for k in range(clusters)]
+    u = [int(x, 16) for x in digits]
+    return [x / sum(u) for x in u]
 
 
 def uniform_theta(domain: DataFrame, clusters: int) -> DataFrame:
     """p = 1/V for each of the V values of a feature."""
     sizes = domain.groupBy("feature_id").agg(F.count("*").alias("v_size"))
-    return with_clusters(domain, clusters).join(sizes, "feature_id").select(
+    return with_clusters(domain, clusters).join(F.broadcast(sizes), "feature_id").select(  # one row per feature
         "feature_id", "value_id", "k", (F.lit(1.0) / F.col("v_size")).alias("p")
     )
 
@@ -98,43 +101,64 @@ def collect_log_model(theta: DataFrame, prior: Sequence[float], features: int, b
 
 
 def join_logs(
-    rows: DataFrame, columns: Sequence[str], theta: DataFrame, domain: DataFrame, joined: Sequence[int], count: str
+    rows: DataFrame,
+    columns: Sequence[str],
+    theta: DataFrame,
+    counts: DataFrame,
+    joined: Sequence[int],
+    clusters: int,
+    row_id: str,
+    scratch: list | None = None,
 ) -> DataFrame:
-    """Add ``_log<d>``, the array of ln p of the cell, for each feature in ``joined``.
+    """Add ``_log``, the sums by cluster of ln p of the cells of all features in ``joined``; other rows have no column.
 
-    ``count`` is the column of ``domain`` that tells how often a value occurs in ``rows``.
+    ``counts (feature_id, value_id, cnt)`` tells how often a value occurs in ``rows``, and ``row_id`` names a number that
+    a retried task repeats. One array per row travels, whatever the number of features. A value that theta does not have
+    is an error. What is stored on the way is added to ``scratch``.
     """
     if not joined:
         return rows
     wanted = F.col("feature_id").isin(list(joined))
+    known = counts.where(wanted).select("feature_id", "value_id", "cnt")
     logs = stage(
         theta.where(wanted)
         .groupBy("feature_id", "value_id")
         .agg(F.sort_array(F.collect_list(F.struct("k", "p"))).alias("by_k"))  # K entries
         .select("feature_id", "value_id", F.transform("by_k", lambda e: F.ln(e["p"])).alias("log_p"))
-        .join(domain.select("feature_id", "value_id", F.col(count).alias("cnt")), ["feature_id", "value_id"]),
+        .join(known, ["feature_id", "value_id"], "left")
+        .withColumn("cnt", F.coalesce("cnt", F.lit(0))),
         "log-theta",
         by=["feature_id"],
     )
-    cells = {
-        r["feature_id"]: r["cells"]
-        for r in domain.where(wanted).groupBy("feature_id").agg(F.sum(count).alias("cells")).collect()
-    }
-    found = rows.withColumn("_row", F.monotonically_increasing_id())
+    if scratch is not None:
+        scratch.append(logs)
+    cells = {r["feature_id"]: r["cells"] for r in known.groupBy("feature_id").agg(F.sum("cnt").alias("cells")).collect()}
+    found = rows.withColumn("_log", F.array_repeat(F.lit(0.0), clusters))
     for d in joined:
         keyed = Keyed(logs.where(F.col("feature_id") == d), "value_id", "log_p", cells.get(d, 0))
-        found = lookup(found, columns[d], keyed, f"_log{d}", False, F.col("_row"))
-    return found.drop("_row")
+        found = lookup(found, columns[d], keyed, "_found", False, F.col(row_id))
+        cell = F.col(columns[d])
+        odd = F.raise_error(F.concat(F.lit("value id "), cell.cast("string"), F.lit(f" of feature {d} is not in the model")))
+        added = F.zip_with("_log", "_found", lambda x, y: x + y)
+        found = found.withColumn("_log", F.when(cell.isNull(), F.col("_log")).when(F.col("_found").isNull(), odd).otherwise(added))
+    return found.drop("_found")
 
 
-def partial_sums(rows: DataFrame, columns: Sequence[str], model: LogModel, hard: bool) -> DataFrame:
-    """Partial statistics ``(feature_id, value_id, n array)`` from each task, to be summed."""
+def partial_sums(
+    rows: DataFrame, columns: Sequence[str], model: LogModel, hard: bool, scratch: list | None = None
+) -> DataFrame:
+    """Partial statistics ``(feature_id, value_id, n array)`` from each task, to be summed.
+
+    The broadcast model is added to ``scratch``, for a caller that knows when it is no longer read.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model.arrays())
+    if scratch is not None:
+        scratch.append(shared)
 
     def run(batches):
         return partial_statistics(LogModel(*shared.value), batches, hard)
 
-    logs = [f"_log{d}" for d in model.joined]
+    logs = ["_log"] if model.joined else []
     return rows.select(*columns, *logs, F.col(WEIGHT).cast("double")).mapInArrow(run, STATISTICS)
 
 
@@ -145,7 +169,7 @@ def score(rows: DataFrame, columns: Sequence[str], model: LogModel, kind: str, u
     def run(*cells: pa.Array) -> pa.Array:
         return scores(LogModel(*shared.value), list(cells), kind)
 
-    logs = [f"_log{d}" for d in model.joined]
+    logs = ["_log"] if model.joined else []
     inputs = [*columns, *logs, *([u] if kind == "sampled" else [])]
     return F.arrow_udf(run, "array<double>" if kind == "soft" else "int")(*[F.col(c) for c in inputs])
 
@@ -161,7 +185,8 @@ def sum_statistics(partial: DataFrame, domain: DataFrame, clusters: int) -> Data
     def run(batches):
         return summed_statistics(batches, clusters)
 
-    summed = partial.unionByName(zeros).repartition("feature_id", "value_id").mapInArrow(run, STATISTICS)
+    dealt = partial.unionByName(zeros).repartition("feature_id", "value_id")
+    summed = dealt.sortWithinPartitions("feature_id", "value_id").mapInArrow(run, STATISTICS)
     return summed.select("feature_id", "value_id", F.posexplode("n").alias("k", "n"))
 
 

@@ -13,12 +13,6 @@ from logmix.storage import stage
 _POSITION_BITS = 33
 
 
-def rank_bounded(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """0-based number of each row within its group, for groups known to be small."""
-    window = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
-
-
 def rank_ordered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """0-based number of each row within its group, for groups of any size.
 

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from logmix.functions.uniform import uniform
 from logmix.operators import mixture as mx
-from logmix.operators.cells import encoded_value_counts
-from logmix.storage import stage
+from logmix.operators.cells import encoded_value_counts, to_cells
+from logmix.storage import drop_table, stage
 
 Start = tuple[DataFrame, Sequence[float]]
-# Identical rows are collapsed only if that shrinks the table to this share or less.
-_COLLAPSE_SHARE = 0.5
+# Without a number of tasks, the passes over the rows use this many per core: each sends its sums of the whole model.
+_TASKS_PER_CORE = 4
 
 
 @dataclass
@@ -39,22 +39,16 @@ class Model:
 
 
 def distinct_patterns(
-    encoded: DataFrame, columns: Sequence[str], collapse: bool | str = "auto", stored: bool = False
+    encoded: DataFrame, columns: Sequence[str], collapse: bool = True, stored: bool = False
 ) -> DataFrame:
     """Feature columns and a weight ``w``, stored once for all iterations.
 
     If ``encoded`` is a ``stored`` table already and its rows are not collapsed, it is used where it is.
 
-    Identical rows share one posterior, so a row with its count is exact. Where rows are mostly unique the grouping
-    would only shuffle the whole table, so ``"auto"`` first estimates the number of distinct rows in a narrow pass; the
-    estimate picks the layout and never changes a result.
+    Identical rows share one posterior, so ``collapse`` keeps one with its count, which is exact. Where rows are mostly
+    unique the grouping only shuffles the whole table, so it may be switched off.
     """
     features = encoded.select(*[F.when(F.col(c) >= 0, F.col(c)).cast("int").alias(c) for c in columns])
-    if collapse == "auto":
-        row = features.agg(
-            F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64(*columns)).alias("d")
-        ).first()
-        collapse = row["d"] <= row["n"] * _COLLAPSE_SHARE
     if collapse:
         rows = features.groupBy(*columns).agg(F.count("*").alias(mx.WEIGHT))
     else:
@@ -77,16 +71,27 @@ def estep_statistics(
     domain: DataFrame,
     hard: bool = False,
     broadcast: set[int] | None = None,
+    scratch: list | None = None,
 ) -> DataFrame:
     """Expected (soft) or assigned (hard) cluster mass of every (feature, value).
 
-    ``broadcast`` are the features to broadcast, by default those that fit the budget.
+    ``patterns`` is a stored table. ``broadcast`` are the features to broadcast, by default those that fit the budget.
+    What only this step reads is added to ``scratch``.
     """
     if broadcast is None:
         broadcast = mx.broadcast_features(mx.domain_sizes(domain), len(prior))
     model = mx.collect_log_model(theta, prior, len(columns), broadcast)
-    rows = mx.join_logs(patterns, columns, theta, domain, model.joined, "patterns")
-    return mx.sum_statistics(mx.partial_sums(rows, columns, model, hard), domain, len(prior))
+    counts = domain.select("feature_id", "value_id", F.col("patterns").alias("cnt"))
+    # Numbers of a stored table's scan.
+    rows = patterns.withColumn("_row", F.monotonically_increasing_id()) if model.joined else patterns
+    rows = mx.join_logs(rows, columns, theta, counts, model.joined, len(prior), "_row", scratch)
+    return mx.sum_statistics(mx.partial_sums(rows, columns, model, hard, scratch), domain, len(prior))
+
+
+def _release(scratch: list) -> None:
+    for thing in scratch:
+        drop_table(thing) if isinstance(thing, DataFrame) else thing.destroy()
+    scratch.clear()
 
 
 def fit(
@@ -101,7 +106,7 @@ def fit(
     beta: float | None = None,
     seed: int = 0,
     start: Start | Callable[[DataFrame], Start] | None = None,
-    collapse: bool | str = "auto",
+    collapse: bool = True,
     stored: bool = False,
     tasks: int | None = None,
     keep_trace: bool = False,
@@ -112,17 +117,17 @@ def fit(
     ``mode`` is "soft" or "hard" (each row counts for its likeliest cluster). ``prior`` weighs clusters by present
     cells ("cells") or by rows ("records"). ``alpha <= 0`` means 1/K, and no ``beta`` means 1/V for each feature.
     ``start`` is a first ``(theta, prior)``, or a function that makes one for the domain; by default a random one.
-    ``stored`` tells that ``encoded`` is a written table. ``tasks`` merges input splits to that number: each task sends
-    its sums for the whole model, so on a large table fewer, longer tasks shuffle less. Up to ``model_bytes`` of the
+    ``stored`` tells that ``encoded`` is a written table, ``collapse`` makes one row of identical ones. ``tasks`` merges
+    input splits to that number, by default four per core: each task sends its sums for the whole model, so on a large
+    table fewer, longer tasks shuffle less. Tables of replaced iterations are deleted. Up to ``model_bytes`` of the
     model are broadcast, the features with the smallest domains first; the other features are joined to the data.
     """
     if clusters <= 0 or iterations <= 0 or not columns:
         raise ValueError("clusters, iterations and the number of features must be positive")
     if mode not in ("soft", "hard") or prior not in ("cells", "records"):
         raise ValueError("mode is 'soft' or 'hard'; prior is 'cells' or 'records'")
-    patterns = distinct_patterns(encoded, columns, collapse, stored)
-    if tasks:
-        patterns = patterns.coalesce(tasks)
+    table = distinct_patterns(encoded, columns, collapse, stored)
+    patterns = table.coalesce(tasks or _TASKS_PER_CORE * table.sparkSession.sparkContext.defaultParallelism)
     domain = stage(data_domain(patterns, columns), "domain")
     sizes = mx.domain_sizes(domain)
     broadcast = mx.broadcast_features(sizes, clusters, model_bytes)
@@ -133,11 +138,14 @@ def fit(
         theta = stage(theta, "theta") if joins else theta
     else:
         theta, weights = start(domain) if callable(start) else start
-    trace = []
+    trace, scratch, replaced = [], [], []
+    if joins and start is None:
+        replaced.append(theta)
     for _ in range(iterations):
-        statistics = stage(
-            estep_statistics(patterns, columns, theta, weights, domain, mode == "hard", broadcast), "statistics"
-        )
+        step = estep_statistics(patterns, columns, theta, weights, domain, mode == "hard", broadcast, scratch)
+        statistics = stage(step, "statistics")
+        _release(scratch)
+        _release(replaced)
         mass = {r["k"]: r["mass"] for r in mx.cluster_mass(statistics, prior).collect()}  # K rows
         weights = mx.update_prior([mass.get(k, 0.0) for k in range(clusters)], pseudo)
         theta = mx.update_theta(statistics, sizes, beta)
@@ -145,7 +153,13 @@ def fit(
             theta = stage(theta, "theta")
         if keep_trace:
             trace.append((statistics, theta, weights))
-    return Model(theta if joins else stage(theta, "theta"), weights, domain, trace)
+        else:
+            replaced += [statistics, theta] if joins else [statistics]
+    model = Model(theta if joins else stage(theta, "theta"), weights, domain, trace)
+    _release([t for t in replaced if t is not theta])
+    if collapse or not stored:
+        drop_table(table)
+    return model
 
 
 def posterior(
@@ -187,6 +201,11 @@ def _score(rows, columns, model, out, kind, u, budget) -> DataFrame:
     coded = [f"_cell{d}" for d in range(len(columns))]
     cells = [F.when(F.col(c) >= 0, F.col(c)).cast("int").alias(name) for c, name in zip(columns, coded)]
     held = rows.select("*", *cells, *([u.cast("double").alias("_u")] if u is not None else []))
-    held = mx.join_logs(held, coded, model.theta, model.domain, arrays.joined, "cnt")
+    if arrays.joined:
+        # Stored with a number, so that retried tasks agree; the counts are those of the rows to be scored.
+        held = stage(held.withColumn("_row", F.monotonically_increasing_id()), "cells")
+        own = to_cells(held, [coded[d] for d in arrays.joined], arrays.joined)
+        counts = own.groupBy("feature_id", F.col("value").alias("value_id")).agg(F.count("*").alias("cnt"))
+        held = mx.join_logs(held, coded, model.theta, counts, arrays.joined, model.clusters, "_row")
     scored = held.withColumn(out, mx.score(held, coded, arrays, kind, "_u"))
     return scored.select(*[c for c in rows.columns if c != out], out)

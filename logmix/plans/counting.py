@@ -1,8 +1,8 @@
-"""Word count, line numbering and the Monte-Carlo share."""
+"""Word count and line numbering."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logmix.functions.text import split_words
@@ -23,16 +23,3 @@ def line_index(lines: DataFrame, *tie_break: str) -> DataFrame:
     ranked = rank_ordered(lines, [], ["value", *tie_break], "_rank")
     return ranked.withColumn("line_id", F.col("_rank") + 1).drop("_rank")
 
-
-def monte_carlo_share(points: DataFrame, x: Column, y: Column) -> DataFrame:
-    """``(points, hits, pi)``: 4 times the share of points of [-1, 1)² that fall within the unit circle."""
-    inside = F.sum((x * x + y * y < 1).cast("bigint"))
-    return points.agg(F.count("*").alias("points"), inside.alias("hits")).withColumn(
-        "pi", F.lit(4.0) * F.col("hits") / F.col("points")
-    )
-
-
-def random_points(spark: SparkSession, slices: int = 2, seed: int = 0, per_slice: int = 100_000) -> DataFrame:
-    """Seeded uniform points ``(x, y)`` in [-1, 1)², made where they are used."""
-    ids = spark.range(0, slices * per_slice, 1, slices)
-    return ids.select((F.rand(seed) * 2 - 1).alias("x"), (F.rand(seed + 1) * 2 - 1).alias("y"))

@@ -2,28 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logmix.functions.text import join_fields, normalize_text
-from logmix.sources.text import read_tsv, split_tsv
-
-# The columns of a log line in order, and those that hold text.
-LOG_COLUMNS = (
-    "pvid sec adRank page_position dude n_ads pagenum rawQuery canonicalQuery exactCanonicalQuery osqp bucket timestamp "
-    "matchType title description displayUrl targetUrl sitelinkNum sitelinkClicks adClicks adSiteLinkClicks clkbMS ec "
-    "cpcMl cpcSb bid rankScore relevanceScore fddEcpm quality_score dwell_time bcookie ip birthYear gender browser "
-    "userAgent referUrl ucp scb effectiveFddThresholds iguid model device_type screen_width screen_height carrier srcspc "
-    "advertiser_id campaign_id adgroup_id ad_id bidded_term_id apollo_advertiser_id apollo_campaign_id apollo_adgroup_id "
-    "apollo_ad_id apollo_bidded_term_id NormalizedKeyword ClickabilityScore deviceCategory source"
-).split()
-TEXT_COLUMNS = "exactCanonicalQuery title description displayUrl targetUrl".split()
-LOG_WIDTH = len(LOG_COLUMNS)
-
-
-def read_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """The log as 63 named string columns."""
-    return read_tsv(spark, path, LOG_COLUMNS)
+from logmix.sources.text import split_tsv
+
+# The width of a log line, and the places of the columns that hold text.
+LOG_WIDTH = 63
+TEXT_PLACES = {
+    "exactCanonicalQuery": 9,
+    "title": 14,
+    "description": 15,
+    "displayUrl": 16,
+    "targetUrl": 17,
+}
+TEXT_COLUMNS = list(TEXT_PLACES)
+_NAMES = {place: name for name, place in TEXT_PLACES.items()}
+LOG_COLUMNS = [_NAMES.get(i, f"c{i}") for i in range(LOG_WIDTH)]
 
 
 def select_text_fields(lines: DataFrame, *keep: str, strict: bool = False) -> DataFrame:

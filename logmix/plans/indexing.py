@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logmix.operators.cells import cardinality, value_counts, within_cutoff
+from logmix.operators.cells import cardinality, empty_features, value_counts, within_cutoff
 from logmix.operators.lookup import BROADCAST_BYTES, Keyed, lookup, split_budget
-from logmix.operators.ranking import rank_bounded, rank_ordered
+from logmix.operators.ranking import rank_ordered
 from logmix.sources.text import raw_fields
 from logmix.storage import stage
 
-# Up to this many values, one task may sort all values of a feature.
-_ONE_TASK_VALUES = 1_000_000
+_LAST_ID = 2**31 - 1
 # Memory per dictionary entry in a broadcast, beside the value itself.
 _ENTRY_BYTES = 64
 
@@ -23,15 +22,12 @@ _ENTRY_BYTES = 64
 @dataclass(frozen=True)
 class Index:
     """``dictionary (feature_id, value, value_id, cnt)``, ``kept (feature_id, pos, name, flag, family)`` and
-    ``encoded``: the kept columns as ``f0 …``, after any columns carried along."""
+    ``encoded``: the kept columns as ``f0 …`` (listed in ``columns``), after any columns carried along."""
 
     dictionary: DataFrame
     kept: DataFrame
     encoded: DataFrame
-
-    @property
-    def columns(self) -> list[str]:
-        return [c for c in self.encoded.columns if c.startswith("f") and c[1:].isdigit()]
+    columns: list[str] = field(default_factory=list)
 
 
 def project_features(raw: DataFrame, spec: DataFrame, *keep: str) -> tuple[DataFrame, list[str], list[int]]:
@@ -53,34 +49,40 @@ def kept_fields(spec: DataFrame, sizes: DataFrame) -> DataFrame:
     return kept.select(number.alias("feature_id"), "pos", "name", "flag", "family")
 
 
-def build_dictionary(counts: DataFrame, kept: DataFrame, max_cutoff: int | None = None) -> DataFrame:
+def build_dictionary(counts: DataFrame, kept: DataFrame) -> DataFrame:
     """Value ids in string order, within each kept feature. ``counts.feature_id`` holds raw positions."""
     ids = kept.select(F.col("feature_id").alias("new_id"), "pos")
     known = counts.join(F.broadcast(ids), counts["feature_id"] == ids["pos"]).select(  # one row per column
         F.col("new_id").alias("feature_id"), "value", "cnt"
     )
-    if max_cutoff is not None and max_cutoff <= _ONE_TASK_VALUES:
-        ranked = rank_bounded(known, ["feature_id"], ["value"], "value_id")
-    else:
-        ranked = rank_ordered(known, ["feature_id"], ["value"], "value_id")
+    ranked = rank_ordered(known, ["feature_id"], ["value"], "value_id")
     return ranked.select("feature_id", "value", "value_id", "cnt")
 
 
 def encode(
-    data: DataFrame, columns: Sequence[str], dictionary: DataFrame, *keep: str, budget: int = BROADCAST_BYTES
+    data: DataFrame,
+    columns: Sequence[str],
+    dictionary: DataFrame,
+    *keep: str,
+    budget: int = BROADCAST_BYTES,
+    row_id: str | None = None,
 ) -> DataFrame:
     """Replace each column by its value ids ``f0 …``, NULL where the cell is missing or the value unknown.
 
-    ``dictionary`` is read once per feature and should be stored.
+    ``dictionary`` is read once per feature and should be stored. Where a dictionary is joined through a shuffle, a row
+    needs a number that a retried task repeats: column ``row_id`` of ``data``, or else the input is stored first.
     """
     facts = dictionary.groupBy("feature_id").agg(
-        F.sum(F.octet_length("value") + F.lit(_ENTRY_BYTES)).alias("bytes"), F.sum("cnt").alias("rows")
+        F.sum(F.octet_length("value") + F.lit(_ENTRY_BYTES)).alias("bytes"), F.sum("cnt").alias("rows"), F.max("value_id").alias("last")
     )
     sizes = {r["feature_id"]: r for r in facts.collect()}  # one row per feature
+    if too_large := [d for d, r in sizes.items() if r["last"] > _LAST_ID]:
+        raise ValueError(f"feature {too_large[0]} has more values than 32-bit ids")
     small = split_budget({d: r["bytes"] for d, r in sizes.items()}, budget)
-    out = data.select(*keep, *[F.nullif(F.col(c), F.lit("")).alias(f"_v{d}") for d, c in enumerate(columns)])
-    if len(small) < len(sizes):
-        out = out.withColumn("_row", F.monotonically_increasing_id())
+    values = [F.nullif(F.col(c), F.lit("")).alias(f"_v{d}") for d, c in enumerate(columns)]
+    out = data.select(*keep, *values, *([F.col(row_id).alias("_row")] if row_id else []))
+    if len(small) < len(sizes) and not row_id:
+        out = stage(out.withColumn("_row", F.monotonically_increasing_id()), "raw-cells")
     for d in range(len(columns)):
         if d in sizes:
             entries = dictionary.where(F.col("feature_id") == d)
@@ -100,18 +102,26 @@ def index_features(
     min_exclusive: bool = False,
     keep: Sequence[str] = (),
     budget: int = BROADCAST_BYTES,
+    row_id: str | None = None,
+    allow_empty: bool = False,
 ) -> Index:
     """Count, cut off, number and encode the raw columns named by ``spec``.
 
+    A raw column without any value is an error unless ``allow_empty`` lets it go as one below the cut-off. ``row_id`` is
+    one of ``keep``, a number taken at the scan (see ``encode``).
     Columns of ``raw`` in ``keep`` (a row id, say) are carried along; the others are matched to the spec by position.
     """
     data, columns, positions = project_features(raw, spec, *keep)
     counts = stage(value_counts(data, columns, positions), "value-counts")
-    sizes = within_cutoff(cardinality(counts), min_cutoff, max_cutoff, min_exclusive)
+    found = cardinality(counts)
+    if not allow_empty and (empty := [r["name"] for r in empty_features(spec, found).collect()]):
+        raise ValueError(f"no value in {', '.join(map(str, empty))}")
+    sizes = within_cutoff(found, min_cutoff, max_cutoff, min_exclusive)
     fields = kept_fields(raw_fields(spec), sizes)
     rows = fields.collect()  # one row per column
     kept = raw.sparkSession.createDataFrame(rows, fields.schema)
-    dictionary = stage(build_dictionary(counts, kept, max_cutoff), "dictionary", by=["feature_id"])
+    dictionary = stage(build_dictionary(counts, kept), "dictionary", by=["feature_id"])
     used = {r["pos"] for r in rows}
     kept_columns = [c for c, p in zip(columns, positions) if p in used]
-    return Index(dictionary, kept, encode(data, kept_columns, dictionary, *keep, budget=budget))
+    encoded = encode(data, kept_columns, dictionary, *keep, budget=budget, row_id=row_id)
+    return Index(dictionary, kept, encoded, [f"f{d}" for d in range(len(kept_columns))])

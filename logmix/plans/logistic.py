@@ -14,7 +14,7 @@ from logmix.functions.vectors import dot
 
 def components(points: DataFrame, x: str, dimensions: int) -> list[Column]:
     """The components of an array column as separate expressions."""
-    return [F.get(F.col(x), F.lit(i)) for i in range(dimensions)]
+    return [F.get(points[x], F.lit(i)) for i in range(dimensions)]
 
 
 def gradient(points: DataFrame, y: Column, x: Sequence[Column], weights: Sequence[float]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmix.functions.vectors import vector_line
+from logmix.operators import mixture
 from logmix.plans.clustering import Model
 
 
@@ -20,11 +21,6 @@ def write_table(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def write_dictionary(dictionary: DataFrame, path: str) -> None:
-    """The dictionary as parquet, one folder per feature."""
-    write_table(dictionary, path, ["feature_id"])
-
-
 def write_dictionary_text(dictionary: DataFrame, path: str, with_counts: bool = True) -> None:
     """Lines ``id TAB value [TAB count]`` in id order, one folder ``feature_id=<i>`` per feature."""
     parts = ["value_id", "value", "cnt"] if with_counts else ["value_id", "value"]
@@ -72,13 +68,17 @@ def load_model(spark: SparkSession, path: str) -> Model:
 
 
 def trace_table(model: Model) -> DataFrame:
-    """``(iter, feature_id, value_id, k, n, p)`` of every iteration of a fit that kept its trace."""
-    tables = [
-        theta.join(statistics, ["feature_id", "value_id", "k"]).select(
-            F.lit(i).alias("iter"), "feature_id", "value_id", "k", "n", "p"
+    """``(iter, feature_id, value_id, k, n, p)`` of every iteration of a fit that kept its trace.
+
+    The prior stands as feature -1, without statistics.
+    """
+    tables = []
+    for i, (statistics, theta, prior) in enumerate(model.trace, start=1):
+        steps = theta.join(statistics, ["feature_id", "value_id", "k"]).select("feature_id", "value_id", "k", "n", "p")
+        weights = mixture.prior_table(theta.sparkSession, prior).select(
+            F.lit(-1).alias("feature_id"), F.lit(0).alias("value_id"), "k", F.lit(None).cast("double").alias("n"), "p"
         )
-        for i, (statistics, theta, _) in enumerate(model.trace, start=1)
-    ]
+        tables.append(steps.unionByName(weights).select(F.lit(i).alias("iter"), "*"))
     result = tables[0]
     for table in tables[1:]:
         result = result.unionByName(table)

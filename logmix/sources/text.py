@@ -10,28 +10,27 @@ from pyspark.sql import functions as F
 from logmix.functions.text import split_lines
 
 
-# An input below this size may arrive as one or two tasks; a larger one is cut into enough of them by the scan itself.
-SMALL_INPUT_BYTES = 512 * 1024 * 1024
+# The number that each row of a file set gets where it is read.
+LINE = "_line"
 
 
-def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Spread rows over ``partitions`` tasks; by default over all cores, and only if the input is small.
+def numbered(scan: DataFrame, partitions: int | None = None) -> DataFrame:
+    """A scan with a number per row, which a retried task repeats; spread over ``partitions`` tasks only if asked to.
 
-    A single file with one row group is one task however many cores wait. A large input stays as it is: moving it would
-    cost a shuffle and gain nothing. ``df`` should be a scan, whose row numbers a retried task repeats; hashing them
-    spreads equal rows too and needs no sort.
+    The number is taken at the scan and carried along, so neither draws nor join slots depend on what comes after.
     """
-    if partitions is None:
-        if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SMALL_INPUT_BYTES:
-            return df
-        partitions = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(partitions, F.monotonically_increasing_id())
+    rows = scan.withColumn(LINE, F.monotonically_increasing_id())
+    return rows.repartition(partitions, LINE) if partitions else rows
 
 
 def read_lines(spark: SparkSession, path: str | list[str], partitions: int | None = None) -> DataFrame:
     """Lines of a file, folder or glob as column ``value``; ``partitions`` spreads them over that many tasks."""
-    lines = spark.read.text(path)
-    return spread(lines, partitions) if partitions else lines
+    return read_numbered_lines(spark, path, partitions).select("value") if partitions else spark.read.text(path)
+
+
+def read_numbered_lines(spark: SparkSession, path: str | list[str], partitions: int | None = None) -> DataFrame:
+    """``(value, _line)``."""
+    return numbered(spark.read.text(path), partitions)
 
 
 def lines_of(df: DataFrame, text: str, *keep: str) -> DataFrame:

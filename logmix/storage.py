@@ -6,8 +6,11 @@ survives the loss of any executor, keeps the columnar layout for later passes, a
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +19,11 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 STAGING = "/tmp/logmix-staging"
 
 
+def _default_folder(spark: SparkSession) -> str:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(STAGING)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; if none is named, one on the default Hadoop file system.
 
@@ -24,8 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(STAGING)
-    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    whole = _default_folder(spark)
     in_driver = spark.sparkContext.master.partition("[")[0] == "local"
     if whole.startswith("file:") and not in_driver:
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
@@ -36,9 +43,24 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+_scope: ContextVar[str] = ContextVar("scope", default="")
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path for a new folder of this application in the shared folder; nothing is created."""
-    return f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_folder(spark)}/{_scope.get()}{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete all that is staged inside when it ends, also by an error. Nothing returned may read it."""
+    name = f"scope-{uuid.uuid4().hex}"
+    token = _scope.set(f"{name}/")
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        _delete(spark, f"{_folder(spark)}/{name}")
 
 
 def stage(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -49,9 +71,10 @@ def stage(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def staged_path(df: DataFrame) -> str | None:
-    """The folder of a table that ``stage`` returned."""
-    files = df.inputFiles()
-    return files[0].rpartition("/")[0] if files else None
+    """The folder of a table that ``stage`` returned; None for other tables and for one without files."""
+    application = re.escape(df.sparkSession.sparkContext.applicationId)
+    found = [re.match(rf"(.*/{application}/(?:scope-[0-9a-f]{{32}}/)?[^/]+-[0-9a-f]{{32}})/", f) for f in df.inputFiles()[:1]]
+    return found[0][1] if found and found[0] else None
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
@@ -61,8 +84,7 @@ def _delete(spark: SparkSession, folder: str) -> None:
 
 def drop_table(df: DataFrame) -> None:
     """Delete one staged table; nothing that still reads it may run later."""
-    folder = staged_path(df)
-    if folder and folder.rpartition("/")[0].endswith(df.sparkSession.sparkContext.applicationId):
+    if folder := staged_path(df):
         _delete(df.sparkSession, folder)
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from conftest import rows
 from logmix import storage
 from logmix.operators.cells import approx_cardinality, cardinality, encoded_value_counts, largest_domain, value_counts
-from logmix.plans.counting import monte_carlo_share, random_points
 from logmix.plans.logistic import components, gradient, start_weights, train_logistic
 from logmix.sources import sinks, text
 
@@ -48,13 +47,6 @@ def test_extreme_margins_stay_finite(spark):
     assert np.isfinite(train_logistic(data, F.col("y"), components(data, "x", 1), 2, weights=[1.0])).all()
 
 
-def test_monte_carlo_share(spark):
-    share = monte_carlo_share(random_points(spark, 4, seed=1), F.col("x"), F.col("y")).first()
-    assert share["points"] == 400_000 and share["pi"] == pytest.approx(3.1416, abs=0.02)
-    corner = spark.createDataFrame([(0.0, 0.0), (1.0, 0.0)], "x double, y double")
-    assert monte_carlo_share(corner, F.col("x"), F.col("y")).first()["hits"] == 1
-
-
 def test_counts_with_a_hot_value(spark):
     """A third of the rows hold one value; missing cells do not count."""
     data = spark.range(30_000).select(
@@ -107,15 +99,32 @@ def test_a_cluster_without_a_shared_folder_is_an_error(monkeypatch):
         sparkContext = Context()
         conf = {}
 
+    monkeypatch.setattr(storage, "_default_folder", lambda _: "file:/tmp/staging")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.shared_folder(Session())
+    monkeypatch.setattr(storage, "_default_folder", lambda _: "hdfs://a/tmp/staging")
+    assert storage.shared_folder(Session()) == "hdfs://a/tmp/staging"
 
 
-def test_spread_only_moves_small_inputs(spark, tmp_path, monkeypatch):
-    sinks.write_table(spark.range(1000).coalesce(1), f"{tmp_path}/t")
+def test_numbers_are_taken_at_the_scan(spark, tmp_path):
+    sinks.write_table(spark.range(1000).repartition(3), f"{tmp_path}/t")
     stored = spark.read.parquet(f"{tmp_path}/t")
-    assert text.spread(stored).rdd.getNumPartitions() == 8
-    assert text.spread(stored, 3).rdd.getNumPartitions() == 3
-    assert sorted(r[0] for r in text.spread(stored).collect()) == list(range(1000))
-    monkeypatch.setattr(text, "SMALL_INPUT_BYTES", 0)
-    assert text.spread(stored).rdd.getNumPartitions() == stored.rdd.getNumPartitions()
+    plain = {r["id"]: r[text.LINE] for r in text.numbered(stored).collect()}
+    moved = text.numbered(stored, 7)
+    assert moved.rdd.getNumPartitions() == 7 and plain == {r["id"]: r[text.LINE] for r in moved.collect()}
+    assert text.numbered(stored).rdd.getNumPartitions() == stored.rdd.getNumPartitions()
+
+
+def test_scratch_is_deleted(spark):
+    with pytest.raises(KeyError), storage.scratch(spark):
+        kept = storage.stage(spark.range(3), "t")
+        path = storage.staged_path(kept)
+        assert kept.count() == 3
+        raise KeyError
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    outside = storage.stage(spark.range(3).selectExpr("id", "id AS k"), "t", by=["k"])
+    path = storage.staged_path(outside)
+    storage.drop_table(outside)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

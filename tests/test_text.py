@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from conftest import rows
 from logmix.functions import text as tx
 from logmix.plans.counting import word_count
-from logmix.plans.extraction import LOG_COLUMNS, LOG_WIDTH, TEXT_COLUMNS, extract_text, read_log
+from logmix.sources.text import read_tsv
+from logmix.plans.extraction import LOG_COLUMNS, LOG_WIDTH, TEXT_COLUMNS, extract_text
 
 
 def apply(spark, function, values):
@@ -88,9 +89,9 @@ def log_line(**fields):
 def test_log_columns(spark, tmp_path):
     assert LOG_WIDTH == len(set(LOG_COLUMNS)) == 63
     assert [LOG_COLUMNS.index(c) for c in TEXT_COLUMNS] == [9, 14, 15, 16, 17]
-    (tmp_path / "log.tsv").write_text(log_line(title="T", source="") + "\n")
-    row = read_log(spark, str(tmp_path / "log.tsv")).first()
-    assert row["title"] == "T" and row["pvid"] == "c0" and row["source"] is None
+    (tmp_path / "log.tsv").write_text(log_line(title="T", c62="") + "\n")
+    row = read_tsv(spark, str(tmp_path / "log.tsv"), LOG_COLUMNS).first()
+    assert row["title"] == "T" and row["c0"] == "c0" and row["c62"] is None
 
 
 def test_extract_text(spark):

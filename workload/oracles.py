@@ -35,7 +35,13 @@ FIELDS = [
     ("empty", "other"),
     ("orderkey", "key"),
 ]
-SPEC = "(VALUES " + ", ".join(f"({i}, '{n}', 0, '{f}')" for i, (n, f) in enumerate(FIELDS)) + ") spec(pos, name, flag, family)"
+FLAGS = [0] * len(FIELDS) + [1]
+FIELDS.append(("derived", "other"))
+SPEC = (
+    "(VALUES "
+    + ", ".join(f"({i}, '{n}', {flag}, '{f}')" for i, ((n, f), flag) in enumerate(zip(FIELDS, FLAGS)))
+    + ") spec(pos, name, flag, family)"
+)
 
 
 def union_cells(features: list[str], table: str, *keep: str) -> str:
@@ -236,17 +242,23 @@ def statistics_cte(i: int, hard: bool, per: str) -> str:
     )
 
 
-def update_cte(i: int) -> str:
+def update_cte(i: int, alpha: float | None = None, beta: float | None = None) -> str:
+    a = f"{alpha or 1 / K}::DOUBLE"
+    b, total = ("1.0::DOUBLE / v_size", "1") if beta is None else (f"{beta}::DOUBLE", f"{beta}::DOUBLE * v_size")
     return (
         f"theta{i + 1} AS MATERIALIZED (SELECT feature_id, value_id, k, "
-        f"(1.0::DOUBLE / v_size + n) / (1 + sum(n) OVER (PARTITION BY feature_id, k)) AS p FROM stats{i}), "
-        f"prior{i + 1} AS MATERIALIZED (SELECT k, (1.0::DOUBLE / {K} + coalesce(mass, 0)) / (1 + sum(mass) OVER ()) AS p "
+        f"({b} + n) / ({total} + sum(n) OVER (PARTITION BY feature_id, k)) AS p FROM stats{i}), "
+        f"prior{i + 1} AS MATERIALIZED (SELECT k, ({a} + coalesce(mass, 0)) / ({a} * {K} + sum(mass) OVER ()) AS p "
         f"FROM prior0 LEFT JOIN mass{i} USING (k))"
     )
 
 
-def fit_cte(iterations: int, hard: bool = False, per: str = "cells") -> str:
-    steps = [part for i in range(iterations) for part in (posterior_cte(i), statistics_cte(i, hard, per), update_cte(i))]
+def fit_cte(iterations: int, hard: bool = False, per: str = "cells", **pseudo: float) -> str:
+    steps = [
+        part
+        for i in range(iterations)
+        for part in (posterior_cte(i), statistics_cte(i, hard, per), update_cte(i, **pseudo))
+    ]
     return ", ".join([start_cte(), *steps])
 
 
@@ -262,9 +274,12 @@ def rounded(column: str, name: str | None = None) -> str:
 THETA = f"SELECT feature_id, value_id, k, {rounded('p')} FROM "
 
 ORACLES["nb_init"] = f"""
-WITH {LINEITEM_MODEL}, {start_cte(uniform(7, 'feature_id', 'value_id', 'k'))} {THETA} theta0"""
+WITH {LINEITEM_MODEL}, {start_cte(uniform(7, 'feature_id', 'value_id', 'k'))},
+draws AS (SELECT k, {uniform(7, "'prior'", 'k')} AS u FROM prior0)
+{THETA} theta0 UNION ALL SELECT -1, 0, k, {rounded('u / sum(u) OVER ()', 'p')} FROM draws"""
 ORACLES["nb_init_uniform"] = f"""
-WITH {LINEITEM_MODEL} SELECT feature_id, value_id, k, {rounded('1.0::DOUBLE / v_size', 'p')} FROM grid"""
+WITH {LINEITEM_MODEL} SELECT feature_id, value_id, k, {rounded('1.0::DOUBLE / v_size', 'p')} FROM grid
+UNION ALL SELECT -1, 0, unnest(range({K})), {1 / K}"""
 POSTERIOR = f"WITH {PART_MODEL}, {start_cte()}, {posterior_cte(0)}"
 ORACLES["nb_posterior"] = f"{POSTERIOR} SELECT r AS p_partkey, k, {rounded('p')} FROM post0"
 ORACLES["nb_posterior_joined"] = ORACLES["nb_posterior"]
@@ -293,19 +308,31 @@ def model(iterations: int, **options) -> str:
 ORACLES["nb_train_soft"] = model(3)
 ORACLES["nb_train_hard"] = model(2, hard=True)
 ORACLES["nb_train_records"] = model(2, per="records")
+ORACLES["nb_train_pseudo_counts"] = model(2, alpha=0.75, beta=0.25)
 ORACLES["nb_trace"] = f"WITH {LINEITEM_MODEL}, {fit_cte(2)} " + " UNION ALL ".join(
     f"SELECT {i + 1} AS iter, feature_id, value_id, k, {rounded('n')}, {rounded('t.p', 'p')} "
-    f"FROM stats{i} JOIN theta{i + 1} t USING (feature_id, value_id, k)"
+    f"FROM stats{i} JOIN theta{i + 1} t USING (feature_id, value_id, k) "
+    f"UNION ALL SELECT {i + 1}, -1, 0, k, NULL, {rounded('p')} FROM prior{i + 1}"
     for i in range(2)
 )
 ORACLES["nb_score"] = f"""
 WITH {PART_MODEL}, {fit_cte(2)}, {posterior_cte(2)} SELECT r AS p_partkey, k, {rounded('p')} FROM post2"""
 
-# --- vectors, logistic regression, Monte-Carlo share ---
+ORACLES["nb_saved_model_score"] = ORACLES["nb_score"]
+
+# --- vectors, logistic regression ---
+
+ORACLES["parse_vectors_scan"] = ORACLES["encode_features"]
+ORACLES["labelled_scan"] = f"""
+SELECT CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y, count(*) AS n, 3 AS dimensions,
+  {rounded('sum(CAST(CAST(l_quantity AS INTEGER) AS DOUBLE))', 'x0')}, {rounded('sum(CAST(l_linenumber AS DOUBLE))', 'x1')},
+  {rounded('sum(7.0::DOUBLE)', 'x2')} FROM lineitem GROUP BY 1"""
 
 ORACLES["vector_sum"] = f"""
-WITH parts AS (SELECT label, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
-SELECT label, i, {rounded('sum(2 * x)', 'total')} FROM parts GROUP BY 1, 2"""
+WITH parts AS (SELECT label, len(embedding) AS n, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x
+  FROM embeddings)
+SELECT label, i, {rounded('sum(x)', 'total')} FROM
+  (SELECT label, i, x FROM parts UNION ALL SELECT label, n - 1 - i, x FROM parts) GROUP BY 1, 2"""
 
 POINTS = """points AS MATERIALIZED (SELECT CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y,
   l_quantity / 50 AS x0, l_extendedprice / 100000 AS x1, l_discount * 10 AS x2, l_tax * 10 AS x3,
@@ -336,7 +363,3 @@ ORACLES["logreg_train"] = (
     + " "
     + " UNION ALL ".join(f"SELECT {j} AS i, {rounded(f'w{j}', 'w')} FROM w3" for j in range(5))
 )
-ORACLES["monte_carlo_share"] = f"""
-WITH points AS (SELECT {uniform(1, 'o_orderkey')} * 2 - 1 AS x, {uniform(2, 'o_orderkey')} * 2 - 1 AS y FROM orders),
-hits AS (SELECT count(*) AS points, CAST(sum(CASE WHEN x * x + y * y < 1 THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM points)
-SELECT points, hits, {rounded('4.0::DOUBLE * hits / points', 'pi')} FROM hits"""

@@ -17,8 +17,8 @@ from logmix.plans import counting, logistic
 from logmix.plans.extraction import extract_text
 from logmix.plans.indexing import encode, kept_fields, project_features
 from logmix.sources import sinks
-from logmix.sources.text import parse_spec, raw_fields, row_width_audit, split_tsv
-from logmix.storage import stage
+from logmix.sources.text import parse_labelled, parse_spec, parse_vectors, raw_fields, row_width_audit, split_tsv
+from logmix.storage import new_folder, stage
 from workload import tables as t
 from workload.tables import CLUSTERS, MAX_VALUES, MIN_VALUES, read
 
@@ -228,15 +228,16 @@ def line_index(spark, sf_dir):
 
 def _lineitem_patterns(spark, sf_dir):
     index = t.lineitem_index(spark, sf_dir)
-    patterns = cl.distinct_patterns(index.encoded, index.columns)
+    patterns = cl.distinct_patterns(stage(index.encoded, "encoded"), index.columns)
     return patterns, index.columns, stage(cl.data_domain(patterns, index.columns), "domain")
 
 
 def _part_model(spark, sf_dir):
     index = t.part_index(spark, sf_dir)
-    domain = stage(cl.data_domain(cl.distinct_patterns(index.encoded, index.columns), index.columns), "domain")
+    encoded = stage(index.encoded, "encoded")
+    domain = stage(cl.data_domain(cl.distinct_patterns(encoded, index.columns), index.columns), "domain")
     theta, prior = t.arithmetic_start(domain)
-    return index.encoded, index.columns, cl.Model(theta, prior, domain)
+    return encoded, index.columns, cl.Model(theta, prior, domain)
 
 
 def _statistics(spark, sf_dir, hard: bool, broadcast: set[int] | None = None):
@@ -256,13 +257,13 @@ def _by_cluster(df: DataFrame, key: str) -> DataFrame:
 @query
 def nb_init(spark, sf_dir):
     domain = _lineitem_patterns(spark, sf_dir)[2]
-    return mx.random_theta(domain, CLUSTERS, 7).withColumn("p", rounded("p"))
+    return _model_table(cl.Model(mx.random_theta(domain, CLUSTERS, 7), mx.random_prior(CLUSTERS, 7), domain))
 
 
 @query
 def nb_init_uniform(spark, sf_dir):
     domain = _lineitem_patterns(spark, sf_dir)[2]
-    return mx.uniform_theta(domain, CLUSTERS).withColumn("p", rounded("p"))
+    return _model_table(cl.Model(mx.uniform_theta(domain, CLUSTERS), [1 / CLUSTERS] * CLUSTERS, domain))
 
 
 @query
@@ -354,6 +355,12 @@ def nb_train_records(spark, sf_dir):
     return _model_table(fit_lineitem(spark, sf_dir, 2, prior="records"))
 
 
+@query
+def nb_train_pseudo_counts(spark, sf_dir):
+    """With given pseudo-counts in place of 1/K and 1/V."""
+    return _model_table(fit_lineitem(spark, sf_dir, 2, alpha=0.75, beta=0.25))
+
+
 @query
 def nb_trace(spark, sf_dir):
     trace = sinks.trace_table(fit_lineitem(spark, sf_dir, 2, keep_trace=True))
@@ -369,14 +376,42 @@ def nb_score(spark, sf_dir):
     return _by_cluster(cl.posterior(encoded, index.columns, model), "p_partkey")
 
 
-# --- vectors, logistic regression, Monte-Carlo share ---
+@query
+def nb_saved_model_score(spark, sf_dir):
+    """The same through a model that was written and read back."""
+    index = t.part_index(spark, sf_dir)
+    encoded = stage(index.encoded, "encoded")
+    path = new_folder(spark, "model")
+    sinks.save_model(cl.fit(encoded, index.columns, CLUSTERS, 2, start=t.arithmetic_start, stored=True), path)
+    return _by_cluster(cl.posterior(encoded, index.columns, sinks.load_model(spark, path)), "p_partkey")
+
+
+# --- vectors, logistic regression ---
+
+
+@query
+def parse_vectors_scan(spark, sf_dir):
+    """Parts as lines of ids, parsed back."""
+    index = t.part_index(spark, sf_dir)
+    line = vector_line([F.col(c) for c in index.columns])
+    return parse_vectors(index.encoded.select("p_partkey", line.alias("value")), len(index.columns), "p_partkey")
+
+
+@query
+def labelled_scan(spark, sf_dir):
+    """Line items as labelled lines, parsed back and added up by label."""
+    label = F.when(F.col("l_returnflag") == "R", 1).otherwise(-1)
+    line = F.concat_ws(" ", label.cast("string"), F.col("l_quantity").cast("int"), "l_linenumber", F.lit("7 8"))
+    points = parse_labelled(read(spark, sf_dir, "lineitem").select(line.alias("value")), 3)
+    sums = [rounded(F.sum(F.col("x")[i])).alias(f"x{i}") for i in range(3)]
+    return points.groupBy("y").agg(F.count("*").alias("n"), F.max(F.size("x")).alias("dimensions"), *sums)
 
 
 @query
 def vector_sum(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("e"))
-    doubled = vectors.select("label", F.posexplode(add_vectors(F.col("e"), F.col("e"))).alias("i", "x"))
-    return doubled.groupBy("label", "i").agg(rounded(F.sum("x")).alias("total"))
+    both = vectors.select("label", F.posexplode(add_vectors(F.col("e"), F.reverse(F.col("e")))).alias("i", "x"))
+    return both.groupBy("label", "i").agg(rounded(F.sum("x")).alias("total"))
 
 
 @query
@@ -395,9 +430,3 @@ def logreg_train(spark, sf_dir):
         points, F.col("y"), x, 3, weights=t.LOGISTIC_START, step=t.LOGISTIC_STEP
     )
     return spark.createDataFrame(list(enumerate(weights)), "i int, w double").withColumn("w", rounded("w"))
-
-
-@query
-def monte_carlo_share(spark, sf_dir):
-    share = counting.monte_carlo_share(t.order_points(spark, sf_dir), F.col("x"), F.col("y"))
-    return share.withColumn("pi", rounded("pi"))

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmix.functions.uniform import uniform
 from logmix.operators.mixture import normalize_theta, with_clusters
 from logmix.plans.indexing import Index, index_features
-from logmix.sources.text import lines_of, parse_spec, spread
+from logmix.sources.text import lines_of, parse_spec
 
 CLUSTERS = 4
 # Cut-offs of the indexing queries.
@@ -18,7 +17,7 @@ LOGISTIC_STEP = 1e-5
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spec(spark: SparkSession, *lines: str) -> DataFrame:
@@ -26,7 +25,8 @@ def spec(spark: SparkSession, *lines: str) -> DataFrame:
 
 
 def lineitem_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight string columns: five categorical ones (no discount counts as missing), a constant, an empty one, a key."""
+    """Nine string columns: five categorical ones (no discount counts as missing), a constant, an empty one, a key, and
+    a derived one without values."""
     return read(spark, sf_dir, "lineitem").select(
         F.col("l_returnflag").alias("returnflag"),
         F.col("l_linestatus").alias("linestatus"),
@@ -36,6 +36,7 @@ def lineitem_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("z").alias("constant"),
         F.lit("").alias("empty"),
         F.col("l_orderkey").cast("string").alias("orderkey"),
+        F.lit("").alias("derived"),
     )
 
 
@@ -50,11 +51,12 @@ def lineitem_spec(spark: SparkSession) -> DataFrame:
         "constant 0 other",
         "empty 0 other",
         "orderkey 0 key",
+        "derived 1 other",
     )
 
 
 def lineitem_index(spark: SparkSession, sf_dir: str) -> Index:
-    return index_features(lineitem_raw(spark, sf_dir), lineitem_spec(spark), MIN_VALUES, MAX_VALUES)
+    return index_features(lineitem_raw(spark, sf_dir), lineitem_spec(spark), MIN_VALUES, MAX_VALUES, allow_empty=True)
 
 
 def part_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,10 +113,3 @@ def labelled_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("x"),
     )
 
-
-def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A repeatable random point per order."""
-    key = F.col("o_orderkey")
-    return read(spark, sf_dir, "orders").select(
-        (uniform(1, key) * 2 - 1).alias("x"), (uniform(2, key) * 2 - 1).alias("y")
-    )
