@@ -18,8 +18,9 @@ last. Other columns are ignored. An empty table gives files without blocks, whic
 
 from __future__ import annotations
 
+import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from logmix.storage import new_folder
 LONGEST = 20  # bits of a code
 STRIDE = 512  # ids from one offset to the next
 BLOCK_IDS = 1 << 16  # a block is closed once it holds as many
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 1_000_000
 _NO_KEY = np.iinfo(np.int64).max
 
 
@@ -44,6 +45,8 @@ class TextEncoder:
     """
 
     def __init__(self, path: str, by_word: bool = True):
+        # A task has one core.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -53,6 +56,11 @@ class TextEncoder:
         self.by_word = by_word and bool(special)
         if self.by_word:
             self.separator_id, self.separator = next(iter(special.items()))
+        #: Whether an id ends a word.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.is_last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.is_last[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
         normalizer = self.tokenizer.normalizer
         self.lowers = normalizer is not None and normalizer.normalize_str("AZ") == "az"
         self.known: dict[bytes, bytes] = {}
@@ -60,16 +68,44 @@ class TextEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def _cut(self, words: list[bytes], size: int, joint: str, ends: Callable[[np.ndarray], np.ndarray], width: int) -> list[bytes] | None:
+        """The ids of words that are encoded ``size`` together, cut at the places that ``ends`` finds; None if they don't fit."""
+        parts = [words[i : i + size] for i in range(0, len(words), size)]
+        texts = [joint.join(w.decode() for w in part) for part in parts]
+        out: list[bytes] = []
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, self.kind)
+            cuts = ends(ids)
+            if len(cuts) != len(part):
+                return None
+            raw, at = ids.tobytes(), (cuts * self.kind.itemsize).tolist()
+            out += [raw[a:b] for a, b in zip([0, *(x + width * self.kind.itemsize for x in at)], at)]
+        return out
+
     def _learn(self, words: list[bytes]) -> None:
-        width = self.kind.itemsize
-        for i in range(0, len(words), 256):
-            part = words[i : i + 256]
-            text = self.separator.join(w.decode() for w in part)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
-            cuts = np.flatnonzero(ids == self.separator_id)
-            raw, starts = ids.tobytes(), [0, *(cuts + 1).tolist()]
-            for word, a, b in zip(part, starts, [*cuts.tolist(), len(ids)], strict=True):
-                self.known[word] = raw[a * width : b * width]
+        """Words of letters alone are joined by blanks, as each ends with a marked piece; others by a special token.
+
+        A full stop or comma after letters is a token of its own, so such a word is put together from both.
+        """
+        plain, other, composed = set(), [], []
+        for word in words:
+            text = word.decode()
+            if text.lower().isalpha():
+                plain.add(word)
+            elif text[-1:] in (".", ",") and text[:-1].lower().isalpha():
+                composed.append(word)
+                plain.add(word[:-1])
+                other += [] if word[-1:] in self.known else [word[-1:]]
+            else:
+                other.append(word)
+        plain = [w for w in plain if w not in self.known]
+        marked = lambda ids: np.flatnonzero(self.is_last[ids]) + 1
+        parted = lambda ids: np.append(np.flatnonzero(ids == self.separator_id), len(ids))
+        made = self._cut(plain, 128, " ", marked, 0)
+        self.known.update(zip(plain, made or self._cut(plain, 32, self.separator, parted, 1), strict=True))
+        self.known.update(zip(other, self._cut(other, 32, self.separator, parted, 1), strict=True))
+        for word in composed:
+            self.known[word] = self.known[word[:-1]] + self.known[word[-1:]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
@@ -83,8 +119,10 @@ class TextEncoder:
                 continue
             raw = text.encode()
             cut.append((raw.lower() if self.lowers else raw).replace(b"\n", b" ").split(b" "))
-        self._learn(list({w for words in cut if words for w in words}.difference(self.known)))
-        known = self.known.__getitem__
+        here = set().union(*(words for words in cut if words))
+        self._learn(list(here.difference(self.known)))
+        # A small table of the words at hand is faster to look up than all known ones.
+        known = {w: self.known[w] for w in here}.__getitem__
         return [self._whole(t) if words is None else b"".join(map(known, words)) for t, words in zip(texts, cut, strict=True)]
 
 
