@@ -35,10 +35,11 @@ from logmix.llm import batches as bt
 from logmix.llm.store import BlobStore, build_blobs
 
 BLANK = "▁"
-LONGEST = 256
+LONGEST = 60  # the places of a word are bits of a number
 _WORD = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
-_FLUSH_WORDS = 200_000
-_CACHED_WORDS = 200_000
+_FLUSH_WORDS = 60_000
+_PARTS = 4  # times the shuffle partitions: each word makes dozens of rows
+_CACHED_WORDS = 150_000
 _UNKNOWN_PENALTY = 10.0
 UNIGRAM, BPE = 1, 2
 
@@ -118,7 +119,8 @@ def _spelled(text: str) -> str:
 
 
 def _words_of(texts: DataFrame) -> DataFrame:
-    """Distinct words (of bounded length) of the column ``_text``."""
+    """Distinct words (of bounded length) of the column ``_text``, in more partitions than their few bytes would ask for."""
+    parts = _PARTS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def cut(batches):
         found: set[str] = set()
@@ -130,26 +132,35 @@ def _words_of(texts: DataFrame) -> DataFrame:
                     found = set()
         yield pa.record_batch([pa.array([w for w in found if len(w) <= LONGEST], pa.string())], ["word"])
 
-    return texts.mapInArrow(cut, "word string").distinct()
+    return texts.mapInArrow(cut, "word string").repartition(parts, "word").distinct()
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``(word, edges)``: the pieces in each word, as (start, end, score, id), characters counted from 0."""
-    spark = words.sparkSession
-    table = spark.createDataFrame(
-        [(p, i, pieces.scores[p]) for p, i in pieces.ids.items()], "piece string, id int, score float"
-    )
+    """``(word, edges)``: the pieces in each word, best-scored first, then from the left.
+
+    An edge has rank, start, end, score and id, and as bits its two bounds (``ends``) and the places between (``inside``).
+    Characters are counted from 0. A word without any piece has no row.
+    """
+    ranks = {score: k for k, score in enumerate(sorted(set(pieces.scores.values()), reverse=True))}
+    rows = [(p, i, pieces.scores[p], ranks[pieces.scores[p]]) for p, i in pieces.ids.items()]
+    table = words.sparkSession.createDataFrame(rows, "known string, id int, score float, rank int")
+    # A hash is a shorter key than text; the texts are compared where the hashes agree.
+    table = table.withColumn("hash", F.xxhash64("known"))
     n = F.length("word")
-    lengths = lambda s: F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - s))
-    spans = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda s: F.transform(lengths(s), lambda k: F.struct(s.alias("start"), (s + k).alias("end"), F.substring(F.col("word"), s + 1, k).alias("piece"))),
-    )
-    parts = words.where(n > 0).select("word", F.explode(F.flatten(spans)).alias("s")).select("word", "s.*")
-    # The vocabulary bounds the table of pieces. A word without any piece keeps a row.
-    joined = parts.join(F.broadcast(table), "piece", "left").where("id is not null or end = start + 1")
-    edge = F.struct("start", "end", "score", "id")
-    return joined.groupBy("word").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
+    starts = words.where(n > 0).select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    reach = F.least(F.lit(pieces.longest), n - F.col("start"))
+    sizes = starts.select("word", "start", F.explode(F.sequence(F.lit(1), reach)).alias("size"))
+    parts = sizes.withColumn("piece", F.substring(F.col("word"), F.col("start") + 1, F.col("size")))
+    parts = parts.withColumn("hash", F.xxhash64("piece"))
+    # The vocabulary bounds the table of pieces.
+    joined = parts.join(F.broadcast(table), (parts["hash"] == table["hash"]) & (F.col("piece") == F.col("known")))
+    end, one = F.col("start") + F.col("size"), F.lit(1).cast("long")
+    bit = lambda place: F.call_function("shiftleft", one, place)
+    edge = F.struct(
+        "rank", "start", end.alias("end"), "score", "id",
+        bit(F.col("start")).bitwiseOR(bit(end)).alias("ends"), (bit(end) - bit(F.col("start") + 1)).alias("inside"),
+    )
+    return joined.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def _viterbi(word: Column, edges: Column, unknown: float) -> Column:
@@ -176,29 +187,42 @@ def _viterbi(word: Column, edges: Column, unknown: float) -> Column:
 
 
 def _merges(word: Column, edges: Column) -> Column:
-    """Bounds of the pieces after all merges; each step takes out the bound inside the best pair."""
-    several = F.filter(edges, lambda e: e["end"] > e["start"] + 1)
+    """The bounds of the pieces after all merges, one bit each.
 
-    def step(bounds: Column, _: Column) -> Column:
-        place = lambda e: F.array_position(bounds, e["start"]).cast("int")  # noqa: E731  from 1, 0 for none
-        fits = F.filter(several, lambda e: (place(e) > 0) & (F.get(bounds, place(e) + 1) == e["end"]))
-        best = F.array_max(F.transform(fits, lambda e: F.struct(e["score"].alias("score"), (-e["start"]).alias("back"), bounds[place(e)].alias("inner"))))
-        return F.coalesce(F.array_remove(bounds, best["inner"]), bounds)
+    A pair can be merged if both ends of an edge are bounds and just one lies inside; each step takes that one out for the
+    first such edge in order of rank and place. A state without a pair left is negative and stays.
+    """
+    several = F.filter(edges, lambda e: e["inside"] != 0)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), F.sequence(F.lit(0), F.length(word)), step)
+    def step(state: Column, own: Column) -> Column:
+        fits = F.filter(own, lambda e: (state.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(state.bitwiseAND(e["inside"])) == 1))
+        first = F.get(fits, F.lit(0))["inside"]
+        return F.when(state < 0, state).otherwise(F.coalesce(state.bitwiseAND(F.bitwise_not(first)), -state))
+
+    zero = F.expr("shiftleft(1L, length(word) + 1) - 1L")
+    merge = lambda own: F.aggregate(F.sequence(F.lit(1), F.length(word)), zero, lambda s, _: step(s, own), F.abs)
+    return F.transform(F.array(several), merge)[0]
 
 
 def fold(edges: DataFrame, pieces: Pieces) -> DataFrame:
     """``(word, ids)`` from the lattice."""
-    bounds = _viterbi(F.col("word"), F.col("edges"), pieces.unknown_score) if pieces.kind == UNIGRAM else _merges(F.col("word"), F.col("edges"))
-    cut = edges.select("word", "edges", bounds.alias("bounds"))
-
-    def ids_of(start: Column, i: Column) -> Column:
-        end = F.col("bounds")[i + 1]
-        own = F.filter("edges", lambda e: (e["start"] == start) & (e["end"] == end))
+    if pieces.kind == UNIGRAM:
+        places = _viterbi(F.col("word"), F.col("edges"), pieces.unknown_score)
+        bits = F.aggregate(places, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
+    else:
+        bits = _merges(F.col("word"), F.col("edges"))
+    cut = edges.select("word", "edges", bits.alias("bits"))
+    on_path = F.filter("edges", lambda e: (F.col("bits").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("bits").bitwiseAND(e["inside"]) == 0))
+    # The pieces on the path, in their order in the word.
+    path = F.sort_array(F.transform(on_path, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"))))
+    cut = cut.select("word", "bits", path.alias("path"))
+
+    def spelled(start: Column) -> Column:
+        """The id of the piece at a place, or those of an unknown character."""
+        own = F.filter("path", lambda e: e["start"] == start)
         if not pieces.byte_ids:
             return F.array(F.coalesce(F.get(own, F.lit(0))["id"], F.lit(pieces.unknown)))
-        digits = F.hex(F.encode(F.substring(F.col("word"), start + 1, end - start), "UTF-8"))
+        digits = F.hex(F.encode(F.substring(F.col("word"), start + 1, F.lit(1)), "UTF-8"))
         byte_ids = F.array(*map(F.lit, pieces.byte_ids))
         as_bytes = F.transform(
             F.sequence(F.lit(0), (F.length(digits) / 2 - 1).cast("int")),
@@ -206,8 +230,11 @@ def fold(edges: DataFrame, pieces: Pieces) -> DataFrame:
         )
         return F.when(F.size(own) > 0, F.transform(own, lambda e: e["id"])).otherwise(as_bytes)
 
-    starts = F.slice("bounds", 1, F.size("bounds") - 1)
-    return cut.select("word", F.flatten(F.transform(starts, ids_of)).alias("ids"))
+    is_bound = lambda i: F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0
+    starts = F.filter(F.sequence(F.lit(0), F.length("word") - 1), is_bound)
+    whole = F.size("path") == F.bit_count("bits") - 1
+    ids = F.when(whole, F.transform("path", lambda e: e["id"])).otherwise(F.flatten(F.transform(starts, spelled)))
+    return cut.select("word", ids.alias("ids"))
 
 
 def fold_long(word: str, pieces: Pieces) -> list[int]:
@@ -279,20 +306,22 @@ def _encoded(texts: list[str], store: BlobStore, pieces: Pieces) -> list[bytes]:
 def encode(docs: DataFrame, text: str, keep: Sequence[str], model: str, pieces: Pieces | None = None) -> DataFrame:
     """The columns ``keep`` and ``ids array<int>`` of every row."""
     pieces = pieces or load(model)
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    words = _words_of(rows.select("_text"))
+    # A text that is kept anyway travels once.
+    own = text if text in keep else "_text"
+    rows = docs.select(*keep, *([] if text in keep else [F.col(text).alias("_text")]))
+    words = _words_of(rows.select(F.col(own).alias("_text")))
     number = F.transform("ids", lambda i: F.substring(F.hex(i.cast("long") + F.lit(1 << 32)), 2, 8))
     little = F.transform(number, lambda h: F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)]))
     table = fold(lattice(words, pieces), pieces)
     store = build_blobs(table.select(F.xxhash64("word").alias("key"), F.unhex(F.concat_ws("", little)).alias("value")), "key", "value", "words")
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("_text").dtypes)
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.select(*keep).dtypes)
 
     def run(batches):
         for batch in batches:
-            _, offsets = bt.raw_texts(batch.column("_text"))
+            _, offsets = bt.raw_texts(batch.column(own))
             for a, b in bt.slices(offsets):
                 part = batch.slice(a, b - a)
-                made = _encoded([t or "" for t in part.column("_text").to_pylist()], store, pieces)
+                made = _encoded([t or "" for t in part.column(own).to_pylist()], store, pieces)
                 ends = np.cumsum([0, *(len(m) // 4 for m in made)])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(made), "<i4")))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids], [*keep, "ids"])

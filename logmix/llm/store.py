@@ -42,12 +42,12 @@ def map_file(folder: str, name: str) -> np.ndarray:
     system, path = _open(folder)
     if isinstance(system, fs.LocalFileSystem):
         local = f"{path}/{name}"
-        return np.memmap(local, np.uint8, "r") if os.path.getsize(local) else np.zeros(0, np.uint8)
+        return np.asarray(np.memmap(local, np.uint8, "r")) if os.path.getsize(local) else np.zeros(0, np.uint8)
     with tempfile.NamedTemporaryFile() as scratch, system.open_input_stream(f"{path}/{name}") as source:
         while block := source.read(1 << 20):
             scratch.write(block)
         scratch.flush()
-        return np.memmap(scratch.name, np.uint8, "r") if scratch.tell() else np.zeros(0, np.uint8)
+        return np.asarray(np.memmap(scratch.name, np.uint8, "r")) if scratch.tell() else np.zeros(0, np.uint8)
 
 
 def columns(raw: np.ndarray, dtypes: list[str]) -> list[np.ndarray]:
@@ -167,15 +167,15 @@ class BlobStore:
         scrambled = mix(keys.view(np.uint64))
         wanted, back = np.unique(scrambled, return_inverse=True)
         start, end = self.index.lookup(wanted, [-1, -1])
-        found: list[bytes | None] = []
-        for shard, a, b in zip(shard_of(wanted, self.index.shards).tolist(), start.tolist(), end.tolist()):
-            if a < 0:
-                found.append(None)
-                continue
+        shards = shard_of(wanted, self.index.shards)
+        views = {}
+        for shard in np.unique(shards[start >= 0]).tolist():
             place = (self.index.folder, self.data[shard])
             if place not in _mapped:
                 _mapped[place] = [map_file(*place)]
-            found.append(_mapped[place][0][a:b].tobytes())
+            views[shard] = memoryview(_mapped[place][0])
+        spans = zip(shards.tolist(), start.tolist(), end.tolist())
+        found = [None if a < 0 else bytes(views[shard][a:b]) for shard, a, b in spans]
         return [found[i] for i in back.tolist()]
 
 

@@ -294,15 +294,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, settings: Set
 
 def score(docs: DataFrame, model: Model, keep: Sequence[str], text: str = "text") -> DataFrame:
     """``keep`` and ``score``, the chance that a row is toxic, for every row."""
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("_text").dtypes)
+    # A text that is kept anyway travels once.
+    own = text if text in keep else "_text"
+    rows = docs.select(*keep, *([] if text in keep else [F.col(text).alias("_text")]))
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.select(*keep).dtypes)
     names = [*keep, "score"]
 
     def run(batches):
         wanted, none = model.grammar.candidates(), [0] * len(FEATURES)
         for batch in batches:
             found = []
-            for part in batch.column("_text"):
+            for part in batch.column(own):
                 low = (part.as_py() or "").lower()
                 found.append(readings(model.grammar, low) if wanted.search(low) else none)
             p = model.score(np.array(found).reshape(len(found), len(FEATURES)))
