@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK, PERIOD = 16, 10_000
-_RANGE_ROWS = 20_000  # rows of a source that one task ranks, about
+_RANGE_ROWS = 4_000  # rows of a source that one task ranks, about
 
 
 def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
