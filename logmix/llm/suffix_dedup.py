@@ -38,7 +38,7 @@ from logmix.storage import new_folder
 
 LENGTH, GRAM = 50, 20
 _RUN = 32  # windows of a run, one bit each
-_FINER = 4  # contents are larger than owners' hashes, so they have as many times more shards
+_FINER = 4  # as many shards as there are shuffle partitions, times this, so that one fits a task beside its copies
 _NO_ID = np.iinfo(np.int64).max
 # A task sends what it has gathered after this many runs.
 FLUSH_RUNS = 250_000
@@ -144,10 +144,11 @@ def _repeated_windows(text: np.ndarray, size: np.ndarray, ids: np.ndarray, lengt
 def repeated_contents(docs: DataFrame, key: str, text: str, length: int, gram: int, shards: int) -> Store:
     """One entry per repeated content of a run: its hash, the smallest id with it, its repeated windows there."""
     folder = new_folder(docs.sparkSession, "repeats")
+    finer = shards * _FINER
     texts = docs.select(F.col(text).alias("_text"), F.col(key).alias("_id"))
 
     def send(keys, counts):
-        bounds = bt.shard_bounds(keys, shards)
+        bounds = bt.shard_bounds(keys, finer)
         used = np.flatnonzero(np.diff(bounds))
         blobs = [bt.pack(keys[bounds[k] : bounds[k + 1]], np.minimum(counts[bounds[k] : bounds[k + 1]], 2)) for k in used]
         return pa.record_batch([pa.array(used, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "blob"])
@@ -170,9 +171,7 @@ def repeated_contents(docs: DataFrame, key: str, text: str, length: int, gram: i
 
     sent = texts.mapInArrow(count_owners, "shard long, blob binary").repartition(shards, "shard")
     owners = sent.groupBy("shard").applyInArrow(store_owners, "shard long, file string").collect()  # one per shard
-    shared = Store(folder, {r["shard"]: r["file"] for r in owners}, shards, ["<u8"])
-
-    finer = shards * _FINER
+    shared = Store(folder, {r["shard"]: r["file"] for r in owners}, finer, ["<u8"])
 
     def send_contents(parts):
         owner, content, low, high, size, spans, text = (np.concatenate(x) for x in zip(*parts))
