@@ -292,7 +292,8 @@ def _encoded(texts: list[str], store: BlobStore, pieces: Pieces) -> list[bytes]:
     if len(known) > _CACHED_WORDS:
         known.clear()
     cut = [_WORD.findall(_spelled(t)) for t in texts]
-    new = list({w for words in cut for w in words}.difference(known))
+    here = set().union(*cut)
+    new = list(here.difference(known))
     short = [w for w in new if len(w) <= LONGEST]
     keys = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in short], np.uint64)
     for word, ids in zip(short, store.get(keys), strict=True):
@@ -300,7 +301,9 @@ def _encoded(texts: list[str], store: BlobStore, pieces: Pieces) -> list[bytes]:
     for word in new:
         if known.get(word) is None:
             known[word] = np.array(fold_long(word, pieces), "<i4").tobytes()
-    return [b"".join(map(known.__getitem__, words)) for words in cut]
+    # A small table of the words at hand is faster to look up than all known ones.
+    own = {w: known[w] for w in here}.__getitem__
+    return [b"".join(map(own, words)) for words in cut]
 
 
 def encode(docs: DataFrame, text: str, keep: Sequence[str], model: str, pieces: Pieces | None = None) -> DataFrame:
