@@ -1,16 +1,20 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 A source's rows, in the order of a hash, are cut into blocks of ``block`` rows. Weights are rounded to whole slots of a
-period. Block j of a source with n of P slots is released at ``floor(j P / n)`` and due at ``ceil((j + 1) P / n)``; each slot
-goes to the released block that is due first (ties: the name). Every block then runs within its window, and after t slots a
-source has had t n / P blocks, less than one more or less. Since every source is exactly served at the end of a period, the
-schedule repeats, so it is laid out for one period on the driver, and a row's slot and place follow by arithmetic.
+period of 2^40. Block j of a source with n of P slots is released at ``floor(j P / n)`` and due at ``ceil((j + 1) P / n)``;
+each slot goes to the released block that is due first (ties: the name). Every block then runs within its window, and after t
+slots a source has had t n / P blocks, less than one more or less. For k sources n / P differs from the weight by at most
+(k + 1) / P, so t slots are off the weight by t (k + 1) / P blocks besides: 0.00001 for 20 sources and 450,000 slots.
 
-Nothing is dropped: once a source has no blocks left its slots are skipped, and the others go on in proportion. A row's
-``position`` counts the rows before it, so positions are 0, 1, 2 ... without gaps.
+The driver lays out the slots that the table's blocks take (no more of the period), so it holds two numbers for each block.
+
+Nothing is dropped: once a source has no blocks left its slots are skipped, and the others go on in proportion. From slot
+``_SKIPPED`` on the slots of such a source are not laid out any more: they are left to the others, whose blocks still run
+within their windows, so that small weights do not make the layout longer than the table. A row's ``position`` counts the
+rows before it, so positions are 0, 1, 2 ... without gaps.
 
 The rank of a row in its source is made from counts by (source, range of the hash), so a source with a third of all rows is
-spread over many tasks; the driver sees one row per source, at most ``period`` of them.
+spread over many tasks.
 
 Weights must be positive numbers by source; without them the weight is the square root of a source's number of rows. A
 source without a weight is an error. A null source counts as the empty name. Rows with one id and text are told apart by
@@ -19,25 +23,28 @@ nothing and take neighbouring places; an empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, PERIOD = 16, 10_000
+BLOCK, PERIOD = 16, 1 << 40
+_SKIPPED = 4_000_000
 _RANGE_ROWS = 4_000  # rows of a source that one task ranks, about
 
 
 def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
     """Whole slots of a period by largest remainder, at least one for each."""
-    total = sum(weights.values())
     if min(weights.values(), default=1) <= 0 or len(weights) > period:
         raise ValueError("weights must be positive, and at most as many as the period has slots")
     spare = period - len(weights)
-    exact = {s: spare * w / total for s, w in weights.items()}
+    total = sum(map(Fraction, weights.values()))
+    exact = {s: spare * Fraction(w) / total for s, w in weights.items()}
     out = {s: 1 + int(x) for s, x in exact.items()}
     for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(out.values())]:
         out[s] += 1
@@ -46,44 +53,64 @@ def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
 
 @dataclass(frozen=True)
 class Schedule:
-    """One period: the slots of each source's blocks, and how many slots each source has had before each slot."""
+    """The slots of each source's blocks: of a whole period, which repeats, or of the blocks that there are."""
 
     sources: list[str]
     slots: list[int]  # per period, by source
     period: int
     place: list[np.ndarray]
-    before: np.ndarray  # (period, sources)
+
+    @property
+    def before(self) -> np.ndarray:
+        """(slots laid out, sources): how many blocks each source has had before each slot."""
+        last = max((int(p[-1]) for p in self.place if len(p)), default=-1)
+        return np.stack([np.searchsorted(p, np.arange(last + 1)) for p in self.place], axis=1)
 
     def window(self, source: int, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = self.slots[source]
-        return block * self.period // n, -(-(block + 1) * self.period // n)
+        n, exact = self.slots[source], block.astype(object)  # products of more than 64 bits
+        return (exact * self.period // n).astype(np.int64), (-(-(exact + 1) * self.period // n)).astype(np.int64)
 
     def slot(self, source: int, block: np.ndarray) -> np.ndarray:
-        n = self.slots[source]
+        n = len(self.place[source])
         return block // n * self.period + self.place[source][block % n]
 
-    def ahead(self, slot: np.ndarray, rows: np.ndarray, block: int) -> np.ndarray:
-        """How many rows stand in earlier slots, if source k has ``rows[k]``."""
-        had = (slot // self.period)[:, None] * np.array(self.slots) + self.before[slot % self.period]
-        return np.minimum(had * block, rows).sum(axis=1)
+    def starts(self, rows: Sequence[int], block: int) -> list[np.ndarray]:
+        """How many rows stand before each block laid out, by source, if source k has ``rows[k]``."""
+        sizes = [np.minimum(block, n - np.arange(len(p)) * block) for n, p in zip(rows, self.place, strict=True)]
+        order = np.argsort(np.concatenate([*self.place, np.zeros(0, np.int64)]))
+        size = np.concatenate([*sizes, np.zeros(0, np.int64)])[order]
+        ahead = np.zeros(len(order), np.int64)
+        ahead[order] = np.cumsum(size) - size
+        return np.split(ahead, np.cumsum([len(p) for p in self.place])[:-1])
 
 
-def schedule(weights: Mapping[str, float], period: int = PERIOD) -> Schedule:
-    """Earliest deadline first over the blocks of one period."""
+def schedule(weights: Mapping[str, float], period: int = PERIOD, blocks: Mapping[str, int] | None = None) -> Schedule:
+    """Earliest deadline first over ``blocks`` of each source, by default over those of one period."""
     by_source = shares(weights, period)
     sources = sorted(by_source)
-    slots = np.array([by_source[s] for s in sources], np.int64)
-    done = np.zeros(len(sources), np.int64)
+    slots = [by_source[s] for s in sources]
+    wanted = slots if blocks is None else [blocks[s] for s in sources]
     place: list[list[int]] = [[] for _ in sources]
-    before = np.zeros((period, len(sources)), np.int64)
-    for t in range(period if sources else 0):
-        before[t] = done
-        due = -(-(done + 1) * period // slots)
-        due[done * period // slots > t] = np.iinfo(np.int64).max  # not released yet
-        i = int(np.argmin(due))
-        place[i].append(t)
+    done = [0] * len(sources)
+    waiting, ready = [(0, i) for i in range(len(sources))], []  # by release, by deadline
+    left, t = sum(wanted), 0
+    while left:
+        while waiting and waiting[0][0] <= t:
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(done[i] + 1) * period // slots[i]), i))
+        if not ready:
+            t = waiting[0][0]
+            continue
+        i = heapq.heappop(ready)[1]
+        if done[i] < wanted[i]:
+            place[i].append(t)
+            left -= 1
+        elif t >= _SKIPPED:
+            continue
         done[i] += 1
-    return Schedule(sources, slots.tolist(), period, [np.array(p, np.int64) for p in place], before)
+        heapq.heappush(waiting, (done[i] * period // slots[i], i))
+        t += 1
+    return Schedule(sources, slots, period, [np.array(p, np.int64) for p in place])
 
 
 def mix(
@@ -99,12 +126,12 @@ def mix(
     rows = docs.select(
         *keep, F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"), F.col(key).alias("_key"), F.xxhash64(F.lit(3), key).alias("_hash")
     )
-    sizes = {r["_source"]: r["n"] for r in rows.groupBy("_source").agg(F.count("*").alias("n")).limit(period + 1).collect()}
+    sizes = {r["_source"]: r["n"] for r in rows.groupBy("_source").agg(F.count("*").alias("n")).collect()}
     weights = {s: n**0.5 for s, n in sizes.items()} if weights is None else weights
     if missing := sizes.keys() - weights.keys():
         raise ValueError(f"no weight for {sorted(missing)[:5]}")
-    plan = schedule({s: weights[s] for s in sizes}, period)
-    counts = np.array([sizes[s] for s in plan.sources], np.int64)
+    plan = schedule({s: weights[s] for s in sizes}, period, {s: -(-n // block) for s, n in sizes.items()})
+    starts = plan.starts([sizes[s] for s in plan.sources], block)
     # Ranges of the hash, as many as the largest source needs.
     ranges = max(1, -(-max(sizes.values(), default=1) // _RANGE_ROWS))
     spot = F.floor((F.shiftrightunsigned("_hash", 32) * ranges) / F.lit(2.0**32))
@@ -124,15 +151,12 @@ def mix(
             of = np.array([index[s] for s in batch.column("_source").to_pylist()], np.int64)
             rank = batch.column("_rank").to_numpy()
             nth = rank // block
-            release, deadline, slot = (np.zeros(len(rank), np.int64) for _ in range(3))
+            release, deadline, slot, ahead = (np.zeros(len(rank), np.int64) for _ in range(4))
             for i in np.unique(of).tolist():
                 own = np.flatnonzero(of == i)
                 release[own], deadline[own] = plan.window(i, nth[own])
-                slot[own] = plan.slot(i, nth[own])
-            taken, back = np.unique(slot, return_inverse=True)
-            step = max(1, 1_000_000 // max(1, len(counts)))
-            ahead = np.concatenate([plan.ahead(taken[a : a + step], counts, block) for a in range(0, len(taken), step)] or [taken])
-            made = [nth, release, deadline, slot, ahead[back] + rank % block]
+                slot[own], ahead[own] = plan.slot(i, nth[own]), starts[i][nth[own]]
+            made = [nth, release, deadline, slot, ahead + rank % block]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *map(pa.array, made)], names)
 
     return ranked.mapInArrow(place, f"{schema}, block long, release long, deadline long, slot long, position long")

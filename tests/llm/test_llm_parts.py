@@ -153,6 +153,29 @@ def test_shares_and_deviation():
         mixing.schedule({"a": 0.0}, 10)
 
 
+def test_deviation_from_the_weights_over_a_large_table():
+    """Twenty sources, one with a third of 600,000 rows, and the share of one in a million."""
+    sizes = {f"s{i:02}": 200_000 if i == 0 else 21_053 for i in range(20)}
+    roots = {s: n**0.5 for s, n in sizes.items()}
+    for weights in (roots, {**roots, "s19": sum(roots.values()) * 1e-6}):
+        blocks = {s: -(-n // mixing.BLOCK) for s, n in sizes.items()} | ({} if weights is roots else {"s19": 1})
+        plan = mixing.schedule(weights, blocks=blocks)
+        before = plan.before[: min(int(p[-1]) for p in plan.place if len(p) > 1)]
+        for i, s in enumerate(plan.sources):
+            target = np.arange(len(before)) * weights[s] / sum(weights.values())
+            assert np.abs(before[:, i] - target).max() < (1 + 1e-4)
+            assert len(plan.place[i]) == blocks[s] and (np.diff(plan.place[i]) > 0).all()
+
+
+def test_small_weights_do_not_lengthen_the_layout(monkeypatch):
+    monkeypatch.setattr(mixing, "_SKIPPED", 5000)
+    plan = mixing.schedule({"a": 1, "b": 1e-9, "c": 2e-9}, blocks={"a": 900, "b": 50, "c": 70})
+    for i, n in enumerate((900, 50, 70)):
+        release, deadline = plan.window(i, np.arange(n))
+        assert len(plan.place[i]) == n and ((release <= plan.place[i]) & (plan.place[i] < deadline)).all()
+    assert len(set(np.concatenate(plan.place).tolist())) == 1020
+
+
 def test_readings():
     grammar = toxicity.base_grammar({"blorp": 2})
     of = lambda text: {f for f, n in zip(toxicity.FEATURES, toxicity.readings(grammar, text.lower())) if n}
