@@ -5,7 +5,9 @@
 3. repeated passages: bytes that a 50-byte string covers which also starts in an earlier document go from the texts;
    a character of which only a part remains goes too, and n_chars follows;
 4. mixing: all documents stay, in the order of an earliest-deadline-first schedule of their sources;
-5. SentencePiece: the documents' columns, their ids, and the number of these.
+5. SentencePiece: the documents' columns, the place in the schedule (``position``, from 0 without gaps), their ids, and the
+   number of these. The place is read off the mixing stage's files, in the order of their part numbers and rows, since a scan
+   deals files by size. Rows of the result are in no order; sort by ``position`` for the schedule's.
 
 A null text counts as empty throughout and is empty after stage 3. Repeated rows (same id and text) stay together or go
 together in stages 1 and 2. Columns other than those of ``documents`` are dropped; an empty table gives no rows.
@@ -13,7 +15,9 @@ together in stages 1 and 2. Columns other than those of ``documents`` are droppe
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,12 +62,23 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_order(mixing.mix(docs, COLUMNS)).select(*COLUMNS)
 
 
+def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs``, read from the files of one ordered table, and ``position``, the place of a row in that table."""
+    rows = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = rows.groupBy("_file").agg(F.count("*").alias("n")).collect()
+    # Part numbers have five digits or more.
+    files.sort(key=lambda f: (int(re.match(r"part-(\d+)", f["_file"])[1]), f["_file"]))
+    first = accumulate((f["n"] for f in files), initial=0)
+    offsets = spark.createDataFrame([(f["_file"], n) for f, n in zip(files, first)], "_file string, _first long")
+    return rows.join(F.broadcast(offsets), "_file").select(*docs.columns, (F.col("_first") + F.col("_row")).alias("position"))
+
+
 @shipped
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = sentence_pieces.encode(docs, "text", COLUMNS, model)
+    encoded = sentence_pieces.encode(numbered(spark, docs), "text", [*COLUMNS, "position"], model)
     return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 

@@ -254,3 +254,18 @@ def test_pipeline(spark, folder):
     assert all(r.ids == library.encode(r.text) for r in kept["sentence_pieces"])
     assert sorted(rows["sentence_pieces"]) == sorted(rows["mixing"])
     assert stages.keys() == {"toxicity", "near_duplicates", "suffix_dedup", "mixing", "sentence_pieces"}
+
+
+def test_pipeline_ends_in_the_order_of_the_schedule(spark, folder):
+    """Files of unequal size, which a scan would not read in order."""
+    from logmix.llm import mixing
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").dropDuplicates(["doc_id"])
+    plan = {r.doc_id: r.position for r in mixing.mix(docs, ["doc_id"]).collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    stages["mixing"](spark, docs, folder).write.parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/ordered-{abs(hash(folder))}")
+    assert not plan or len(spark.read.parquet(path).inputFiles()) > 1
+    ended = stages["sentence_pieces"](spark, spark.read.parquet(path), folder)
+    assert {r.doc_id: r.position for r in ended.collect()} == plan
+    whole = corpus_pipeline.run(spark, folder)
+    assert sorted(r.position for r in whole.select("position").collect()) == list(range(whole.count()))
