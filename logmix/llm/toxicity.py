@@ -14,9 +14,11 @@ A clause's readings are the features; a text's are how many clauses hold each, s
 clause makes of it. A logistic model, learned from labelled rows, weighs them.
 
 The insults are a fixed list and stems learned from the labelled rows: word beginnings (4 to 8 letters), with the number of
-words of a text that must begin so (one to three), that at least ``least`` toxic texts hold and that are ``odds`` times likelier in toxic texts, taken one by one for texts that no insult
-explains so far. Learning reads at most ``sample`` labelled
-rows (those with the least hashes of their ids; whole texts), so the driver sees bounded counts whatever the input.
+words of a text that must begin so (one to three), that at least ``least`` toxic texts hold and that are ``odds`` times
+likelier in toxic texts, taken one by one for texts that no insult explains so far. Beginnings that the same texts hold are
+one candidate. Candidates are weighed in rounds, each over the texts that are still open, until no beginning passes, so a
+text whose words fill a round hides no other. Learning reads at most ``sample`` labelled rows (those with the least hashes of
+their ids; whole texts), so the driver sees bounded counts whatever the input.
 
 Empty and null texts and texts without any match get the score of no features. A label of a row that is not among the texts,
 a null label, and other columns are ignored; of a row's labels the largest counts. Repeated rows are scored alike. Without
@@ -35,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logmix.storage import drop_table, stage
 
 # Fixed word lists.
 INSULTS = (
@@ -58,8 +61,7 @@ class Settings:
     sample: int = 20_000  # labelled rows to learn from, at most
     least: int = 4
     odds: float = 20.0
-    candidates: int = 2000  # stems that are weighed against each other, at most
-    stems: int = 100  # learned stems, at most
+    candidates: int = 2000  # stems that are weighed against each other in a round
     ridge: float = 0.02
 
 
@@ -202,7 +204,7 @@ def _cover(found: list, size: dict[bool, int], settings: Settings) -> list[str]:
     toxic, weight = np.array([x[0] for x in found], bool), np.array([x[2] for x in found])
     holds = {s: np.array(i) for s, i in where.items()}
     open_, taken = np.ones(len(found), bool), []
-    while holds and len(taken) < settings.stems:
+    while holds:
         gains = {}
         for s, at in list(holds.items()):
             left = at[open_[at]]
@@ -219,37 +221,56 @@ def _cover(found: list, size: dict[bool, int], settings: Settings) -> list[str]:
     return taken
 
 
-def learn_stems(labelled: DataFrame, settings: Settings) -> dict[str, int]:
-    """Word beginnings that set toxic texts apart. ``labelled`` (bounded) holds ``_text`` and ``_toxic``."""
+def _round(labelled: DataFrame, taken: set[str], size: dict[bool, int], settings: Settings) -> list[str]:
+    """Stems for the texts that neither a fixed insult nor one of ``taken`` explains; none if no beginning passes."""
     fixed = base_grammar().candidates(("insult",))
 
+    def open_beginnings(text: str) -> set[str]:
+        found = set() if fixed.search(text.lower()) else _beginnings(text)
+        return found if found.isdisjoint(taken) else set()
+
     def count(batches):
         for batch in batches:
-            toxic, clean = Counter(), Counter()
-            for text, label in zip(batch.column("_text"), batch.column("_toxic").to_pylist()):
-                (toxic if label else clean).update(_beginnings(text.as_py() or ""))
-            seen = sorted(toxic.keys() | clean.keys())
-            sums = [pa.array([side.get(s, 0) for s in seen], pa.int64()) for side in (toxic, clean)]
-            yield pa.record_batch([pa.array(seen, pa.string()), *sums], ["stem", "toxic", "clean"])
-
-    size = {bool(r["_toxic"]): r["count"] for r in labelled.groupBy("_toxic").count().collect()}
-    if len(size) < 2:
-        return {}
-    counts = labelled.select("_text", "_toxic").mapInArrow(count, "stem string, toxic long, clean long")
-    sums = counts.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+            # By stem: toxic texts, clean texts, and a hash of which texts these are.
+            seen: dict[str, list[int]] = {}
+            for text, label, row in zip(batch.column("_text"), batch.column("_toxic").to_pylist(), batch.column("_row").to_pylist()):
+                for s in open_beginnings(text.as_py() or ""):
+                    sums = seen.setdefault(s, [0, 0, 0])
+                    sums[0 if label else 1] += 1
+                    sums[2] ^= row
+            columns = zip(*seen.values()) if seen else ((), (), ())
+            yield pa.record_batch([pa.array(seen, pa.string()), *(pa.array(c, pa.int64()) for c in columns)], ["stem", "toxic", "clean", "rows"])
+
+    rows = labelled.select("_text", "_toxic", F.xxhash64("_key").alias("_row"))
+    counts = rows.mapInArrow(count, "stem string, toxic long, clean long, rows long").groupBy("stem")
+    sums = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_xor("rows").alias("rows"))
     ratio = (F.col("toxic") / size[True]) / ((F.col("clean") + 0.5) / size[False])
     good = sums.where((F.col("toxic") >= settings.least) & (ratio >= settings.odds))
-    stems = {r["stem"] for r in good.orderBy(F.desc("toxic"), "stem").limit(settings.candidates).collect()}
+    # Of the stems that the same texts hold, the one that _cover would take.
+    order = F.struct((-F.substring("stem", 1, 1).cast("int")).alias("level"), F.length("stem").alias("length"), "stem")
+    best = good.groupBy("rows", (F.col("toxic") - 4 * F.col("clean")).alias("gain")).agg(F.max(order)["stem"].alias("stem"))
+    stems = {r["stem"] for r in best.orderBy(F.desc("gain"), "stem").limit(settings.candidates).collect()}
+    if not stems:
+        return []
 
     def hold(batches):
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column("_text")]
-            known = [[] if fixed.search(t.lower()) else sorted(_beginnings(t) & stems) for t in texts]
+            known = [sorted(open_beginnings(t.as_py() or "") & stems) for t in batch.column("_text")]
             yield pa.record_batch([batch.column("_toxic"), pa.array(known, pa.list_(pa.string()))], ["toxic", "stems"])
 
     held = labelled.select("_text", "_toxic").mapInArrow(hold, "toxic int, stems array<string>")
-    rows = held.where(F.size("stems") > 0).groupBy("toxic", "stems").count().collect()  # of a bounded sample
-    taken = _cover([(bool(r["toxic"]), r["stems"], r["count"]) for r in rows], size, settings)
+    found = held.where(F.size("stems") > 0).groupBy("toxic", "stems").count().collect()  # of a bounded sample
+    return _cover([(bool(r["toxic"]), r["stems"], r["count"]) for r in found], size, settings)
+
+
+def learn_stems(labelled: DataFrame, settings: Settings) -> dict[str, int]:
+    """Word beginnings that set toxic texts apart. ``labelled`` (bounded) holds ``_key``, ``_text`` and ``_toxic``."""
+    size = {bool(r["_toxic"]): r["count"] for r in labelled.groupBy("_toxic").count().collect()}
+    if len(size) < 2:
+        return {}
+    taken: set[str] = set()
+    while new := _round(labelled, taken, size, settings):
+        taken.update(new)
     levels: dict[str, int] = {}
     for stem in taken:
         levels[stem[1:]] = min(int(stem[0]), levels.get(stem[1:], _LEVELS))
@@ -283,9 +304,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, settings: Set
     chosen = known.orderBy(F.xxhash64("_key"), "_key").limit(settings.sample)
     # At most ``sample`` rows of two numbers.
     labelled = pairs.join(F.broadcast(chosen), "_key").select("_key", "_text", F.col("_toxic").cast("int").alias("_toxic"))
-    labelled = labelled.dropDuplicates(["_key"])
+    labelled = stage(labelled.dropDuplicates(["_key"]), "labelled")  # read in every round
     grammar = base_grammar(learn_stems(labelled, settings))
     found = _features(labelled, grammar, ["_toxic"]).groupBy("_toxic", "features").count().collect()
+    drop_table(labelled)
     n = [r["count"] for r in found]
     x = np.repeat(np.array([r["features"] for r in found]).reshape(len(found), len(FEATURES)), n, axis=0)
     y = np.repeat(np.array([r["_toxic"] for r in found], float), n)

@@ -176,6 +176,23 @@ def test_small_weights_do_not_lengthen_the_layout(monkeypatch):
     assert len(set(np.concatenate(plan.place).tolist())) == 1020
 
 
+def test_a_text_in_many_copies_hides_no_other_stem(spark):
+    """Its rarer words begin in more ways than are weighed in a round."""
+    draw = np.random.default_rng(8)
+    word = lambda: "".join(chr(97 + c) for c in draw.integers(0, 26, 9))
+    plain = [word() for _ in range(40)]
+    long = " ".join(word() for _ in range(600))
+    texts = [(long, 1)] * 60 + [(f"{plain[i % 40]} {plain[i * 7 % 40]} blorp{word()}", 1) for i in range(12)]
+    texts += [(f"{plain[i % 40]} {plain[i * 3 % 40]}", 0) for i in range(300)]
+    rows = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(texts)], "_key long, _text string, _toxic int")
+    stems = toxicity.learn_stems(rows, toxicity.Settings())
+    assert any("blorp".startswith(s) or s.startswith("blorp") for s in stems)
+    assert any(w.startswith(s) for s in stems for w in long.split())
+    # A portion of one candidate a round ends with every toxic text explained, too.
+    one = toxicity.base_grammar(toxicity.learn_stems(rows, toxicity.Settings(candidates=1)))
+    assert all(any(toxicity.readings(one, t)) == bool(y) for t, y in texts)
+
+
 def test_readings():
     grammar = toxicity.base_grammar({"blorp": 2})
     of = lambda text: {f for f, n in zip(toxicity.FEATURES, toxicity.readings(grammar, text.lower())) if n}
