@@ -12,7 +12,8 @@
    batches and exact sets, but for those already connected. No cap: what is large becomes more blocks.
 5. Components of the verified links, carried back to the rows of each class.
 
-A pair at the threshold is no candidate with a chance of ``(1 - t^rows)^bands``, 8e-7 here. A text with fewer words than a
+A pair at the threshold is no candidate with a chance of ``(1 - t^rows)^bands``, at most ``miss``: bands are as long as that
+allows, 24 of 5 at a threshold of 0.85 (8e-7), 30 of 4 at 0.8 (1.4e-7). A text with fewer words than a
 shingle is one shingle; a text without words (or null) links with nothing and is its own component. Repeated rows share
 their class. A row without an id counts as larger than all others. Other columns are ignored; no rows, no result.
 """
@@ -21,6 +22,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import count
 from math import comb
 
 import numpy as np
@@ -40,18 +43,36 @@ _FLUSH = 2_000_000
 
 @dataclass(frozen=True)
 class Settings:
-    """Link sets with ``100 * common >= percent * union``. The signature has ``bands * rows`` positions."""
+    """Link sets with ``100 * common >= percent * union``. The signature has at least ``least`` positions, cut into bands."""
 
     shingle: int = 5
     percent: int = 80
-    bands: int = 24
-    rows: int = 5
     batch: int = 24
     miss: float = 1e-6
+    least: int = 120
+
+    @cached_property
+    def rows(self) -> int:
+        """Positions of a band."""
+        return self._layout[1]
+
+    @cached_property
+    def bands(self) -> int:
+        return self._layout[0] // self._layout[1]
 
     @property
     def positions(self) -> int:
-        return self.bands * self.rows
+        return self._layout[0]
+
+    @cached_property
+    def _layout(self) -> tuple[int, int]:
+        """The fewest positions, whole batches, and the longest bands of them, that miss a pair at the threshold rarely enough."""
+        if not 0 < self.percent <= 100 or not 0 < self.miss < 1:
+            raise ValueError("percent must be above 0 and at most 100, miss between 0 and 1")
+        for positions in count(-(-self.least // self.batch) * self.batch, self.batch):
+            for rows in range(positions, 0, -1):
+                if positions % rows == 0 and (1 - (self.percent / 100) ** rows) ** (positions // rows) <= self.miss:
+                    return positions, rows
 
     def least_matches(self) -> list[tuple[int, int]]:
         """After the first n positions, the fewest equal ones with which a pair stays."""

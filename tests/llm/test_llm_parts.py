@@ -130,6 +130,14 @@ def test_pruning_never_drops_an_equal_pair():
     assert [n for n, _ in least][-1] == settings.positions and all(m <= n for n, m in least)
 
 
+@pytest.mark.parametrize("percent", [10, 50, 80, 85, 95, 100])
+def test_bands_fit_the_threshold(percent):
+    settings = minhash_dedup.Settings(percent=percent)
+    assert (1 - (percent / 100) ** settings.rows) ** settings.bands <= settings.miss
+    assert settings.bands * settings.rows == settings.positions and settings.positions % settings.batch == 0
+    assert percent != 85 or (settings.bands, settings.rows) == (24, 5)
+
+
 def test_large_groups_are_split(spark, monkeypatch):
     """A ring of near copies: most are not linked with the pivot, and blocks of two hold them."""
     monkeypatch.setattr(minhash_dedup, "_BLOCK", 2)
