@@ -1,8 +1,8 @@
-"""Removal of byte strings repeated across documents, by prefix doubling over sampled positions.
+"""Removal of byte strings repeated across documents, by content-defined sampling and look-ups of hashes.
 
-A byte is removed if a string of ``length`` bytes covers it that also starts in a document with a smaller id. Positions get
-a rank, equal for equal prefixes; Spark sorts (rank, next rank) pairs by shard of the rank at growing offsets, and a position
-leaves once its rank is unique.
+A byte is removed if a string of ``length`` bytes covers it that also starts in a document with a smaller id. This is not
+prefix doubling: Spark sorts no (rank, next rank) pairs and reranks nothing in rounds. Sampled positions are told apart by
+hashes of what they begin, in three steps, and a position leaves once its hash is unique.
 
 * Only sampled positions carry a rank. Each window of ``length`` bytes is owned by the least hash of its ``gram``-byte
   strings, which depends on the window alone, so equal windows have equal owners. Neighbouring windows with one owner form
