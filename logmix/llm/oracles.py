@@ -25,4 +25,80 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op5_chat_format": _CHAT}
+
+def crc32(codes: str) -> str:
+    """The checksum of a list of bytes, where a table ``crc`` holds the 256 remainders as ``remainders``."""
+    every = "4294967295"
+    return (
+        f"xor({every}, list_reduce({codes}, lambda c, b: xor(c >> 8, remainders[(xor(c, b) & 255) + 1]), {every}))"
+    )
+
+
+_CRC = """crc AS MATERIALIZED (
+  SELECT list(v ORDER BY n) AS remainders FROM (
+    SELECT n, list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n) AS v
+    FROM range(256) r(n)))"""
+_ASCII = "list_transform(string_split({}, ''), lambda c: CAST(ord(c) AS BIGINT))"
+
+# Turn by turn: the cheapest edits that lead to each place of the pattern (0 nothing yet, 1 system, 2 user, 3 assistant).
+_REPAIR = f"""
+WITH RECURSIVE {_CRC},
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations
+), harmed AS (SELECT *, {crc32(_ASCII.format("name"))} % 20 AS harm FROM named, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+    CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE harm WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM harmed
+), convs AS MATERIALIZED (SELECT conv_id, row_number() OVER () AS g FROM (SELECT DISTINCT conv_id FROM conversations)),
+found AS (
+  SELECT g, turn, role, text, left(role, 1) AS initial,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last,
+    row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+    row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text, copy) AS k
+  FROM damaged JOIN convs ON damaged.conv_id IS NOT DISTINCT FROM convs.conv_id
+), turns AS MATERIALIZED (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY g ORDER BY k) || initial AS pair
+  FROM found
+), steps(initial, p, q) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+edits AS MATERIALIZED (
+  SELECT g, k, p, p AS q, 2 AS cost, 'D' AS edit FROM turns, range(4) r(p)
+  UNION ALL SELECT g, k, p, q, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, 'K' FROM turns JOIN steps USING (initial) WHERE fault IN ('', 'truncated')
+  UNION ALL SELECT g, k, p, q, CASE fault WHEN 'truncated' THEN 6 ELSE 1 END, 'R' FROM turns, steps WHERE fault IN ('', 'truncated') AND steps.initial <> 's'
+), inserted(p, q, cost, audit) AS (
+  VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 2, 5, 'I'), (1, 3, 10, 'II'), (2, 3, 5, 'I'), (3, 2, 5, 'I')
+), places(g, k, place, cost, audit) AS (
+  SELECT g, 0::BIGINT, 0, 0, '' FROM convs
+  UNION ALL
+  SELECT g, k, q, best.cost, best.audit FROM (
+    SELECT s.g, e.k, e.q, min({{'cost': s.cost + i.cost + e.cost, 'audit': s.audit || i.audit || e.edit}}) AS best
+    FROM places s JOIN inserted i ON s.place = i.p JOIN edits e ON e.g = s.g AND e.k = s.k + 1 AND e.p = i.q GROUP BY ALL)
+), sizes AS (SELECT g, max(k) AS n FROM places GROUP BY g),
+plans AS MATERIALIZED (
+  SELECT g, min({{'cost': s.cost + i.cost, 'audit': s.audit || i.audit}}) AS best
+  FROM places s JOIN sizes USING (g) JOIN inserted i ON s.place = i.p WHERE s.k = n AND i.q IN (0, 3) GROUP BY g
+), letters AS (SELECT g, unnest(range(1, length(best.audit) + 1)) AS spot, best.audit AS audit FROM plans),
+placed AS (
+  SELECT g, spot, substr(audit, spot, 1) AS edit, sum(CASE WHEN substr(audit, spot, 1) <> 'I' THEN 1 ELSE 0 END) OVER before AS k,
+    sum(CASE WHEN substr(audit, spot, 1) <> 'D' THEN 1 ELSE 0 END) OVER before AS place
+  FROM letters WINDOW before AS (PARTITION BY g ORDER BY spot)
+), kept AS (
+  SELECT p.g, spot, edit, place, role, text, max(CASE WHEN place = 1 AND edit = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.g) AS opened
+  FROM placed p LEFT JOIN turns t ON p.g = t.g AND p.k = t.k WHERE edit <> 'D'
+), repaired AS (
+  SELECT g, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - opened) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY spot) AS all_turns FROM kept GROUP BY g
+), facts AS (
+  SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY g
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(best.cost AS BIGINT) AS cost, best.audit AS audit, sha256(coalesce(all_turns, '')) AS repaired_sha256
+FROM convs JOIN plans USING (g) LEFT JOIN facts USING (g) LEFT JOIN repaired USING (g)
+"""
+
+ORACLES: dict[str, str] = {"op5_chat_format": _CHAT, "op13_conversation_repair": _REPAIR}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmix.llm import chat_format, fingerprints, huffman_ids, language_model, minhash_dedup, mixing, multi_index, sentence_pieces, suffix_dedup, toxicity
+from logmix.llm import chat_format, conversation_repair, fingerprints, huffman_ids, language_model, minhash_dedup, mixing, multi_index, sentence_pieces, suffix_dedup, toxicity
 from logmix.llm.shipping import shipped
 from logmix.storage import new_folder, stage
 
@@ -96,6 +96,16 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(rows, F.col("vec_id") % 100 == 0, "vec_id", "embedding")
 
 
+@shipped
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = stage(conversation_repair.with_faults(conversation_repair.damage(rows)), "turns")
+    reports = stage(conversation_repair.parse(turns), "reports")
+    digests = conversation_repair.digests(turns, reports)
+    # A conversation may have no id.
+    return reports.join(digests, reports["conv_id"].eqNullSafe(digests["conv_id"])).select(reports["*"], "repaired_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_model": op1_language_model,
     "op2_fingerprints": op2_fingerprints,
@@ -107,4 +117,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_multi_index": op10_multi_index,
+    "op13_conversation_repair": op13_conversation_repair,
 }
