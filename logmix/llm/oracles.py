@@ -101,4 +101,16 @@ SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce
 FROM convs JOIN plans USING (g) LEFT JOIN facts USING (g) LEFT JOIN repaired USING (g)
 """
 
-ORACLES: dict[str, str] = {"op5_chat_format": _CHAT, "op13_conversation_repair": _REPAIR}
+# Whole numbers below 2^53 throughout on the given tables, so sums of doubles are exact.
+_PRODUCTS = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, x.vec_id AS vec_id, CAST(list_dot_product(q.v, x.v) AS BIGINT) AS score
+  FROM vectors q JOIN vectors x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM pairs)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5
+"""
+
+ORACLES: dict[str, str] = {"op5_chat_format": _CHAT, "op12_voronoi_join": _PRODUCTS, "op13_conversation_repair": _REPAIR}
