@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmix.llm import chat_format, conversation_repair, fingerprints, huffman_ids, language_model, minhash_dedup, mixing, multi_index, sentence_pieces, suffix_dedup, toxicity, voronoi_join
+from logmix.llm import chat_format, conversation_repair, fingerprints, huffman_ids, language_model, minhash_dedup, mixing, multi_index, sentence_pieces, spelling, suffix_dedup, toxicity, voronoi_join
 from logmix.llm.shipping import shipped
 from logmix.storage import new_folder, stage
 
@@ -96,6 +96,11 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(rows, F.col("vec_id") % 100 == 0, "vec_id", "embedding")
 
 
+@shipped
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @shipped
 def op12_voronoi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi_join.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, "vec_id", "embedding")
@@ -122,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_multi_index": op10_multi_index,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_voronoi_join": op12_voronoi_join,
     "op13_conversation_repair": op13_conversation_repair,
 }
