@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logmix.operators.cells import cardinality, empty_features, value_counts, within_cutoff
+from logmix.operators.cells import cardinality, empty_features, to_cells, value_counts, within_cutoff
 from logmix.operators.lookup import BROADCAST_BYTES, Keyed, lookup, split_budget
 from logmix.operators.ranking import rank_ordered
 from logmix.sources.text import raw_fields
@@ -59,6 +59,21 @@ def build_dictionary(counts: DataFrame, kept: DataFrame) -> DataFrame:
     return ranked.select("feature_id", "value", "value_id", "cnt")
 
 
+def _long_lookup(rows: DataFrame, large: Sequence[int], dictionary: DataFrame, filled: int) -> DataFrame:
+    """``(_row, _id…)``: the value ids of the features ``large`` for every row that has one.
+
+    The cells of all these features go through one join on (feature, value), in which hot pairs are broadcast, and the ids
+    found go back to their rows by number. That is one shuffle of cells and one of ids, however many features there are; the
+    rows themselves move once, to meet their ids. ``filled`` is the number of cells with a value.
+    """
+    pair = F.struct("feature_id", "value").alias("_pair")
+    cells = to_cells(rows, [f"_v{d}" for d in large], large, "_row").select("_row", "feature_id", pair)
+    entries = dictionary.where(F.col("feature_id").isin(list(large))).select(pair, "value_id", "cnt")
+    found = lookup(cells, "_pair", Keyed(entries, "_pair", "value_id", filled), "_id", False, F.col("_row"))
+    own = [F.max(F.when(F.col("feature_id") == d, F.col("_id"))).alias(f"_id{d}") for d in large]
+    return found.where(F.col("_id").isNotNull()).groupBy("_row").agg(*own)
+
+
 def encode(
     data: DataFrame,
     columns: Sequence[str],
@@ -69,8 +84,9 @@ def encode(
 ) -> DataFrame:
     """Replace each column by its value ids ``f0 …``, NULL where the cell is missing or the value unknown.
 
-    ``dictionary`` is read once per feature and should be stored. Where a dictionary is joined through a shuffle, a row
-    needs a number that a retried task repeats: column ``row_id`` of ``data``, or else the input is stored first.
+    ``dictionary`` is read once per broadcast feature, and once for all others, and should be stored. Where dictionaries are
+    joined through a shuffle, a row needs a number that a retried task repeats: column ``row_id`` of ``data``, or else the
+    input is stored first.
     """
     facts = dictionary.groupBy("feature_id").agg(
         F.sum(F.octet_length("value") + F.lit(_ENTRY_BYTES)).alias("bytes"), F.sum("cnt").alias("rows"), F.max("value_id").alias("last")
@@ -79,17 +95,21 @@ def encode(
     if too_large := [d for d, r in sizes.items() if r["last"] > _LAST_ID]:
         raise ValueError(f"feature {too_large[0]} has more values than 32-bit ids")
     small = split_budget({d: r["bytes"] for d, r in sizes.items()}, budget)
+    large = sorted(sizes.keys() - small)
     values = [F.nullif(F.col(c), F.lit("")).alias(f"_v{d}") for d, c in enumerate(columns)]
-    out = data.select(*keep, *values, *([F.col(row_id).alias("_row")] if row_id else []))
-    if len(small) < len(sizes) and not row_id:
-        out = stage(out.withColumn("_row", F.monotonically_increasing_id()), "raw-cells")
+    rows = data.select(*keep, *values, *([F.col(row_id).alias("_row")] if row_id else []))
+    if large and not row_id:
+        rows = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "raw-cells")
+    out = rows
     for d in range(len(columns)):
-        if d in sizes:
+        if d in small:
             entries = dictionary.where(F.col("feature_id") == d)
-            keyed = Keyed(entries, "value", "value_id", sizes[d]["rows"])
-            out = lookup(out, f"_v{d}", keyed, f"_id{d}", d in small, F.col("_row"))
-        else:
+            out = lookup(out, f"_v{d}", Keyed(entries, "value", "value_id", sizes[d]["rows"]), f"_id{d}", True)
+        elif d not in sizes:
             out = out.withColumn(f"_id{d}", F.lit(None))
+    if large:
+        filled = sum(sizes[d]["rows"] for d in large)
+        out = out.join(_long_lookup(rows, large, dictionary, filled), "_row", "left")
     return out.select(*keep, *[F.col(f"_id{d}").cast("int").alias(f"f{d}") for d in range(len(columns))])
 
 

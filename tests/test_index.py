@@ -12,6 +12,7 @@ from logmix.operators.ranking import rank_ordered
 from logmix.plans.counting import line_index
 from logmix.plans.indexing import encode, index_features
 from logmix.sources import sinks, text
+from logmix.storage import stage
 
 SPEC = "color 0 look\nscore 1 look\nsize\t0\tlook\nconst 0 other\n"
 RAW = "red\t0.1\tS\tz\nblue\t0.2\tL\tz\n\t0.3\tS\tz\nred\t0.4\t\tz\n"
@@ -161,6 +162,28 @@ def test_unknown_values_are_missing(spark):
     assert rows(encode(data, ["x"], dictionary)) == [(0,), (None,), (None,), (None,)]
 
 
+def test_large_dictionaries_share_one_shuffle(spark):
+    """Three large columns cost as many exchanges as one, a hot pair and missing cells included, and give the same ids."""
+    data = hot_rows(spark).select("id", "value", F.concat(F.lit("w"), (F.col("id") % 9).cast("string")).alias("b"), F.nullif("value", F.lit("v7")).alias("c"))
+    data = stage(data.withColumn("row", F.monotonically_increasing_id()), "large")
+    counts = cells.value_counts(data, ["value", "b", "c"], [0, 1, 2])
+    dictionary = stage(rank_ordered(counts, ["feature_id"], ["value"], "value_id"), "dictionary")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        exchanges = []
+        for columns in (["value"], ["value", "b", "c"]):
+            coded = encode(data, columns, dictionary.where(F.col("feature_id") < len(columns)), "id", budget=0, row_id="row")
+            plan = coded._jdf.queryExecution().sparkPlan().toString()
+            assert plan.count("Join") == 3  # hot pairs, other pairs, back to the rows
+            exchanges.append(coded._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        assert exchanges[0] == exchanges[1] <= 4
+        assert rows(coded, "id") == rows(encode(data, columns, dictionary, "id"), "id")
+        part = encode(data, columns, dictionary, "id", budget=1000, row_id="row")
+        assert rows(part, "id") == rows(coded, "id")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_files_round_trip(spark, raw, spec, tmp_path):
     index = index_features(raw, spec, 2)
     for _ in range(2):  # the second write replaces the first

@@ -110,7 +110,7 @@ def encoded_cte(features: list[str], table: str, *keep: str) -> str:
 
 PART_ENCODED = f"{counts_cte(PART_FEATURES, 'part')}, {dictionary_cte()}, {encoded_cte(PART_FEATURES, 'part', 'p_partkey')}"
 LINEITEM_ENCODED = f"{LINEITEM_INDEX}, {encoded_cte(LINEITEM_FEATURES[:5], 'lineitem')}"
-ORDER_FEATURES = ["CAST(o_custkey AS VARCHAR)", "o_orderpriority"]
+ORDER_FEATURES = ["CAST(o_custkey AS VARCHAR)", "strftime(o_orderdate, '%Y-%m-%d')", "nullif(o_orderpriority, '5-LOW')"]
 
 ORACLES["encode_features"] = f"WITH {PART_ENCODED} SELECT * FROM enc"
 ORACLES["encode_large_dictionary"] = f"""

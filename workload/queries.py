@@ -149,12 +149,15 @@ def encode_features(spark, sf_dir):
 
 @query
 def encode_large_dictionary(spark, sf_dir):
-    """Customer keys and priorities of orders, with dictionaries too large for a broadcast."""
+    """Customer keys, dates and priorities of orders, with dictionaries too large for a broadcast."""
     raw = read(spark, sf_dir, "orders").select(
-        "o_orderkey", F.col("o_custkey").cast("string").alias("customer"), "o_orderpriority"
+        "o_orderkey",
+        F.col("o_custkey").cast("string").alias("customer"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
+        F.nullif("o_orderpriority", F.lit("5-LOW")).alias("priority"),
     )
-    columns = ["customer", "o_orderpriority"]
-    counts = cells.value_counts(raw, columns, [0, 1])
+    columns = ["customer", "date", "priority"]
+    counts = cells.value_counts(raw, columns, [0, 1, 2])
     dictionary = stage(rank_ordered(counts, ["feature_id"], ["value"], "value_id"), "dictionary")
     return encode(raw, columns, dictionary, "o_orderkey", budget=0)
 
