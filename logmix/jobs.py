@@ -18,12 +18,13 @@ from logmix.plans.logistic import components, start_weights, train_logistic
 from logmix.sources import sinks
 from logmix.sources.text import (
     LINE,
+    observe_widths,
+    odd_widths,
     parse_vectors,
     read_labelled,
     read_lines,
     read_numbered_lines,
     read_spec,
-    row_width_audit,
     split_tsv,
 )
 from logmix.storage import scratch, stage
@@ -35,19 +36,18 @@ def _positive(**options: int | None) -> None:
             raise ValueError(f"{name} must be positive")
 
 
-def run_extract(spark: SparkSession, input: str, output: str, partition: int | None = None, strict: bool = True) -> int:
+def run_extract(
+    spark: SparkSession, input: str, output: str, partition: int | None = None, strict: bool = True
+) -> dict[str, int]:
     """Ad-log lines to cleaned, TAB-joined text fields.
 
-    A line of another width fails the job. Without ``strict`` it is written with what it has, and the number of such
-    lines is counted in a second pass and returned.
+    A line of another width fails the job. Without ``strict`` it is written with what it has. Returned is how many lines
+    have which wrong width (``cells_<n>`` for too few cells, ``wider`` for too many), counted while they are written.
     """
     _positive(partition=partition)
-    lines = read_lines(spark, input, partition)
+    lines, seen = observe_widths(read_lines(spark, input, partition), LOG_WIDTH)
     sinks.write_lines(extract_text(lines, strict=strict).select(F.col("line").alias("value")), output)
-    if strict:
-        return 0
-    odd = row_width_audit(read_lines(spark, input), LOG_WIDTH).where("not is_valid")
-    return odd.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
+    return odd_widths(seen)
 
 
 def run_index(

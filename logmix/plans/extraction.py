@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logmix.functions.text import join_fields, normalize_text
-from logmix.sources.text import split_tsv
+from logmix.sources.text import line_width, split_tsv
 
 # The width of a log line, and the places of the columns that hold text.
 LOG_WIDTH = 63
@@ -25,7 +25,7 @@ LOG_COLUMNS = [_NAMES.get(i, f"c{i}") for i in range(LOG_WIDTH)]
 def select_text_fields(lines: DataFrame, *keep: str, strict: bool = False) -> DataFrame:
     """The five text fields of each line in column ``value``; ``strict`` fails on a line of another width."""
     if strict:
-        width = F.size(F.split("value", "\t", -1))
+        width = line_width()
         checked = F.when(width == LOG_WIDTH, F.col("value")).otherwise(
             F.raise_error(F.concat(F.lit(f"expected {LOG_WIDTH} cells, found "), width.cast("string")))
         )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from logmix.functions.text import split_lines
@@ -52,9 +53,31 @@ def read_tsv(spark: SparkSession, path: str | list[str], columns: Sequence[str])
     return split_tsv(read_lines(spark, path), columns)
 
 
+def line_width() -> Column:
+    """The number of TAB-separated cells of column ``value``."""
+    return F.size(F.split("value", "\t", -1))
+
+
+def observe_widths(lines: DataFrame, width: int) -> tuple[DataFrame, Observation]:
+    """``lines``, and counts that the next action over them fills in, without another scan.
+
+    The counts are ``lines``, one for each number of cells below ``width`` (``cells_1`` …) and ``wider``; a missing line counts
+    as one of a single cell.
+    """
+    found = F.coalesce(line_width(), F.lit(1))
+    counts = [F.count_if(found == n).alias(f"cells_{n}") for n in range(1, width)]
+    seen = Observation(f"widths-{uuid.uuid4().hex}")
+    return lines.observe(seen, F.count(F.lit(1)).alias("lines"), *counts, F.count_if(found > width).alias("wider")), seen
+
+
+def odd_widths(seen: Observation) -> dict[str, int]:
+    """The counts of ``observe_widths`` that are not zero, once an action has run; without ``lines``."""
+    return {name: n for name, n in seen.get.items() if n and name != "lines"}
+
+
 def row_width_audit(lines: DataFrame, width: int) -> DataFrame:
     """``(width, is_valid, lines)``: how many lines have how many TAB-separated cells."""
-    found = lines.select(F.size(F.split("value", "\t", -1)).alias("width"))
+    found = lines.select(line_width().alias("width"))
     return found.groupBy("width").agg(F.count("*").alias("lines")).withColumn("is_valid", F.col("width") == width)
 
 

@@ -3,10 +3,11 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from logmix import jobs
-from logmix.plans.extraction import LOG_COLUMNS
-from logmix.sources import sinks
+from logmix.plans.extraction import LOG_COLUMNS, extract_text
+from logmix.sources import sinks, text
 
 SPEC = "color 0 a\nscore 1 a\nsize 0 a\nconst 0 b\n"
 RAW = "red\t0.1\tS\tz\nblue\t0.2\tL\tz\n\t0.3\tS\tz\nred\t0.4\t\tz\nred\n"
@@ -47,8 +48,22 @@ def test_odd_lines(spark, tmp_path):
     (tmp_path / "log.tsv").write_text(f"{good}\na\tb\n")
     with pytest.raises(Exception, match="expected 63 cells, found 2"):
         jobs.run_extract(spark, f"{tmp_path}/log.tsv", f"{tmp_path}/out")
-    assert jobs.run_extract(spark, f"{tmp_path}/log.tsv", f"{tmp_path}/out", strict=False) == 1
-    assert len(lines(spark, f"{tmp_path}/out")) == 2
+    (tmp_path / "log.tsv").write_text(f"{good}\na\tb\n\nc\td\n{good}\tmore\n")
+    odd = jobs.run_extract(spark, f"{tmp_path}/log.tsv", f"{tmp_path}/out", strict=False)
+    assert odd == {"cells_1": 1, "cells_2": 2, "wider": 1}
+    assert len(lines(spark, f"{tmp_path}/out")) == 5
+    audit = text.row_width_audit(text.read_lines(spark, f"{tmp_path}/log.tsv"), 63).where("not is_valid")
+    assert audit.agg(F.sum("lines")).first()[0] == sum(odd.values())
+
+
+def test_widths_are_counted_in_the_writing_pass(spark, tmp_path):
+    """Counting takes no scan of its own."""
+    (tmp_path / "log.tsv").write_text("a\tb\nc\n")
+    watched, seen = text.observe_widths(text.read_lines(spark, f"{tmp_path}/log.tsv"), 2)
+    out = extract_text(watched)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 1
+    out.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"lines": 2, "cells_1": 1, "wider": 0} and text.odd_widths(seen) == {"cells_1": 1}
 
 
 def test_a_draw_does_not_depend_on_the_layout(spark, tmp_path):

@@ -166,6 +166,10 @@ LINES = r"""lines AS (SELECT doc_id, unnest(range(len(parts))) AS line_no, unnes
 ORACLES["row_width_audit_lines"] = f"""
 WITH {LINES}, widths AS (SELECT len(string_split(value, ' ')) AS width FROM lines)
 SELECT width, count(*) AS lines, width = 8 AS is_valid FROM widths GROUP BY width"""
+ORACLES["row_widths_observed"] = f"""
+WITH {LINES}, widths AS (SELECT len(string_split(value, ' ')) AS width FROM lines)
+SELECT 'lines' AS width, count(*) AS lines FROM widths UNION ALL SELECT 'wider', count(*) FROM widths WHERE width > 8
+UNION ALL SELECT 'cells_' || n, count(width) FROM range(1, 8) r(n) LEFT JOIN widths ON width = n GROUP BY n"""
 ORACLES["unescape_xml"] = f"""
 SELECT page_id, {unescape("replace(replace(html, '&middot;', '&#183;'), '&copy;', '&#xA9;')")} AS text FROM pages"""
 ORACLES["strip_strong"] = rf"""

@@ -17,7 +17,7 @@ from logmix.plans import counting, logistic
 from logmix.plans.extraction import extract_text
 from logmix.plans.indexing import encode, kept_fields, project_features
 from logmix.sources import sinks
-from logmix.sources.text import parse_labelled, parse_spec, parse_vectors, raw_fields, row_width_audit, split_tsv
+from logmix.sources.text import observe_widths, parse_labelled, parse_spec, parse_vectors, raw_fields, row_width_audit, split_tsv
 from logmix.storage import new_folder, stage
 from workload import tables as t
 from workload.tables import CLUSTERS, MAX_VALUES, MIN_VALUES, read
@@ -68,6 +68,15 @@ def row_width_audit_lines(spark, sf_dir):
     return row_width_audit(lines, 8)
 
 
+@query
+def row_widths_observed(spark, sf_dir):
+    """Document lines as TSV, written; the wrong widths are counted by the pass that writes."""
+    lines = t.document_lines(spark, sf_dir).select(F.translate("value", " ", "\t").alias("value"))
+    watched, seen = observe_widths(lines, 8)
+    sinks.write_lines(watched, new_folder(spark, "observed"))
+    return spark.createDataFrame(sorted(seen.get.items()), "width string, lines long")
+
+
 # --- counting, cut-offs, dictionaries ---
 
 
