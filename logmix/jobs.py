@@ -27,7 +27,7 @@ from logmix.sources.text import (
     read_spec,
     split_tsv,
 )
-from logmix.storage import scratch, stage
+from logmix.storage import delete, scratch, stage
 
 
 def _positive(**options: int | None) -> None:
@@ -98,9 +98,13 @@ def run_cluster(
     tasks: int | None = None,
     how: str = "sampled",
     trace: bool = False,
+    resume: bool = False,
 ) -> Model:
     """Id lines to ``data`` (each line with its score) and ``model``, and with ``trace`` every iteration to ``trace``.
 
+    The tables ``statistics``, ``theta`` and ``prior`` in ``trace`` grow by a partition ``iter=<i>`` as each iteration ends. With
+    ``resume``, a job that was stopped goes on after the last whole one; without it, an old trace is deleted first.
+
     ``sample`` only chooses the kind of fit: 0 or less is soft, more is hard. ``how`` is the score: a cluster drawn from
     the posterior ("sampled"), the likeliest ("argmax") or the probabilities ("posterior"). The model returned is the
     written one.
@@ -109,11 +113,14 @@ def run_cluster(
     if how not in ("sampled", "argmax", "posterior"):
         raise ValueError("how is 'sampled', 'argmax' or 'posterior'")
     with scratch(spark):
+        state = f"{output}/trace" if trace or resume else None
+        if state and not resume:
+            delete(spark, state)
         rows = stage(parse_vectors(read_numbered_lines(spark, input, partition), feature, LINE), "vectors")
         columns = [f"f{d}" for d in range(feature)]
         model = fit(
             rows, columns, cluster, iteration, mode="soft" if sample <= 0 else "hard", prior=prior, alpha=alpha, beta=beta,
-            seed=seed, collapse=collapse, stored=True, tasks=tasks, keep_trace=trace,
+            seed=seed, collapse=collapse, stored=True, tasks=tasks, state=state,
         )
         if how == "posterior":
             scored = posterior(rows, columns, model, "cluster")
@@ -121,8 +128,6 @@ def run_cluster(
             scored = assign(rows, columns, model, how=how, u=uniform(seed, F.col(LINE)) if how == "sampled" else None)
         sinks.write_scores(scored, columns, "cluster", f"{output}/data")
         sinks.save_model(model, f"{output}/model")
-        if trace:
-            sinks.write_table(sinks.trace_table(model), f"{output}/trace")
     return sinks.load_model(spark, f"{output}/model")
 
 

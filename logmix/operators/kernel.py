@@ -27,63 +27,73 @@ RECORD_MASS = -1
 
 @dataclass(frozen=True)
 class LogModel:
-    """ln prior, and ln p(value | cluster) for the broadcast features.
+    """ln prior, and ln p(value | cluster) for what is broadcast.
 
-    ``log_theta`` has one row per (feature, value) and one more of zeros for a missing cell. ``value_ids`` is None for
-    a joined feature, whose ln p arrive with the data rows.
+    ``log_theta`` has one row per (feature, value) and one more of zeros for a missing cell. ``value_ids`` are the values
+    that a feature has there: all of a broadcast feature's, the hot ones of a ``joined`` feature, whose other ln p arrive with
+    the data rows.
     """
 
     log_theta: np.ndarray
     log_prior: np.ndarray
-    value_ids: list[np.ndarray | None]
+    value_ids: list[np.ndarray]
     first_row: list[int]
+    joined: list[int]
 
     def arrays(self) -> tuple:
         """The fields as plain arrays, which any Python worker can load."""
-        return self.log_theta, self.log_prior, self.value_ids, self.first_row
+        return self.log_theta, self.log_prior, self.value_ids, self.first_row, self.joined
 
     @property
     def clusters(self) -> int:
         return len(self.log_prior)
 
-    @property
-    def joined(self) -> list[int]:
-        return [d for d, known in enumerate(self.value_ids) if known is None]
-
     def table_rows(self, feature: int, ids: np.ndarray) -> np.ndarray:
-        """The row of ``log_theta`` for each cell of a broadcast feature."""
+        """The row of ``log_theta`` for each cell; the row of zeros for a missing one and for one that is not hot."""
         known = self.value_ids[feature]
         present = ids >= 0
         place = np.searchsorted(known, ids)
-        unknown = present & (known[np.minimum(place, len(known) - 1)] != ids) if len(known) else present
-        _fail_on_unknown(feature, ids, unknown)
-        return np.where(present, place + self.first_row[feature], len(self.log_theta) - 1)
+        found = present & (known[np.minimum(place, len(known) - 1)] == ids) if len(known) else np.zeros(len(ids), bool)
+        if feature not in self.joined:
+            _fail_on_unknown(feature, ids, present & ~found)
+        return np.where(found, place + self.first_row[feature], len(self.log_theta) - 1)
 
     def blocks(self, columns: list[pa.Array]) -> Iterator[tuple[slice, dict[int, np.ndarray], np.ndarray]]:
         """Posterior probabilities, a block of rows at a time: ``(rows, cells by feature, p)``.
 
-        ``columns`` are the value ids of all features, then the sums of the joined ones' ln p, if there are any. A
-        block's cells are rows of ``log_theta`` for a broadcast feature, value ids for a joined one.
+        ``columns`` are the value ids of all features, then lists of the joined cells' ln p, if there are any. A block's cells
+        are rows of ``log_theta`` for a broadcast feature, value ids for a joined one.
         """
-        features, joined = len(self.value_ids), self.joined
+        features = len(self.value_ids)
         size, step = len(columns[0]), max(1, _BLOCK_NUMBERS // self.clusters)
         for start in range(0, size, step):
             part = slice(start, min(start + step, size))
             here = [c.slice(start, part.stop - start) for c in columns]
             cells = {d: _ids(c) for d, c in enumerate(here[:features])}
             p = np.tile(self.log_prior, (part.stop - start, 1))
-            if joined:
-                p += here[features].flatten().to_numpy(zero_copy_only=False).reshape(-1, self.clusters)
+            if self.joined:
+                _add_lists(p, here[features])
             for d in range(features):
-                if d not in joined:
-                    cells[d] = self.table_rows(d, cells[d])
-                    p += self.log_theta[cells[d]]
+                rows = self.table_rows(d, cells[d])
+                p += self.log_theta[rows]
+                if d not in self.joined:
+                    cells[d] = rows
             p -= p.max(axis=1, keepdims=True)
             np.exp(p, out=p)
             p /= p.sum(axis=1, keepdims=True)
             yield part, cells, p
 
 
+def _add_lists(p: np.ndarray, lists: pa.Array) -> None:
+    """Add to each row of ``p`` all vectors in its list; a missing list has none."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(p)), sizes)
+    if len(row):
+        found = lists.flatten().flatten().to_numpy(zero_copy_only=False).reshape(len(row), -1)
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        p[row[starts]] += np.add.reduceat(found, starts, axis=0)
+
+
 def _ids(column: pa.Array) -> np.ndarray:
     return pc.fill_null(column, -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -143,9 +153,8 @@ def partial_statistics(
                 keys, sums = np.delete(keys, light), np.delete(sums, light, axis=0)
             held, numbers = [(keys, sums)], sums.size
     yield from _by_key(*_merged(held))
-    sizes = [0 if known is None else len(known) for known in model.value_ids]
-    feature = np.repeat(np.arange(len(sizes)), sizes)
-    value = np.concatenate([np.empty(0, np.int64), *[known for known in model.value_ids if known is not None]])
+    feature = np.repeat(np.arange(len(model.value_ids)), [len(known) for known in model.value_ids])
+    value = np.concatenate([np.empty(0, np.int64), *model.value_ids])
     touched = np.flatnonzero(totals[:-1].any(axis=1))
     yield from _statistics(feature[touched], value[touched], totals[touched])
     yield from _statistics(np.array([RECORD_MASS]), np.array([0]), mass[None, :])

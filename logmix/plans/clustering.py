@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,39 +11,47 @@ from pyspark.sql import functions as F
 from logmix.functions.uniform import uniform
 from logmix.operators import mixture as mx
 from logmix.operators.cells import encoded_value_counts, to_cells
-from logmix.storage import drop_table, stage
+from logmix.plans.fit_state import FitState
+from logmix.storage import drop_table, new_folder, stage
 
 Start = tuple[DataFrame, Sequence[float]]
-# Without a number of tasks, the passes over the rows use this many per core: each sends its sums of the whole model.
-_TASKS_PER_CORE = 4
+# Each task of a pass sends sums of up to the whole broadcast model. Input splits are merged only where these sums would be
+# more than one for so many cells read.
+_CELLS_PER_SUM = 4
 
 
 @dataclass
 class Model:
     """theta ``(feature_id, value_id, k, p)``, the cluster prior, and the domain with its counts.
 
-    ``trace`` holds the statistics, theta and prior of every iteration if the fit was asked to keep them.
+    ``state`` holds the statistics, theta and prior of every iteration if the fit was asked to keep them.
     """
 
     theta: DataFrame
     prior: list[float]
     domain: DataFrame
-    trace: list[tuple[DataFrame, DataFrame, list[float]]] = field(default_factory=list)
+    state: FitState | None = None
 
     @property
     def clusters(self) -> int:
         return len(self.prior)
 
+    @property
+    def trace(self) -> list[tuple[DataFrame, DataFrame, list[float]]]:
+        """``(statistics, theta, prior)`` of each iteration that was kept."""
+        return [self.state.read(i) for i in range(1, self.state.last() + 1)] if self.state else []
+
     def prior_table(self) -> DataFrame:
         return mx.prior_table(self.theta.sparkSession, self.prior)
 
 
 def distinct_patterns(
-    encoded: DataFrame, columns: Sequence[str], collapse: bool = True, stored: bool = False
+    encoded: DataFrame, columns: Sequence[str], collapse: bool = True, stored: bool = False, tasks: int | None = None
 ) -> DataFrame:
-    """Feature columns and a weight ``w``, stored once for all iterations.
+    """Feature columns and a weight ``w``, stored once for all iterations; in ``tasks`` files, if that is given.
 
-    If ``encoded`` is a ``stored`` table already and its rows are not collapsed, it is used where it is.
+    If ``encoded`` is a ``stored`` table already and its rows are not collapsed, it is used where it is, unless ``tasks`` asks
+    for more splits than it has.
 
     Identical rows share one posterior, so ``collapse`` keeps one with its count, which is exact. Where rows are mostly
     unique the grouping only shuffles the whole table, so it may be switched off.
@@ -53,9 +61,9 @@ def distinct_patterns(
         rows = features.groupBy(*columns).agg(F.count("*").alias(mx.WEIGHT))
     else:
         rows = features.withColumn(mx.WEIGHT, F.lit(1).cast("bigint"))
-        if stored:
+        if stored and (tasks is None or rows.rdd.getNumPartitions() >= tasks):
             return rows
-    return stage(rows, "patterns")
+    return stage(rows.repartition(tasks) if tasks else rows, "patterns")
 
 
 def data_domain(patterns: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -72,28 +80,42 @@ def estep_statistics(
     hard: bool = False,
     broadcast: set[int] | None = None,
     scratch: list | None = None,
+    layout: mx.CoPartitioned | None = None,
+    tasks: int = 1,
 ) -> DataFrame:
     """Expected (soft) or assigned (hard) cluster mass of every (feature, value).
 
-    ``patterns`` is a stored table. ``broadcast`` are the features to broadcast, by default those that fit the budget.
-    What only this step reads is added to ``scratch``.
+    ``patterns`` is a stored table. ``broadcast`` are the features to broadcast, by default those that fit the budget; the
+    others are joined to the rows in their ``layout``, which is made here if it is not given. What only this step reads is
+    added to ``scratch``. ``tasks`` is the number of splits of ``patterns``.
     """
     if broadcast is None:
         broadcast = mx.broadcast_features(mx.domain_sizes(domain), len(prior))
-    model = mx.collect_log_model(theta, prior, len(columns), broadcast)
-    counts = domain.select("feature_id", "value_id", F.col("patterns").alias("cnt"))
-    # Numbers of a stored table's scan.
-    rows = patterns.withColumn("_row", F.monotonically_increasing_id()) if model.joined else patterns
-    rows = mx.join_logs(rows, columns, theta, counts, model.joined, len(prior), "_row", scratch)
-    return mx.sum_statistics(mx.partial_sums(rows, columns, model, hard, scratch), domain, len(prior))
+    joined = [d for d in range(len(columns)) if d not in broadcast]
+    if joined and layout is None:
+        layout = mx.co_partition(patterns, columns, domain, joined)
+    model = mx.collect_log_model(theta, prior, len(columns), broadcast, layout.hot if layout else ())
+    rows = layout.with_logs(theta, scratch) if layout else patterns
+    return mx.sum_statistics(mx.partial_sums(rows, columns, model, hard, scratch), domain, len(prior), tasks)
 
 
 def _release(scratch: list) -> None:
     for thing in scratch:
-        drop_table(thing) if isinstance(thing, DataFrame) else thing.destroy()
+        if isinstance(thing, DataFrame):
+            drop_table(thing)
+        else:
+            thing.drop() if hasattr(thing, "drop") else thing.destroy()
     scratch.clear()
 
 
+def _merged(table: DataFrame, tasks: int | None, sizes: dict[int, int], broadcast: set[int], cells: int) -> tuple[DataFrame, int]:
+    """The table in the splits of a pass, and their number."""
+    splits = table.rdd.getNumPartitions()
+    sums = sum(v for d, v in sizes.items() if d in broadcast)
+    most = tasks or max(table.sparkSession.sparkContext.defaultParallelism, cells // max(1, _CELLS_PER_SUM * sums))
+    return (table.coalesce(most), most) if splits > most else (table, splits)
+
+
 def fit(
     encoded: DataFrame,
     columns: Sequence[str],
@@ -110,6 +132,7 @@ def fit(
     stored: bool = False,
     tasks: int | None = None,
     keep_trace: bool = False,
+    state: str | None = None,
     model_bytes: int = mx.MODEL_BYTES,
 ) -> Model:
     """Expectation-maximisation for a fixed number of iterations.
@@ -117,49 +140,67 @@ def fit(
     ``mode`` is "soft" or "hard" (each row counts for its likeliest cluster). ``prior`` weighs clusters by present
     cells ("cells") or by rows ("records"). ``alpha <= 0`` means 1/K, and no ``beta`` means 1/V for each feature.
     ``start`` is a first ``(theta, prior)``, or a function that makes one for the domain; by default a random one.
-    ``stored`` tells that ``encoded`` is a written table, ``collapse`` makes one row of identical ones. ``tasks`` merges
-    input splits to that number, by default four per core: each task sends its sums for the whole model, so on a large
-    table fewer, longer tasks shuffle less. Tables of replaced iterations are deleted. Up to ``model_bytes`` of the
-    model are broadcast, the features with the smallest domains first; the other features are joined to the data.
+    ``stored`` tells that ``encoded`` is a written table, ``collapse`` makes one row of identical ones. Passes keep the input
+    splits, unless their sums would outgrow what is read; ``tasks`` spreads or merges them to that number. Up to ``model_bytes``
+    of the model are broadcast, the features with the smallest domains first; the other features are joined to the data.
+
+    Statistics, theta and prior of an iteration are written when it ends. Those that are replaced are deleted, unless the fit is
+    to ``keep_trace``, or ``state`` names a folder for them: a fit that finds its own state there goes on after the last whole
+    iteration, with the same result as one that was not stopped. State of other data or options is an error.
     """
     if clusters <= 0 or iterations <= 0 or not columns:
         raise ValueError("clusters, iterations and the number of features must be positive")
     if mode not in ("soft", "hard") or prior not in ("cells", "records"):
         raise ValueError("mode is 'soft' or 'hard'; prior is 'cells' or 'records'")
-    table = distinct_patterns(encoded, columns, collapse, stored)
-    patterns = table.coalesce(tasks or _TASKS_PER_CORE * table.sparkSession.sparkContext.defaultParallelism)
-    domain = stage(data_domain(patterns, columns), "domain")
-    sizes = mx.domain_sizes(domain)
-    broadcast = mx.broadcast_features(sizes, clusters, model_bytes)
-    joins = len(broadcast) < len(columns)
-    pseudo = alpha if alpha > 0 else 1.0 / clusters
-    if start is None:
-        theta, weights = mx.random_theta(domain, clusters, seed), mx.random_prior(clusters, seed)
-        theta = stage(theta, "theta") if joins else theta
-    else:
-        theta, weights = start(domain) if callable(start) else start
-    trace, scratch, replaced = [], [], []
-    if joins and start is None:
-        replaced.append(theta)
-    for _ in range(iterations):
-        step = estep_statistics(patterns, columns, theta, weights, domain, mode == "hard", broadcast, scratch)
-        statistics = stage(step, "statistics")
-        _release(scratch)
-        _release(replaced)
-        mass = {r["k"]: r["mass"] for r in mx.cluster_mass(statistics, prior).collect()}  # K rows
-        weights = mx.update_prior([mass.get(k, 0.0) for k in range(clusters)], pseudo)
-        theta = mx.update_theta(statistics, sizes, beta)
-        if joins:
-            theta = stage(theta, "theta")
-        if keep_trace:
-            trace.append((statistics, theta, weights))
+    spark = encoded.sparkSession
+    table = distinct_patterns(encoded, columns, collapse, stored, tasks)
+    scratch: list = [] if stored and not collapse and tasks is None else [table]
+    passing: list = []
+    layout = None
+    try:
+        domain = stage(data_domain(table, columns), "domain")
+        sizes = mx.domain_sizes(domain)
+        broadcast = mx.broadcast_features(sizes, clusters, model_bytes)
+        joined = [d for d in range(len(columns)) if d not in broadcast]
+        cells = domain.agg(F.sum("patterns")).first()[0] or 0
+        patterns, splits = _merged(table, tasks, sizes, broadcast, cells)
+        pseudo = alpha if alpha > 0 else 1.0 / clusters
+        kept = keep_trace or state is not None
+        log = FitState(spark, state or new_folder(spark, "fit"))
+        log.begin(
+            domain,
+            columns=list(columns), clusters=clusters, mode=mode, prior=prior, alpha=pseudo, beta=beta,
+            seed=None if start is not None else seed,
+        )
+        done = min(log.last(), iterations)
+        if done:
+            _, theta, weights = log.read(done)
+        elif start is None:
+            theta, weights = mx.random_theta(domain, clusters, seed), mx.random_prior(clusters, seed)
         else:
-            replaced += [statistics, theta] if joins else [statistics]
-    model = Model(theta if joins else stage(theta, "theta"), weights, domain, trace)
-    _release([t for t in replaced if t is not theta])
-    if collapse or not stored:
-        drop_table(table)
-    return model
+            theta, weights = start(domain) if callable(start) else start
+        if joined and done < iterations:
+            layout = mx.co_partition(table, columns, domain, joined)
+            if not done:
+                theta = stage(theta, "theta")
+                passing.append(theta)
+        for i in range(done + 1, iterations + 1):
+            step = estep_statistics(
+                patterns, columns, theta, weights, domain, mode == "hard", broadcast, passing, layout, splits
+            )
+            statistics = log.write_statistics(i, step)
+            mass = {r["k"]: r["mass"] for r in mx.cluster_mass(statistics, prior).collect()}  # K rows
+            weights = mx.update_prior([mass.get(k, 0.0) for k in range(clusters)], pseudo)
+            theta = log.finish(i, mx.update_theta(statistics, sizes, beta), weights)
+            _release(passing)
+            if not kept:
+                log.forget(i)
+    finally:
+        _release(passing)
+        _release(scratch)
+        if layout:
+            layout.drop()
+    return Model(theta, weights, domain, log if kept else None)
 
 
 def posterior(
@@ -206,6 +247,6 @@ def _score(rows, columns, model, out, kind, u, budget) -> DataFrame:
         held = stage(held.withColumn("_row", F.monotonically_increasing_id()), "cells")
         own = to_cells(held, [coded[d] for d in arrays.joined], arrays.joined)
         counts = own.groupBy("feature_id", F.col("value").alias("value_id")).agg(F.count("*").alias("cnt"))
-        held = mx.join_logs(held, coded, model.theta, counts, arrays.joined, model.clusters, "_row")
+        held = mx.join_logs(held, coded, model.theta, counts, arrays.joined, "_row")
     scored = held.withColumn(out, mx.score(held, coded, arrays, kind, "_u"))
     return scored.select(*[c for c in rows.columns if c != out], out)

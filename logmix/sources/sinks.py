@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmix.functions.vectors import vector_line
-from logmix.operators import mixture
 from logmix.plans.clustering import Model
 
 
@@ -72,14 +71,6 @@ def trace_table(model: Model) -> DataFrame:
 
     The prior stands as feature -1, without statistics.
     """
-    tables = []
-    for i, (statistics, theta, prior) in enumerate(model.trace, start=1):
-        steps = theta.join(statistics, ["feature_id", "value_id", "k"]).select("feature_id", "value_id", "k", "n", "p")
-        weights = mixture.prior_table(theta.sparkSession, prior).select(
-            F.lit(-1).alias("feature_id"), F.lit(0).alias("value_id"), "k", F.lit(None).cast("double").alias("n"), "p"
-        )
-        tables.append(steps.unionByName(weights).select(F.lit(i).alias("iter"), "*"))
-    result = tables[0]
-    for table in tables[1:]:
-        result = result.unionByName(table)
-    return result
+    if model.state is None:
+        raise ValueError("the fit kept no trace")
+    return model.state.table()

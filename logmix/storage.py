@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,7 +61,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _scope.reset(token)
-        _delete(spark, f"{_folder(spark)}/{name}")
+        delete(spark, f"{_folder(spark)}/{name}")
 
 
 def stage(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -77,7 +78,39 @@ def staged_path(df: DataFrame) -> str | None:
     return found[0][1] if found and found[0] else None
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+@dataclass(frozen=True)
+class Bucketed:
+    """A stored table in buckets by some columns; joins and groupings on just these need no shuffle of it."""
+
+    spark: SparkSession
+    name: str
+    folder: str
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.folder)
+
+
+def write_buckets(df: DataFrame, by: Sequence[str], label: str) -> Bucketed:
+    """Write ``df`` to the shared folder, in as many buckets by ``by`` as there are shuffle partitions, one file each."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = new_folder(spark, label)
+    name = f"logmix_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, *by)
+    dealt.write.bucketBy(buckets, *by).option("path", folder).format("parquet").saveAsTable(name)
+    return Bucketed(spark, name, folder)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -85,9 +118,9 @@ def _delete(spark: SparkSession, folder: str) -> None:
 def drop_table(df: DataFrame) -> None:
     """Delete one staged table; nothing that still reads it may run later."""
     if folder := staged_path(df):
-        _delete(df.sparkSession, folder)
+        delete(df.sparkSession, folder)
 
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete the tables staged by this application. Results that still read them must be saved first."""
-    _delete(spark, _folder(spark))
+    delete(spark, _folder(spark))

@@ -73,7 +73,7 @@ def test_a_draw_does_not_depend_on_the_layout(spark, tmp_path):
         out = f"{tmp_path}/fit{partition}"
         jobs.run_cluster(spark, f"{tmp_path}/ids", out, 3, 2, 2, partition, how="sampled", trace=True)
         found[partition] = lines(spark, f"{out}/data")
-        assert spark.read.parquet(f"{out}/trace").select("iter").distinct().count() == 2
+        assert spark.read.parquet(f"{out}/trace/theta").select("iter").distinct().count() == 2
     assert found[None] == found[3] == found[7]
     with pytest.raises(ValueError, match="how"):
         jobs.run_cluster(spark, f"{tmp_path}/ids", "out", 3, 2, 2, how="x")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -12,8 +13,10 @@ from logmix.functions.vectors import add_vectors, dot
 from logmix.operators import mixture as mx
 from logmix.operators import kernel
 from logmix.operators.kernel import RECORD_MASS, sample_clusters
-from logmix.plans.clustering import Model, assign, data_domain, distinct_patterns, estep_statistics, fit, posterior
+from logmix.plans.clustering import Model, _merged, assign, data_domain, distinct_patterns, estep_statistics, fit, posterior
+from logmix.plans.fit_state import FitState
 from logmix.sources import sinks
+from logmix.storage import stage
 
 COLUMNS = ["f0", "f1"]
 DATA = [(1, 0), (1, 1), (0, 0), (1, None)]
@@ -152,6 +155,86 @@ def test_joined_path_equals_broadcast(spark, mode):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_cells_stay_where_they_are(spark):
+    """An iteration with joined features moves neither the stored cells nor the rows, only what the cells found."""
+    columns = ["f0", "f1", "f2", "f3"]
+    patterns = distinct_patterns(wide(spark), columns, False)
+    domain = stage(data_domain(patterns, columns), "domain")
+    layout = mx.co_partition(patterns, columns, domain, [2, 3])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert layout.hot  # a third of the rows share one value
+        plan = layout.with_logs(mx.random_theta(domain, 3, 1), None)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        layout.drop()
+    # The one exchange is of the lists on their way to the rows.
+    assert plan.count("Exchange") == 1 and re.search(r"Exchange hashpartitioning\(_row#\d+L, 8\)", plan)
+    assert plan.count("Bucketed: true") == 3
+
+
+def test_sums_are_grouped_where_tasks_are_many(spark, monkeypatch):
+    monkeypatch.setattr(mx, "GROUP_TASKS", 3)
+    columns = ["f0", "f1", "f2", "f3"]
+    patterns = distinct_patterns(wide(spark), columns, False, tasks=8)
+    assert patterns.rdd.getNumPartitions() == 8
+    domain = stage(data_domain(patterns, columns), "domain")
+    theta, prior = mx.random_theta(domain, 3, 1), [0.2, 0.3, 0.5]
+    one, many = (rows(estep_statistics(patterns, columns, theta, prior, domain, tasks=n), "feature_id", "value_id", "k") for n in (1, 8))
+    assert [r[:3] for r in one] == [r[:3] for r in many] and np.allclose([r[3] for r in one], [r[3] for r in many])
+    plan = estep_statistics(patterns, columns, theta, prior, domain, tasks=8)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning\(_group#\d+, feature_id#\d+, value_id#\d+, 8\)", plan)
+
+
+def test_input_splits_are_kept(spark):
+    table = stage(wide(spark).repartition(40), "many")
+    sizes = {0: 2, 1: 3}
+    assert _merged(table, None, sizes, {0, 1}, 10_000)[1] == table.rdd.getNumPartitions()
+    # Sums of a model as large as a split's cells are not worth a task for each split.
+    assert _merged(table, None, {0: 10_000}, {0}, 10_000)[1] == 8
+    assert _merged(table, 3, sizes, {0, 1}, 10_000)[0].rdd.getNumPartitions() == 3
+
+
+class Stopped(Exception):
+    pass
+
+
+@PATHS
+def test_a_stopped_fit_goes_on(spark, data, tmp_path, monkeypatch, model_bytes):
+    """Stopped in iteration 4 of 5, with that iteration's statistics written already."""
+    options = {"seed": 2, "model_bytes": model_bytes, "state": f"{tmp_path}/state"}
+    straight = fit(data, COLUMNS, 2, 5, seed=2, model_bytes=model_bytes)
+    finish = FitState.finish
+
+    def stop(self, i, *rest):
+        if i == 4:
+            raise Stopped
+        return finish(self, i, *rest)
+
+    monkeypatch.setattr(FitState, "finish", stop)
+    before = spark.catalog.listTables()
+    with pytest.raises(Stopped):
+        fit(data, COLUMNS, 2, 5, **options)
+    assert spark.catalog.listTables() == before  # nothing is left in buckets
+    monkeypatch.setattr(FitState, "finish", finish)
+    steps = []
+    monkeypatch.setattr(mx, "update_prior", lambda *a, f=mx.update_prior: steps.append(1) or f(*a))
+    resumed = fit(data, COLUMNS, 2, 5, **options)
+    assert len(steps) == 2 and resumed.prior == pytest.approx(straight.prior)
+    close_tables(resumed.theta, straight.theta)
+    assert [len(t[2]) for t in resumed.trace] == [2] * 5
+    assert rows(resumed.state.table().select("iter").distinct(), "iter") == [(i,) for i in range(1, 6)]
+    assert len(steps) == 2 and fit(data, COLUMNS, 2, 3, **options).prior == resumed.trace[2][2]
+    with pytest.raises(ValueError, match="other"):
+        fit(data, COLUMNS, 2, 5, **{**options, "seed": 3})
+
+
+def close_tables(a, b):
+    key = ["feature_id", "value_id", "k"]
+    a, b = rows(a.select(*key, "p"), *key), rows(b.select(*key, "p"), *key)
+    assert [r[:3] for r in a] == [r[:3] for r in b] and np.allclose([r[3] for r in a], [r[3] for r in b])
+
+
 @pytest.mark.parametrize("joined", [[], [0], [0, 1]])
 def test_partial_sums_that_outgrow_a_task(monkeypatch, joined):
     """Sums passed on early add up to the same totals, and a hot value is passed on once."""
@@ -166,8 +249,9 @@ def test_partial_sums_that_outgrow_a_task(monkeypatch, joined):
     model = kernel.LogModel(
         np.vstack([*[np.log(theta[d]) for d in dense], np.zeros((1, 2))]),
         np.log([0.4, 0.6]),
-        [None if d in joined else np.arange(50) for d in (0, 1)],
+        [np.arange(0) if d in joined else np.arange(50) for d in (0, 1)],
         [50 * dense.index(d) if d in dense else 0 for d in (0, 1)],
+        joined,
     )
     ids = draw.integers(0, 50, (400, 2))
     ids[::3, 0] = 7  # a third of the rows
@@ -175,7 +259,7 @@ def test_partial_sums_that_outgrow_a_task(monkeypatch, joined):
     def batches():
         for start in range(0, 400, 40):
             part = ids[start : start + 40]
-            logs = [kernel.vectors(sum(np.log(theta[d][part[:, d]]) for d in joined))] if joined else []
+            logs = [pa.array([[np.log(theta[d][v[d]]) for d in joined] for v in part])] if joined else []
             columns = [pa.array(part[:, 0]), pa.array(part[:, 1]), *logs, pa.array(np.ones(40))]
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
