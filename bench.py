@@ -15,7 +15,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 
 from logmix.plans import clustering as cl
-from logmix.storage import drop_staged, stage
+from logmix.storage import drop_staged, new_folder, stage
 from workload.queries import QUERIES
 from workload.tables import lineitem_index
 
@@ -48,6 +48,23 @@ def encode_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineitem_index(spark, sf_dir).encoded
 
 
+# The given tables are single files of one row group, so a scan of one is one task; a cluster's tables are many files.
+_SPREAD: dict[str, str] = {}
+
+
+def many_files(name: str):
+    """A query on a copy of ``documents`` in many files, which is written in the warm-up run."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if sf_dir not in _SPREAD:
+            _SPREAD[sf_dir] = new_folder(spark, "many-files")
+            rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+            rows.repartition(32, "doc_id").write.parquet(f"{_SPREAD[sf_dir]}/documents.parquet")
+        return QUERIES[name](spark, _SPREAD[sf_dir])
+
+    return run
+
+
 BENCH = {
     **{
         name: QUERIES[name]
@@ -70,8 +87,11 @@ BENCH = {
     "fit_soft_k32": fit(32),
     "fit_soft_k100": fit(100),
     "fit_soft_k100_no_collapse": fit(100, collapse=False),
+    "fit_soft_k100_no_collapse_spread": fit(100, collapse=False, tasks=int(os.environ.get("BENCH_CPUS", "8"))),
     "fit_hard_k32": fit(32, mode="hard"),
     "fit_soft_k32_joined": fit(32, model_bytes=0),
+    "normalize_text_many_files": many_files("normalize_text"),
+    "word_count_many_files": many_files("word_count"),
 }
 
 

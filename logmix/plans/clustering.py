@@ -61,11 +61,16 @@ def distinct_patterns(
         rows = features.groupBy(*columns).agg(F.count("*").alias(mx.WEIGHT))
     else:
         rows = features.withColumn(mx.WEIGHT, F.lit(1).cast("bigint"))
-        if stored and (tasks is None or rows.rdd.getNumPartitions() >= tasks):
+        if used_in_place(encoded, collapse, stored, tasks):
             return rows
     return stage(rows.repartition(tasks) if tasks else rows, "patterns")
 
 
+def used_in_place(encoded: DataFrame, collapse: bool, stored: bool, tasks: int | None) -> bool:
+    """Whether a fit reads its input where it is, rather than a table of its own."""
+    return stored and not collapse and (tasks is None or encoded.rdd.getNumPartitions() >= tasks)
+
+
 def data_domain(patterns: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(feature_id, value_id, cnt, patterns)`` of the values that occur."""
     return encoded_value_counts(patterns, columns, mx.WEIGHT)
@@ -154,25 +159,25 @@ def fit(
         raise ValueError("mode is 'soft' or 'hard'; prior is 'cells' or 'records'")
     spark = encoded.sparkSession
     table = distinct_patterns(encoded, columns, collapse, stored, tasks)
-    scratch: list = [] if stored and not collapse and tasks is None else [table]
+    scratch: list = [] if used_in_place(encoded, collapse, stored, tasks) else [table]
     passing: list = []
     layout = None
     try:
         domain = stage(data_domain(table, columns), "domain")
-        sizes = mx.domain_sizes(domain)
+        facts = domain.groupBy("feature_id").agg(F.count("*").alias("v"), F.sum("patterns").alias("cells")).collect()
+        sizes, cells = {r["feature_id"]: r["v"] for r in facts}, sum(r["cells"] for r in facts)
         broadcast = mx.broadcast_features(sizes, clusters, model_bytes)
         joined = [d for d in range(len(columns)) if d not in broadcast]
-        cells = domain.agg(F.sum("patterns")).first()[0] or 0
         patterns, splits = _merged(table, tasks, sizes, broadcast, cells)
         pseudo = alpha if alpha > 0 else 1.0 / clusters
-        kept = keep_trace or state is not None
-        log = FitState(spark, state or new_folder(spark, "fit"))
-        log.begin(
-            domain,
-            columns=list(columns), clusters=clusters, mode=mode, prior=prior, alpha=pseudo, beta=beta,
-            seed=None if start is not None else seed,
-        )
-        done = min(log.last(), iterations)
+        log = FitState(spark, state or new_folder(spark, "fit")) if keep_trace or state else None
+        if log:
+            log.begin(
+                domain,
+                columns=list(columns), clusters=clusters, mode=mode, prior=prior, alpha=pseudo, beta=beta,
+                seed=None if start is not None else seed,
+            )
+        done = min(log.last(), iterations) if log else 0
         if done:
             _, theta, weights = log.read(done)
         elif start is None:
@@ -188,19 +193,26 @@ def fit(
             step = estep_statistics(
                 patterns, columns, theta, weights, domain, mode == "hard", broadcast, passing, layout, splits
             )
-            statistics = log.write_statistics(i, step)
+            statistics = log.write_statistics(i, step) if log else stage(step, "statistics")
+            _release(passing)
             mass = {r["k"]: r["mass"] for r in mx.cluster_mass(statistics, prior).collect()}  # K rows
             weights = mx.update_prior([mass.get(k, 0.0) for k in range(clusters)], pseudo)
-            theta = log.finish(i, mx.update_theta(statistics, sizes, beta), weights)
-            _release(passing)
-            if not kept:
-                log.forget(i)
+            theta = mx.update_theta(statistics, sizes, beta)
+            if log:
+                theta = log.finish(i, theta, weights)
+                continue
+            passing.append(statistics)
+            if joined and i < iterations:
+                theta = stage(theta, "theta")
+                passing.append(theta)
+        if not log:
+            theta = stage(theta, "theta")
     finally:
         _release(passing)
         _release(scratch)
         if layout:
             layout.drop()
-    return Model(theta, weights, domain, log if kept else None)
+    return Model(theta, weights, domain, log)
 
 
 def posterior(

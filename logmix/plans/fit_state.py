@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmix.operators import mixture as mx
-from logmix.storage import delete, exists
+from logmix.storage import exists
 
 _KINDS = ("statistics", "theta", "prior")
 
@@ -63,12 +63,6 @@ class FitState:
         statistics, theta, prior = (self.spark.read.parquet(self._path(kind, i)) for kind in _KINDS)
         return statistics, theta, [r["p"] for r in prior.orderBy("k").collect()]  # one row per cluster
 
-    def forget(self, i: int) -> None:
-        """Delete what iteration ``i`` has replaced, and its own statistics."""
-        for kind in _KINDS:
-            delete(self.spark, self._path(kind, i - 1))
-        delete(self.spark, self._path("statistics", i))
-
     def table(self) -> DataFrame:
         """``(iter, feature_id, value_id, k, n, p)`` of all iterations; the prior stands as feature -1, without statistics."""
         statistics, theta, prior = (self.spark.read.parquet(f"{self.folder}/{kind}") for kind in _KINDS)

@@ -195,6 +195,13 @@ def test_input_splits_are_kept(spark):
     assert _merged(table, 3, sizes, {0, 1}, 10_000)[0].rdd.getNumPartitions() == 3
 
 
+@pytest.mark.parametrize("tasks", [None, 1, 20])
+def test_a_stored_input_is_left_alone(spark, data, tasks):
+    table = stage(data, "given")
+    spread, plain = fit(table, COLUMNS, 2, 1, seed=1, stored=True, collapse=False, tasks=tasks), fit(data, COLUMNS, 2, 1, seed=1)
+    assert table.count() == len(DATA) and spread.prior == pytest.approx(plain.prior)
+
+
 class Stopped(Exception):
     pass
 

@@ -367,3 +367,4 @@ ORACLES["logreg_train"] = (
     + " "
     + " UNION ALL ".join(f"SELECT {j} AS i, {rounded(f'w{j}', 'w')} FROM w3" for j in range(5))
 )
+ORACLES["nb_train_resumed"] = ORACLES["nb_train_soft"]

@@ -379,6 +379,14 @@ def nb_trace(spark, sf_dir):
     return trace.withColumn("n", rounded("n")).withColumn("p", rounded("p"))
 
 
+@query
+def nb_train_resumed(spark, sf_dir):
+    """Three iterations in two runs: the second goes on from what the first has stored."""
+    state = new_folder(spark, "state")
+    fit_lineitem(spark, sf_dir, 2, state=state)
+    return _model_table(fit_lineitem(spark, sf_dir, 3, state=state))
+
+
 @query
 def nb_score(spark, sf_dir):
     """Two soft iterations on parts, then the probabilities of every part."""
