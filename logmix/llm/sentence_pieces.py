@@ -21,13 +21,13 @@ are encoded alike; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +36,10 @@ from logmix.llm.store import BlobStore, build_blobs
 
 BLANK = "▁"
 LONGEST = 60  # the places of a word are bits of a number
-_WORD = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
-_FLUSH_WORDS = 60_000
+_BLANK_BYTES = tuple(BLANK.encode())
+_SLICE_BYTES = 1 << 20
+_SEEN_WORDS = 500_000  # that a task remembers to have sent
 _PARTS = 4  # times the shuffle partitions: each word makes dozens of rows
-_CACHED_WORDS = 150_000
 _UNKNOWN_PENALTY = 10.0
 UNIGRAM, BPE = 1, 2
 
@@ -114,53 +114,129 @@ def load(path: str) -> Pieces:
     return Pieces(kind, ids, scores, byte_ids, sp.unk_id(), surface)
 
 
-def _spelled(text: str) -> str:
-    return BLANK + text.replace(" ", BLANK) if text else ""
+def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The given spans one behind the other, and their bounds."""
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    return data[np.repeat(starts - bounds[:-1], sizes) + np.arange(bounds[-1])], bounds
+
+
+@dataclass(frozen=True)
+class Words:
+    """The words of a slice of texts, with each blank as one byte 0x20: bytes, spans and hashes; ``texts`` bounds each text's."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    hashes: np.ndarray
+    texts: np.ndarray
+
+    def text(self, k: int) -> str:
+        return self.data[self.starts[k] : self.starts[k] + self.sizes[k]].tobytes().decode().replace(" ", BLANK)
+
+
+def cut_words(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Cut texts (UTF-8 bytes, end to end) into words; a non-empty text gets a blank in front."""
+    first, second, third = _BLANK_BYTES
+    marks = np.flatnonzero((data[:-2] == first) & (data[1:-1] == second) & (data[2:] == third)) if len(data) > 2 else np.zeros(0, int)
+    if len(marks):  # the sign for a blank, in a text, is a blank
+        keep = np.ones(len(data), bool)
+        keep[marks + 1] = keep[marks + 2] = False
+        data = data.copy()
+        data[marks] = 32
+        offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
+        data = data[keep]
+    filled = np.diff(offsets) > 0
+    data = np.insert(data, offsets[:-1][filled], 32)
+    offsets = offsets + np.concatenate([[0], np.cumsum(filled)])
+    blank, end = data == 32, data == 10
+    # A line end is a word; others begin at a text, behind a line end, and at the first of a run of blanks.
+    begins = end | blank
+    begins[1:] &= end[1:] | ~blank[:-1]
+    begins[1:] |= end[:-1]
+    begins[offsets[:-1][filled]] = True
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], len(data))
+    hashes = bt.span_hash(bt.prefix_hash(data, bt._BYTES), starts, ends) if len(data) else np.zeros(0, np.uint64)
+    return Words(data, starts, ends - starts, hashes, np.searchsorted(starts, offsets))
 
 
 def _words_of(texts: DataFrame) -> DataFrame:
-    """Distinct words (of bounded length) of the column ``_text``, in more partitions than their few bytes would ask for."""
+    """``(word, key)``: distinct words (of bounded length) of the column ``_text`` and their hashes, in more partitions than
+    their few bytes would ask for."""
     parts = _PARTS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def cut(batches):
-        found: set[str] = set()
+        sent = np.zeros(0, np.uint64)
         for batch in batches:
-            for text in batch.column("_text"):
-                found.update(_WORD.findall(_spelled(text.as_py() or "")))
-                if len(found) > _FLUSH_WORDS:
-                    yield pa.record_batch([pa.array([w for w in found if len(w) <= LONGEST], pa.string())], ["word"])
-                    found = set()
-        yield pa.record_batch([pa.array([w for w in found if len(w) <= LONGEST], pa.string())], ["word"])
+            data, offsets = bt.raw_texts(batch.column("_text"))
+            for a, b in bt.slices(offsets, _SLICE_BYTES):
+                words = cut_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                keys, at = np.unique(words.hashes, return_index=True)
+                fresh = np.isin(keys, sent, invert=True)
+                keys, at = keys[fresh], at[fresh]
+                sent = np.union1d(sent, keys) if len(sent) < _SEEN_WORDS else keys
+                letters = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
+                short = letters[words.starts[at] + words.sizes[at]] - letters[words.starts[at]] <= LONGEST
+                keys, at = keys[short], at[short]
+                raw, bounds = _gather(words.data, words.starts[at], words.sizes[at])
+                text = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([text, pa.array(keys.view(np.int64))], ["word", "key"])
+
+    found = texts.mapInArrow(cut, "word string, key long").repartition(parts, "word").distinct()
+    return found.select(F.translate("word", " ", BLANK).alias("word"), "key")
+
+
+# A BPE edge is one number: rank, start, end and id, from the highest bits. So edges sort by rank, then from the left.
+_RANK_AT, _START_AT, _END_AT, _ID_BITS = 40, 32, 24, 24
+
+
+def _start(edge: Column) -> Column:
+    return F.shiftright(edge, _START_AT).bitwiseAND(F.lit(255)).cast("int")
+
+
+def _end(edge: Column) -> Column:
+    return F.shiftright(edge, _END_AT).bitwiseAND(F.lit(255)).cast("int")
+
 
-    return texts.mapInArrow(cut, "word string").repartition(parts, "word").distinct()
+def _id(number: Column) -> Column:
+    return number.bitwiseAND(F.lit((1 << _ID_BITS) - 1)).cast("int")
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
+
+def _bits(start: Column, end: Column) -> tuple[Column, Column]:
+    """An edge's two bounds, and the places between, as bits."""
+    return _bit(start).bitwiseOR(_bit(end)), _bit(end) - _bit(start + 1)
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``(word, edges)``: the pieces in each word, best-scored first, then from the left.
+    """``(word, key, edges)``: the pieces in each word. For a BPE model an edge is a packed number, best-scored first; for a
+    unigram model it has start, end, score and id.
 
-    An edge has rank, start, end, score and id, and as bits its two bounds (``ends``) and the places between (``inside``).
     Characters are counted from 0. A word without any piece has no row.
     """
     ranks = {score: k for k, score in enumerate(sorted(set(pieces.scores.values()), reverse=True))}
     rows = [(p, i, pieces.scores[p], ranks[pieces.scores[p]]) for p, i in pieces.ids.items()]
-    table = words.sparkSession.createDataFrame(rows, "known string, id int, score float, rank int")
+    table = words.sparkSession.createDataFrame(rows, "known string, id long, score float, rank long")
     # A hash is a shorter key than text; the texts are compared where the hashes agree.
     table = table.withColumn("hash", F.xxhash64("known"))
     n = F.length("word")
-    starts = words.where(n > 0).select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    starts = words.where(n > 0).select("word", "key", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
     reach = F.least(F.lit(pieces.longest), n - F.col("start"))
-    sizes = starts.select("word", "start", F.explode(F.sequence(F.lit(1), reach)).alias("size"))
+    sizes = starts.select("word", "key", "start", F.explode(F.sequence(F.lit(1), reach)).alias("size"))
     parts = sizes.withColumn("piece", F.substring(F.col("word"), F.col("start") + 1, F.col("size")))
     parts = parts.withColumn("hash", F.xxhash64("piece"))
     # The vocabulary bounds the table of pieces.
     joined = parts.join(F.broadcast(table), (parts["hash"] == table["hash"]) & (F.col("piece") == F.col("known")))
-    end, one = F.col("start") + F.col("size"), F.lit(1).cast("long")
-    bit = lambda place: F.call_function("shiftleft", one, place)
-    edge = F.struct(
-        "rank", "start", end.alias("end"), "score", "id",
-        bit(F.col("start")).bitwiseOR(bit(end)).alias("ends"), (bit(end) - bit(F.col("start") + 1)).alias("inside"),
-    )
-    return joined.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    end = F.col("start") + F.col("size")
+    if pieces.kind == UNIGRAM:
+        edge = F.struct("start", end.alias("end"), "score", F.col("id").cast("int").alias("id"))
+    else:
+        fields = (("rank", _RANK_AT), ("start", _START_AT), (end, _END_AT), ("id", 0))
+        edge = reduce(Column.bitwiseOR, [F.shiftleft((F.col(c) if isinstance(c, str) else c).cast("long"), n) for c, n in fields])
+    return joined.groupBy("word", "key").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def _viterbi(word: Column, edges: Column, unknown: float) -> Column:
@@ -192,7 +268,8 @@ def _merges(word: Column, edges: Column) -> Column:
     A pair can be merged if both ends of an edge are bounds and just one lies inside; each step takes that one out for the
     first such edge in order of rank and place. A state without a pair left is negative and stays.
     """
-    several = F.filter(edges, lambda e: e["inside"] != 0)
+    several = F.filter(edges, lambda e: _end(e) - _start(e) > 1)
+    masks = F.transform(several, lambda e: F.struct(*[c.alias(n) for c, n in zip(_bits(_start(e), _end(e)), ("ends", "inside"))]))
 
     def step(state: Column, own: Column) -> Column:
         fits = F.filter(own, lambda e: (state.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(state.bitwiseAND(e["inside"])) == 1))
@@ -201,40 +278,46 @@ def _merges(word: Column, edges: Column) -> Column:
 
     zero = F.expr("shiftleft(1L, length(word) + 1) - 1L")
     merge = lambda own: F.aggregate(F.sequence(F.lit(1), F.length(word)), zero, lambda s, _: step(s, own), F.abs)
-    return F.transform(F.array(several), merge)[0]
+    return F.transform(F.array(masks), merge)[0]
 
 
 def fold(edges: DataFrame, pieces: Pieces) -> DataFrame:
-    """``(word, ids)`` from the lattice."""
+    """``(key, ids)`` from the lattice."""
     if pieces.kind == UNIGRAM:
         places = _viterbi(F.col("word"), F.col("edges"), pieces.unknown_score)
-        bits = F.aggregate(places, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
+        bits = F.aggregate(places, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(_bit(b)))
+        start, end, number = (lambda e: e["start"]), (lambda e: e["end"]), (lambda e: e["id"])
     else:
         bits = _merges(F.col("word"), F.col("edges"))
-    cut = edges.select("word", "edges", bits.alias("bits"))
-    on_path = F.filter("edges", lambda e: (F.col("bits").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("bits").bitwiseAND(e["inside"]) == 0))
-    # The pieces on the path, in their order in the word.
-    path = F.sort_array(F.transform(on_path, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"))))
-    cut = cut.select("word", "bits", path.alias("path"))
+        start, end, number = _start, _end, _id
+    cut = edges.select("word", "key", "edges", bits.alias("bits"))
 
-    def spelled(start: Column) -> Column:
+    def on_path(edge: Column) -> Column:
+        ends, inside = _bits(start(edge), end(edge))
+        return (F.col("bits").bitwiseAND(ends) == ends) & (F.col("bits").bitwiseAND(inside) == 0)
+
+    # The pieces on the path, in their order in the word: start and id in one number.
+    placed = lambda e: F.shiftleft(start(e).cast("long"), _ID_BITS).bitwiseOR(number(e).cast("long"))
+    cut = cut.select("word", "key", "bits", F.sort_array(F.transform(F.filter("edges", on_path), placed)).alias("path"))
+
+    def spelled(place: Column) -> Column:
         """The id of the piece at a place, or those of an unknown character."""
-        own = F.filter("path", lambda e: e["start"] == start)
+        own = F.filter("path", lambda e: F.shiftright(e, _ID_BITS).cast("int") == place)
         if not pieces.byte_ids:
-            return F.array(F.coalesce(F.get(own, F.lit(0))["id"], F.lit(pieces.unknown)))
-        digits = F.hex(F.encode(F.substring(F.col("word"), start + 1, F.lit(1)), "UTF-8"))
+            return F.array(F.coalesce(_id(F.get(own, F.lit(0))), F.lit(pieces.unknown)))
+        digits = F.hex(F.encode(F.substring(F.col("word"), place + 1, F.lit(1)), "UTF-8"))
         byte_ids = F.array(*map(F.lit, pieces.byte_ids))
         as_bytes = F.transform(
             F.sequence(F.lit(0), (F.length(digits) / 2 - 1).cast("int")),
             lambda k: byte_ids[F.conv(F.substring(digits, k * 2 + 1, F.lit(2)), 16, 10).cast("int")],
         )
-        return F.when(F.size(own) > 0, F.transform(own, lambda e: e["id"])).otherwise(as_bytes)
+        return F.when(F.size(own) > 0, F.transform(own, _id)).otherwise(as_bytes)
 
-    is_bound = lambda i: F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0
+    is_bound = lambda i: F.col("bits").bitwiseAND(_bit(i)) != 0
     starts = F.filter(F.sequence(F.lit(0), F.length("word") - 1), is_bound)
     whole = F.size("path") == F.bit_count("bits") - 1
-    ids = F.when(whole, F.transform("path", lambda e: e["id"])).otherwise(F.flatten(F.transform(starts, spelled)))
-    return cut.select("word", ids.alias("ids"))
+    ids = F.when(whole, F.transform("path", _id)).otherwise(F.flatten(F.transform(starts, spelled)))
+    return cut.select("key", ids.alias("ids"))
 
 
 def fold_long(word: str, pieces: Pieces) -> list[int]:
@@ -283,27 +366,22 @@ def fold_long(word: str, pieces: Pieces) -> list[int]:
     return out
 
 
-_known: dict[str, dict[str, bytes]] = {}
-
-
-def _encoded(texts: list[str], store: BlobStore, pieces: Pieces) -> list[bytes]:
-    """The ids of each text, as 32-bit numbers."""
-    known = _known.setdefault(store.index.folder, {})
-    if len(known) > _CACHED_WORDS:
-        known.clear()
-    cut = [_WORD.findall(_spelled(t)) for t in texts]
-    here = set().union(*cut)
-    new = list(here.difference(known))
-    short = [w for w in new if len(w) <= LONGEST]
-    keys = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in short], np.uint64)
-    for word, ids in zip(short, store.get(keys), strict=True):
-        known[word] = ids
-    for word in new:
-        if known.get(word) is None:
-            known[word] = np.array(fold_long(word, pieces), "<i4").tobytes()
-    # A small table of the words at hand is faster to look up than all known ones.
-    own = {w: known[w] for w in here}.__getitem__
-    return [b"".join(map(own, words)) for words in cut]
+def _encoded(words: Words, store: BlobStore, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a slice of texts, and their bounds by text."""
+    keys, at, own = np.unique(words.hashes, return_index=True, return_inverse=True)
+    raw, sizes = store.get_arrays(keys)
+    known, sizes = raw.view("<i4"), sizes // 4
+    missing = np.flatnonzero(sizes < 0)
+    sizes[missing] = 0
+    starts = np.cumsum(sizes) - sizes
+    if len(missing):
+        # Long words, and those without any piece.
+        made = [np.array(fold_long(words.text(k), pieces), "<i4") for k in at[missing]]
+        sizes[missing] = list(map(len, made))
+        starts[missing] = len(known) + np.cumsum(sizes[missing]) - sizes[missing]
+        known = np.concatenate([known, *made])
+    ids, bounds = _gather(known, starts[own], sizes[own])
+    return ids, bounds[words.texts]
 
 
 def encode(docs: DataFrame, text: str, keep: Sequence[str], model: str, pieces: Pieces | None = None) -> DataFrame:
@@ -313,21 +391,17 @@ def encode(docs: DataFrame, text: str, keep: Sequence[str], model: str, pieces:
     own = text if text in keep else "_text"
     rows = docs.select(*keep, *([] if text in keep else [F.col(text).alias("_text")]))
     words = _words_of(rows.select(F.col(own).alias("_text")))
-    number = F.transform("ids", lambda i: F.substring(F.hex(i.cast("long") + F.lit(1 << 32)), 2, 8))
-    little = F.transform(number, lambda h: F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)]))
-    table = fold(lattice(words, pieces), pieces)
-    store = build_blobs(table.select(F.xxhash64("word").alias("key"), F.unhex(F.concat_ws("", little)).alias("value")), "key", "value", "words")
+    store = build_blobs(fold(lattice(words, pieces), pieces), "key", "ids", "words")
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.select(*keep).dtypes)
 
     def run(batches):
         for batch in batches:
-            _, offsets = bt.raw_texts(batch.column(own))
-            for a, b in bt.slices(offsets):
+            data, offsets = bt.raw_texts(batch.column(own))
+            for a, b in bt.slices(offsets, _SLICE_BYTES):
                 part = batch.slice(a, b - a)
-                made = _encoded([t or "" for t in part.column(own).to_pylist()], store, pieces)
-                ends = np.cumsum([0, *(len(m) // 4 for m in made)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(made), "<i4")))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids], [*keep, "ids"])
+                ids, bounds = _encoded(cut_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), store, pieces)
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists], [*keep, "ids"])
 
     return rows.mapInArrow(run, f"{schema}, ids array<int>")
 
@@ -337,14 +411,33 @@ def decode(rows: DataFrame, ids: str, keep: Sequence[str], model: str, pieces: P
     pieces = pieces or load(model)
     rows = rows.select(*keep, F.col(ids).alias("_ids"))
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("_ids").dtypes)
-    surface = pieces.surface
+    surface = np.frombuffer(b"".join(pieces.surface), np.uint8)
+    sizes = np.array(list(map(len, pieces.surface)))
+    places = np.cumsum(sizes) - sizes
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for own in batch.column("_ids"):
-                raw = b"".join(map(surface.__getitem__, own.values.to_pylist() if own.is_valid else ()))
-                texts.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
+            lists = batch.column("_ids")
+            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            flat, before = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(counts)])
+            for a, b in bt.slices(before, _SLICE_BYTES // 4):
+                here = flat[before[a] : before[b]]
+                if len(here) and (here.min() < 0 or here.max() >= len(sizes)):
+                    raise ValueError("an id that the model does not have")
+                data, bounds = _gather(surface, places[here], sizes[here])
+                bounds = bounds[before[a : b + 1] - before[a]]
+                # The blank in front of a text goes.
+                opened = bounds[:-1][np.diff(bounds) > 0]
+                opened = opened[data[opened] == 32]
+                gone = np.zeros(len(data) + 1, np.int64)
+                gone[opened + 1] = 1
+                data, bounds = np.delete(data, opened), bounds - np.cumsum(gone)[bounds]
+                raw = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
+                try:
+                    texts = raw.cast(pa.string())
+                except pa.ArrowInvalid:  # bytes that are no text
+                    texts = pa.array([t.decode("utf-8", "replace") for t in raw.to_pylist()], pa.string())
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), texts], [*keep, "text"])
 
     return rows.mapInArrow(run, f"{schema}, text string")

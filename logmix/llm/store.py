@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,25 +163,41 @@ class BlobStore:
     def __init__(self, index: Store, data: dict[int, str]):
         self.index, self.data = index, data
 
-    def get(self, keys: np.ndarray) -> list[bytes | None]:
-        """The bytes of each key (any order)."""
+    def get_arrays(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of distinct keys end to end, in their order, and the size of each; -1 where there is none."""
         scrambled = mix(keys.view(np.uint64))
-        wanted, back = np.unique(scrambled, return_inverse=True)
-        start, end = self.index.lookup(wanted, [-1, -1])
-        shards = shard_of(wanted, self.index.shards)
-        views = {}
-        for shard in np.unique(shards[start >= 0]).tolist():
-            place = (self.index.folder, self.data[shard])
-            if place not in _mapped:
-                _mapped[place] = [map_file(*place)]
-            views[shard] = memoryview(_mapped[place][0])
-        spans = zip(shards.tolist(), start.tolist(), end.tolist())
-        found = [None if a < 0 else bytes(views[shard][a:b]) for shard, a, b in spans]
-        return [found[i] for i in back.tolist()]
+        order = np.argsort(scrambled)
+        start, end = self.index.lookup(scrambled[order], [-1, -1])
+        sizes = np.full(len(keys), -1, np.int64)
+        sizes[order] = np.where(start < 0, -1, end - start)
+        held = np.maximum(sizes, 0)
+        bounds = np.concatenate([[0], np.cumsum(held)])
+        out = np.zeros(bounds[-1], np.uint8)
+        shards = shard_bounds(scrambled[order], self.index.shards)
+        for k in np.flatnonzero(np.diff(shards)):
+            found = np.arange(shards[k], shards[k + 1])
+            found = found[start[found] >= 0]
+            if len(found):
+                place = (self.index.folder, self.data[int(k)])
+                if place not in _mapped:
+                    _mapped[place] = [map_file(*place)]
+                own = held[order[found]]
+                step = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+                out[np.repeat(bounds[order[found]], own) + step] = _mapped[place][0][np.repeat(start[found], own) + step]
+        return out, sizes
+
+
+def _as_bytes(values: pa.Array) -> pa.Array:
+    """Lists of 32-bit numbers as bytes; other arrays stay."""
+    if not pa.types.is_list(values.type):
+        return values
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(values).to_numpy(zero_copy_only=False))]) * 4
+    raw = values.flatten().to_numpy(zero_copy_only=False).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(raw)])
 
 
 def build_blobs(table: DataFrame, key: str, value: str, label: str) -> BlobStore:
-    """A store of a binary column by a long key. Of rows with one key, one is kept."""
+    """A store of a column of bytes, or of lists of 32-bit numbers, by a long key. Of rows with one key, one is kept."""
     spark = table.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = new_folder(spark, label)
@@ -188,7 +205,8 @@ def build_blobs(table: DataFrame, key: str, value: str, label: str) -> BlobStore
     def place(batches):
         for batch in batches:
             keys = mix(batch.column(0).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of(keys, shards)), *batch.columns], ["shard", "key", "value"])
+            columns = [pa.array(shard_of(keys, shards)), batch.column(0), _as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "key", "value"])
 
     def write(part: pa.Table) -> pa.Table:
         keys, first = np.unique(mix(part.column("key").to_numpy().view(np.uint64)), return_index=True)
