@@ -38,7 +38,7 @@ BLANK = "▁"
 LONGEST = 60  # the places of a word are bits of a number
 _BLANK_BYTES = tuple(BLANK.encode())
 _SLICE_BYTES = 1 << 20
-_SEEN_WORDS = 500_000  # that a task remembers to have sent
+_SEEN_WORDS = 1_000_000  # that a task remembers to have sent
 _PARTS = 4  # times the shuffle partitions: each word makes dozens of rows
 _UNKNOWN_PENALTY = 10.0
 UNIGRAM, BPE = 1, 2
@@ -182,8 +182,9 @@ def _words_of(texts: DataFrame) -> DataFrame:
                 text = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays([text, pa.array(keys.view(np.int64))], ["word", "key"])
 
-    found = texts.mapInArrow(cut, "word string, key long").repartition(parts, "word").distinct()
-    return found.select(F.translate("word", " ", BLANK).alias("word"), "key")
+    # The partitioning by word holds up to the lattice's groups, so it comes after the last change to the word.
+    found = texts.mapInArrow(cut, "word string, key long").select(F.translate("word", " ", BLANK).alias("word"), "key")
+    return found.repartition(parts, "word").distinct()
 
 
 # A BPE edge is one number: rank, start, end and id, from the highest bits. So edges sort by rank, then from the left.
