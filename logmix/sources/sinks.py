@@ -1,4 +1,4 @@
-"""Writers. Each replaces what was at its path."""
+"""Writers. Each replaces what was at its path, once all that is to take its place is written."""
 
 from __future__ import annotations
 
@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from logmix.functions.vectors import vector_line
 from logmix.plans.clustering import Model
+from logmix.storage import replace
 
 
 def write_lines(df: DataFrame, path: str) -> None:
     """A single string column as text lines."""
-    df.write.mode("overwrite").text(path)
+    replace(df.sparkSession, path, df.write.text)
 
 
 def write_table(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
-    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+    replace(df.sparkSession, path, df.write.partitionBy(*by).parquet)
 
 
 def write_dictionary_text(dictionary: DataFrame, path: str, with_counts: bool = True) -> None:
@@ -26,7 +27,7 @@ def write_dictionary_text(dictionary: DataFrame, path: str, with_counts: bool =
     lines = dictionary.orderBy("feature_id", "value_id").select(
         "feature_id", F.concat_ws("\t", *[F.col(c).cast("string") for c in parts]).alias("value")
     )
-    lines.write.mode("overwrite").partitionBy("feature_id").text(path)
+    replace(dictionary.sparkSession, path, lines.write.partitionBy("feature_id").text)
 
 
 def write_kept(kept: DataFrame, path: str) -> None:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass
@@ -110,6 +110,35 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Let ``write`` fill a folder beside ``path``, then put it in the place of what is there.
+
+    A write that fails leaves the old folder whole. Both renames follow each other at once; where a store's renames are
+    copies, a reader may find no folder in between.
+    """
+    path = path.rstrip("/")
+    name = path.rpartition("/")[2]
+    parent = path[: len(path) - len(name)]
+    # Names that begin with an underscore are hidden from readers of the parent folder.
+    beside, old = (f"{parent}_{name}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    try:
+        write(beside)
+    except BaseException:
+        delete(spark, beside)
+        raise
+    place = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    system = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = system.exists(place(path))
+    if held and not system.rename(place(path), place(old)):
+        delete(spark, beside)
+        raise OSError(f"{path} could not be moved")
+    if not system.rename(place(beside), place(path)):
+        if held:
+            system.rename(place(old), place(path))
+        raise OSError(f"{beside} could not be moved to {path}")
+    delete(spark, old)
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

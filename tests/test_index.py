@@ -205,6 +205,19 @@ def test_files_round_trip(spark, raw, spec, tmp_path):
     assert [r["value"] for r in spark.read.text(f"{tmp_path}/kept").collect()] == ["color 0 look", "size 0 look"]
 
 
+def test_a_failed_write_leaves_the_old_output(spark, tmp_path):
+    out = tmp_path / "out"
+    good = spark.createDataFrame([("old",)], "value string")
+    sinks.write_lines(good, str(out))
+    bad = spark.range(4).select(F.when(F.col("id") == 3, F.raise_error(F.lit("broken"))).otherwise("new").cast("string").alias("value"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_lines(bad, str(out))
+    assert spark.read.text(str(out)).first()[0] == "old" and [p.name for p in tmp_path.iterdir()] == ["out"]
+    # An output may even be made from what it replaces.
+    sinks.write_lines(spark.read.text(str(out)).select(F.upper("value").alias("value")), str(out))
+    assert [r[0] for r in spark.read.text(str(out)).collect()] == ["OLD"] and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
 def test_vector_lines_ignore_extra_ids(spark):
     lines = spark.createDataFrame([("1 -1 3 9",), ("2",), ("-5 0 ",)], "value string")
     assert rows(text.parse_vectors(lines, 3)) == [(1, None, 3), (2, None, None), (None, 0, None)]
