@@ -13,11 +13,13 @@ from logmix.functions.uniform import uniform
 from logmix.plans.clustering import Model, assign, fit, posterior
 from logmix.plans.counting import word_count
 from logmix.plans.extraction import LOG_WIDTH, extract_text
-from logmix.plans.indexing import index_features
+from logmix.plans.growing import grow_index, recode
+from logmix.plans.indexing import encode, index_features
 from logmix.plans.logistic import components, start_weights, train_logistic
 from logmix.sources import sinks
 from logmix.sources.text import (
     LINE,
+    checked_vectors,
     observe_widths,
     odd_widths,
     parse_vectors,
@@ -25,9 +27,11 @@ from logmix.sources.text import (
     read_lines,
     read_numbered_lines,
     read_spec,
+    rejected,
+    sound,
     split_tsv,
 )
-from logmix.storage import delete, scratch, stage
+from logmix.storage import delete, exists, replace, scratch, stage
 
 
 def _positive(**options: int | None) -> None:
@@ -81,6 +85,58 @@ def run_index(
         return [r["name"] for r in result.kept.orderBy("feature_id").collect()]
 
 
+def run_index_part(
+    spark: SparkSession,
+    input: str,
+    output: str,
+    index: str,
+    part: str,
+    partition: int | None = None,
+    max_cutoff: int | None = None,
+    min_cutoff: int = 1,
+    min_exclusive: bool = False,
+    allow_empty: bool = False,
+    **options,
+) -> list[str]:
+    """``run_index`` for file sets that arrive one after the other: only the raw lines of ``input`` are read.
+
+    ``output`` holds ``data/part=<part>`` (ids) for every part so far, ``feature`` and ``feature.dat`` as ``run_index`` writes them, and
+    ``index`` (the values counted so far). Values of the new part are merged in, its lines encoded, and the ids of
+    older parts brought up to date by their old ids. All of it takes the old output's place at once; a job that fails leaves
+    that whole. A part that is there already is an error, and so is a feature that older parts were encoded without.
+    """
+    _positive(partition=partition)
+    with scratch(spark):
+        spec = read_spec(spark, index)
+        width = max((r["pos"] for r in spec.select("pos").collect()), default=-1) + 1  # one row per column
+        raw = split_tsv(read_numbered_lines(spark, input, partition), [f"c{i}" for i in range(width)], LINE)
+        held = exists(spark, f"{output}/index/values")
+        if held and exists(spark, f"{output}/data/part={part}"):
+            raise ValueError(f"part {part} is there already")
+        before = sinks.load_index(spark, f"{output}/index") if held else None
+        after = grow_index(
+            before, raw, spec, min_cutoff, max_cutoff, min_exclusive=min_exclusive, keep=[LINE], allow_empty=allow_empty
+        )
+        fields = after.kept.orderBy("feature_id").collect()  # one row per column
+        columns = [f"f{r['feature_id']}" for r in fields]
+        dictionary = stage(after.dictionary(), "dictionary", by=["feature_id"])
+        rows = encode(raw, [f"c{r['pos']}" for r in fields], dictionary, LINE, row_id=LINE, **options)
+        coded = rows.select(F.lit(part).alias("part"), *columns)
+        if held:
+            lines = spark.read.schema("value string, part string").text(f"{output}/data")
+            old = parse_vectors(lines, before.kept.count(), "part")
+            coded = coded.unionByName(recode(old, before, after, "part", **options))
+
+        def write(folder: str) -> None:
+            sinks.write_vector_parts(coded, columns, f"{folder}/data")
+            sinks.write_dictionary_text(dictionary, f"{folder}/feature")
+            sinks.write_kept(after.kept, f"{folder}/feature.dat")
+            sinks.save_index(after, f"{folder}/index")
+
+        replace(spark, output, write)
+        return [r["name"] for r in fields]
+
+
 def run_cluster(
     spark: SparkSession,
     input: str,
@@ -99,12 +155,16 @@ def run_cluster(
     how: str = "sampled",
     trace: bool = False,
     resume: bool = False,
+    strict: bool = True,
 ) -> Model:
     """Id lines to ``data`` (each line with its score) and ``model``, and with ``trace`` every iteration to ``trace``.
 
     The tables ``statistics``, ``theta`` and ``prior`` in ``trace`` grow by a partition ``iter=<i>`` as each iteration ends. With
     ``resume``, a job that was stopped goes on after the last whole one; without it, an old trace is deleted first.
 
+    A line with a cell that is no 32-bit whole number fails the job. Without ``strict`` such lines are set apart by the pass
+    that reads, written to ``rejected`` with what is wrong with them, and the fit and the scores go over the others.
+
     ``sample`` only chooses the kind of fit: 0 or less is soft, more is hard. ``how`` is the score: a cluster drawn from
     the posterior ("sampled"), the likeliest ("argmax") or the probabilities ("posterior"). The model returned is the
     written one.
@@ -116,7 +176,13 @@ def run_cluster(
         state = f"{output}/trace" if trace or resume else None
         if state and not resume:
             delete(spark, state)
-        rows = stage(parse_vectors(read_numbered_lines(spark, input, partition), feature, LINE), "vectors")
+        lines = read_numbered_lines(spark, input, partition)
+        if strict:
+            rows = stage(parse_vectors(lines, feature, LINE), "vectors")
+        else:
+            checked = stage(checked_vectors(lines, feature, LINE), "vectors")
+            sinks.write_rejected(rejected(checked), f"{output}/rejected")
+            rows = sound(checked)
         columns = [f"f{d}" for d in range(feature)]
         model = fit(
             rows, columns, cluster, iteration, mode="soft" if sample <= 0 else "hard", prior=prior, alpha=alpha, beta=beta,

@@ -46,22 +46,40 @@ def cardinality(counts: DataFrame) -> DataFrame:
     return counts.groupBy("feature_id").agg(F.count("*").alias("v_size"))
 
 
-def approx_cardinality(df: DataFrame, columns: Sequence[str], rsd: float = 0.01) -> DataFrame:
-    """``(feature_id, v_approx)`` with relative standard deviation ``rsd``, in one pass without an unpivot.
+def value_sketches(df: DataFrame, columns: Sequence[str], rsd: float = 0.01, by: Sequence[str] = ()) -> DataFrame:
+    """``(by…, feature_id, sketch)``: a sketch of the distinct values of each column, for each group ``by``.
 
-    One sketch of a bounded size per column travels from each task.
+    One pass without an unpivot; a sketch of a bounded size per group and column travels from each task. Sketches of the same
+    ``rsd`` can be stored and united later (``united_sketches``). A column without values has an empty sketch.
     """
     bits = max(4, math.ceil(2 * math.log2(1.04 / rsd)))
     if bits > 21:
         raise ValueError("rsd must be at least 0.00072")
-    sketches = df.agg(*[F.hll_sketch_agg(c, bits).alias(f"v{i}") for i, c in enumerate(columns)])
-    return sketches.select(
-        F.posexplode(F.array(*[F.hll_sketch_estimate(f"v{i}") for i in range(len(columns))])).alias(
-            "feature_id", "v_approx"
-        )
+    wide = df.groupBy(*by).agg(*[F.hll_sketch_agg(c, bits).alias(f"_sketch{i}") for i, c in enumerate(columns)])
+    return wide.select(
+        *by, F.posexplode(F.array(*[f"_sketch{i}" for i in range(len(columns))])).alias("feature_id", "sketch")
     )
 
 
+def united_sketches(sketches: DataFrame) -> DataFrame:
+    """``(feature_id, sketch)`` over all groups; an error if they were made with different ``rsd``."""
+    return sketches.groupBy("feature_id").agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketched_cardinality(sketches: DataFrame) -> DataFrame:
+    """``(feature_id, v_approx)`` from one sketch per feature.
+
+    A sketch that was never united is estimated by another formula than a united one. Each is united with itself first, so the
+    estimate depends on the values alone, not on how many tasks or parts they came from.
+    """
+    return sketches.select("feature_id", F.hll_sketch_estimate(F.hll_union("sketch", "sketch")).alias("v_approx"))
+
+
+def approx_cardinality(df: DataFrame, columns: Sequence[str], rsd: float = 0.01) -> DataFrame:
+    """``(feature_id, v_approx)`` with relative standard deviation ``rsd``, in one pass."""
+    return sketched_cardinality(value_sketches(df, columns, rsd))
+
+
 def largest_domain(sizes: DataFrame) -> DataFrame:
     return sizes.agg(F.max("v_size").alias("max_v_size"))
 

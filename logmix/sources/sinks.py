@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logmix.functions.vectors import vector_line
 from logmix.plans.clustering import Model
+from logmix.plans.growing import GrowingIndex
 from logmix.storage import replace
 
 
@@ -41,6 +42,12 @@ def write_vectors(encoded: DataFrame, columns: Sequence[str], path: str) -> None
     write_lines(encoded.select(vector_line([F.col(c) for c in columns]).alias("value")), path)
 
 
+def write_vector_parts(encoded: DataFrame, columns: Sequence[str], path: str) -> None:
+    """As ``write_vectors``, in one folder ``part=<part>`` per value of column ``part``."""
+    lines = encoded.select("part", vector_line([F.col(c) for c in columns]).alias("value"))
+    replace(encoded.sparkSession, path, lines.write.partitionBy("part").text)
+
+
 def score_line(columns: Sequence[str], score: str, is_vector: bool):
     """``ids TAB score``: the cluster, or the probabilities joined by spaces."""
     value = F.col(score)
@@ -67,6 +74,26 @@ def load_model(spark: SparkSession, path: str) -> Model:
     )
 
 
+def write_rejected(lines: DataFrame, path: str) -> None:
+    """Lines ``fault TAB line``."""
+    write_lines(lines.select(F.concat_ws("\t", "fault", "line").alias("value")), path)
+
+
+def add_sketches(sketches: DataFrame, path: str, part: str) -> None:
+    """``(feature_id, sketch)`` of one file set beside those of others, as ``part=<part>``; an earlier table of that part goes."""
+    write_table(sketches, f"{path}/part={part}")
+
+
+def save_index(index: GrowingIndex, path: str) -> None:
+    """The values and kept features so far; an index may be saved to the folder it was loaded from."""
+    write_table(index.values, f"{path}/values")
+    write_table(index.kept, f"{path}/kept")
+
+
+def load_index(spark: SparkSession, path: str) -> GrowingIndex:
+    return GrowingIndex(spark.read.parquet(f"{path}/values"), spark.read.parquet(f"{path}/kept"))
+
+
 def trace_table(model: Model) -> DataFrame:
     """``(iter, feature_id, value_id, k, n, p)`` of every iteration of a fit that kept its trace.
 

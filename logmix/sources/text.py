@@ -106,11 +106,77 @@ def read_spec(spark: SparkSession, path: str) -> DataFrame:
     return parse_spec(lines_of(text, "value").withColumnRenamed("line_no", "pos").where("value <> ''"))
 
 
-def parse_vectors(lines: DataFrame, features: int, *keep: str) -> DataFrame:
-    """Integer columns ``f0 …`` from space-separated ids: the first ``features`` of each line, negative = missing."""
+# Texts that are numbers; anything else in a number's place is a fault.
+_WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+_DECIMAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+# Columns of a checked table: what is wrong with a line (NULL: nothing), and the line if something is.
+FAULT, LINE_TEXT = "fault", "line"
+
+
+def _first_fault(cells: Sequence[Column], numbers: Sequence[Column], pattern: str) -> Column:
+    """``<place>: not_a_number`` or ``<place>: out_of_range`` of the first cell that has a text but no number, else NULL."""
+    kind = lambda text: F.when(text.rlike(pattern), "out_of_range").otherwise("not_a_number")
+    return F.coalesce(
+        *[
+            F.when(text.isNotNull() & number.isNull(), F.concat(F.lit(f"{i}: "), kind(text)))
+            for i, (text, number) in enumerate(zip(cells, numbers))
+        ]
+    )
+
+
+def checked_vectors(lines: DataFrame, features: int, *keep: str) -> DataFrame:
+    """``(keep…, f0 …, fault, line)`` from space-separated ids: the first ``features`` of each line, negative = missing.
+
+    A cell that holds something else than a 32-bit whole number is a fault of its line, whatever the session's ANSI setting; its
+    own id is missing then. Missing and empty cells are no fault.
+    """
     parts = F.split("value", " ", -1)
-    ids = [_cell(parts, d).cast("int") for d in range(features)]
-    return lines.select(*keep, *[F.when(v >= 0, v).alias(f"f{d}") for d, v in enumerate(ids)])
+    cells = [_cell(parts, d) for d in range(features)]
+    ids = [c.try_cast("int") for c in cells]
+    fault = _first_fault(cells, ids, _WHOLE)
+    checked = lines.select(*keep, "value", *[F.when(v >= 0, v).alias(f"f{d}") for d, v in enumerate(ids)], fault.alias(FAULT))
+    return _with_line(checked)
+
+
+def checked_labelled(lines: DataFrame, dimensions: int, *keep: str) -> DataFrame:
+    """``(keep…, y double, x array<double>, fault, line)`` from lines ``y x1 x2 …``; tokens beyond ``dimensions`` are ignored.
+
+    A token that is no finite decimal number is a fault, and so is a line of fewer tokens (``too_few_numbers``).
+    """
+    parts = F.split("value", " ", -1)
+    cells = [F.get(parts, F.lit(i)) for i in range(dimensions + 1)]
+    finite = lambda v: F.when(F.abs(v) < F.lit(float("inf")), v)
+    numbers = [F.when(c.rlike(_DECIMAL), finite(c.try_cast("double"))) for c in cells]
+    short = F.when(F.coalesce(F.size(parts), F.lit(0)) <= dimensions, "too_few_numbers")
+    fault = F.coalesce(_first_fault(cells, numbers, _DECIMAL), short)
+    checked = lines.select(*keep, "value", numbers[0].alias("y"), F.array(*numbers[1:]).alias("x"), fault.alias(FAULT))
+    return _with_line(checked)
+
+
+def _with_line(checked: DataFrame) -> DataFrame:
+    kept = [c for c in checked.columns if c != "value"]
+    return checked.select(*kept, F.when(F.col(FAULT).isNotNull(), F.col("value")).alias(LINE_TEXT))
+
+
+def sound(checked: DataFrame) -> DataFrame:
+    """The rows without a fault, as the plain parser returns them."""
+    return checked.where(F.col(FAULT).isNull()).drop(FAULT, LINE_TEXT)
+
+
+def rejected(checked: DataFrame, *keep: str) -> DataFrame:
+    """``(keep…, fault, line)`` of the others."""
+    return checked.where(F.col(FAULT).isNotNull()).select(*keep, FAULT, LINE_TEXT)
+
+
+def _refuse(checked: DataFrame) -> DataFrame:
+    """All rows; a fault ends the job, whatever the ANSI setting."""
+    fine = F.assert_true(F.col(FAULT).isNull(), F.concat_ws(" in line: ", FAULT, LINE_TEXT))
+    return checked.where(fine.isNull()).drop(FAULT, LINE_TEXT)
+
+
+def parse_vectors(lines: DataFrame, features: int, *keep: str) -> DataFrame:
+    """``(keep…, f0 …)`` as by ``checked_vectors``; a line with a fault is an error."""
+    return _refuse(checked_vectors(lines, features, *keep))
 
 
 def read_vectors(spark: SparkSession, path: str | list[str], features: int) -> DataFrame:
@@ -118,12 +184,8 @@ def read_vectors(spark: SparkSession, path: str | list[str], features: int) -> D
 
 
 def parse_labelled(lines: DataFrame, dimensions: int) -> DataFrame:
-    """``(y, x array<double>)`` from lines ``y x1 x2 …``; tokens beyond ``dimensions`` are ignored."""
-    parts = F.split("value", " ", -1)
-    return lines.select(
-        F.get(parts, F.lit(0)).cast("double").alias("y"),
-        F.transform(F.slice(parts, 2, dimensions), lambda t: t.cast("double")).alias("x"),
-    )
+    """``(y, x array<double>)`` as by ``checked_labelled``; a line with a fault is an error."""
+    return _refuse(checked_labelled(lines, dimensions))
 
 
 def read_labelled(spark: SparkSession, path: str | list[str], dimensions: int = 16) -> DataFrame:

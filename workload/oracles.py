@@ -81,6 +81,9 @@ ORACLES["max_cardinality"] = f"WITH {counts_cte()} SELECT max(v_size) AS max_v_s
 ORACLES["approx_feature_cardinality"] = (
     f"WITH {counts_cte()} SELECT feature_id, v_size, true AS within_5_percent FROM sizes"
 )
+ORACLES["approx_cardinality_united"] = f"""
+WITH {counts_cte(LINEITEM_FEATURES[:6] + LINEITEM_FEATURES[7:])}
+SELECT feature_id, v_size, true AS within_5_percent, true AS as_once FROM sizes"""
 ORACLES["cutoff_inclusive"] = f"WITH {counts_cte()} SELECT * FROM sizes WHERE v_size >= 2 AND v_size <= 1000"
 ORACLES["cutoff_exclusive"] = f"WITH {counts_cte()} SELECT * FROM sizes WHERE v_size > 2 AND v_size <= 1000"
 ORACLES["kept_features"] = f"""
@@ -90,6 +93,7 @@ ORACLES["empty_features"] = f"""
 WITH {counts_cte()}
 SELECT pos, name, flag, family FROM {SPEC} WHERE flag = 0 AND pos NOT IN (SELECT feature_id FROM sizes)"""
 ORACLES["value_dictionary"] = f"WITH {LINEITEM_INDEX} SELECT * FROM dict"
+ORACLES["index_grown"] = ORACLES["value_dictionary"]
 ORACLES["value_dictionary_uncapped"] = f"""
 WITH {counts_cte()}
 SELECT feature_id, value, row_number() OVER (PARTITION BY feature_id ORDER BY value) - 1 AS value_id, cnt FROM counts"""
@@ -117,6 +121,7 @@ ORACLES["encode_large_dictionary"] = f"""
 WITH {counts_cte(ORDER_FEATURES, 'orders')},
 dict AS (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY value) - 1 AS value_id FROM counts),
 {encoded_cte(ORDER_FEATURES, 'orders', 'o_orderkey')} SELECT * FROM enc"""
+ORACLES["recode_grown"] = ORACLES["recode_grown_large"] = ORACLES["encode_large_dictionary"]
 ORACLES["encoded_value_counts"] = f"WITH {LINEITEM_INDEX} SELECT feature_id, value_id, cnt FROM dict"
 ORACLES["vector_text"] = f"""
 WITH {PART_ENCODED}
@@ -327,6 +332,20 @@ ORACLES["nb_saved_model_score"] = ORACLES["nb_score"]
 # --- vectors, logistic regression ---
 
 ORACLES["parse_vectors_scan"] = ORACLES["encode_features"]
+ORACLES["vectors_checked"] = """
+WITH cells AS (SELECT CAST(l_linenumber AS VARCHAR) AS c0, CASE l_discount WHEN 0.05 THEN 'x' || CAST(l_quantity AS INTEGER)
+    WHEN 0.02 THEN '' ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS c1,
+  CAST(CAST(l_orderkey AS BIGINT) * 10000000 AS VARCHAR) AS c2 FROM lineitem),
+ids AS (SELECT *, TRY_CAST(c0 AS INTEGER) AS f0, TRY_CAST(nullif(c1, '') AS INTEGER) AS f1, TRY_CAST(c2 AS INTEGER) AS f2,
+  CASE WHEN c1 LIKE 'x%' THEN '1: not_a_number' WHEN f2 IS NULL THEN '2: out_of_range' END AS fault FROM cells)
+SELECT f0, f1, f2, fault, CASE WHEN fault IS NOT NULL THEN concat(c0, ' ', c1, ' ', c2) END AS line FROM ids"""
+ORACLES["labelled_checked"] = f"""
+WITH points AS (SELECT CASE l_returnflag WHEN 'R' THEN 1.0::DOUBLE WHEN 'A' THEN -1.0::DOUBLE END AS y,
+  CAST(l_linenumber AS DOUBLE) AS a, CASE WHEN l_tax <= 0.05 AND l_tax NOT IN (0.03, 0.04) THEN (l_linenumber + 0.5) * 10.0::DOUBLE END AS b,
+  CASE WHEN y IS NULL THEN '0: not_a_number' WHEN l_tax = 0.03 THEN '2: not_a_number' WHEN l_tax = 0.04 THEN '2: out_of_range'
+    WHEN l_tax > 0.05 THEN 'too_few_numbers' END AS fault FROM lineitem)
+SELECT y, fault, count(*) AS n, count(fault) AS lines, {rounded('sum(a)', 'x0')}, {rounded('sum(b)', 'x1')}
+FROM points GROUP BY 1, 2"""
 ORACLES["labelled_scan"] = f"""
 SELECT CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y, count(*) AS n, 3 AS dimensions,
   {rounded('sum(CAST(CAST(l_quantity AS INTEGER) AS DOUBLE))', 'x0')}, {rounded('sum(CAST(l_linenumber AS DOUBLE))', 'x1')},

@@ -15,9 +15,20 @@ from logmix.operators.ranking import rank_ordered
 from logmix.plans import clustering as cl
 from logmix.plans import counting, logistic
 from logmix.plans.extraction import extract_text
+from logmix.plans.growing import GrowingIndex, grow_index, recode
 from logmix.plans.indexing import encode, kept_fields, project_features
 from logmix.sources import sinks
-from logmix.sources.text import observe_widths, parse_labelled, parse_spec, parse_vectors, raw_fields, row_width_audit, split_tsv
+from logmix.sources.text import (
+    checked_labelled,
+    checked_vectors,
+    observe_widths,
+    parse_labelled,
+    parse_spec,
+    parse_vectors,
+    raw_fields,
+    row_width_audit,
+    split_tsv,
+)
 from logmix.storage import new_folder, stage
 from workload import tables as t
 from workload.tables import CLUSTERS, MAX_VALUES, MIN_VALUES, read
@@ -115,6 +126,25 @@ def approx_feature_cardinality(spark, sf_dir):
     )
 
 
+@query
+def approx_cardinality_united(spark, sf_dir):
+    """Sketches of three periods, stored one by one and united, against one pass over all rows and the exact sizes."""
+    folder = new_folder(spark, "sketches")
+    columns = [c for c in t.lineitem_raw(spark, sf_dir).columns if c not in ("empty", "derived")]
+    for part, where in enumerate(t.periods("l_shipdate")):
+        sinks.add_sketches(cells.value_sketches(t.lineitem_raw(spark, sf_dir, where), columns), folder, str(part))
+    raw = t.lineitem_raw(spark, sf_dir)
+    once = cells.united_sketches(cells.value_sketches(raw, columns))
+    sizes = cells.cardinality(cells.value_counts(raw, columns, range(len(columns))))
+    close = F.abs(F.col("v_approx") - F.col("v_size")) <= F.col("v_size") * 0.05
+    return (
+        cells.sketched_cardinality(cells.united_sketches(spark.read.parquet(folder)))
+        .join(cells.sketched_cardinality(once).withColumnRenamed("v_approx", "v_once"), "feature_id")
+        .join(sizes, "feature_id")
+        .select("feature_id", "v_size", close.alias("within_5_percent"), (F.col("v_approx") == F.col("v_once")).alias("as_once"))
+    )
+
+
 @query
 def cutoff_inclusive(spark, sf_dir):
     return cells.within_cutoff(cells.cardinality(_counts(spark, sf_dir)), MIN_VALUES, MAX_VALUES)
@@ -148,9 +178,46 @@ def value_dictionary_uncapped(spark, sf_dir):
     return ranked.select("feature_id", "value", "value_id", "cnt")
 
 
+@query
+def index_grown(spark, sf_dir):
+    """The dictionary of line items that arrive in three periods; each is counted once and merged."""
+    index = None
+    for where in t.periods("l_shipdate"):
+        added = t.lineitem_raw(spark, sf_dir, where)
+        index = grow_index(index, added, t.lineitem_spec(spark), MIN_VALUES, MAX_VALUES, allow_empty=True)
+    return index.dictionary()
+
+
 # --- encoding ---
 
 
+def _orders_in_periods(spark, sf_dir) -> tuple[list[tuple[DataFrame, GrowingIndex]], GrowingIndex]:
+    """Orders of three periods, each encoded with the index as it was then, and the last index."""
+    fields = t.spec(spark, "customer 0 key", "date 0 time", "priority 0 state")
+    index, parts = None, []
+    for where in t.periods("o_orderdate"):
+        added = t.orders_raw(spark, sf_dir, where)
+        index = grow_index(index, added, fields, keep=["o_orderkey"])
+        parts.append((encode(added, ["customer", "date", "priority"], index.dictionary(), "o_orderkey"), index))
+    return parts, index
+
+
+@query
+def recode_grown(spark, sf_dir):
+    """Orders encoded period by period, brought to the ids of the last index without their raw values."""
+    parts, last = _orders_in_periods(spark, sf_dir)
+    first, second, third = [recode(rows, index, last, "o_orderkey") for rows, index in parts]
+    return first.unionByName(second).unionByName(third)
+
+
+@query
+def recode_grown_large(spark, sf_dir):
+    """The same with tables of moved ids too large for a broadcast."""
+    parts, last = _orders_in_periods(spark, sf_dir)
+    first, second, third = [recode(rows, index, last, "o_orderkey", budget=0) for rows, index in parts]
+    return first.unionByName(second).unionByName(third)
+
+
 @query
 def encode_features(spark, sf_dir):
     return t.part_index(spark, sf_dir).encoded
@@ -159,12 +226,7 @@ def encode_features(spark, sf_dir):
 @query
 def encode_large_dictionary(spark, sf_dir):
     """Customer keys, dates and priorities of orders, with dictionaries too large for a broadcast."""
-    raw = read(spark, sf_dir, "orders").select(
-        "o_orderkey",
-        F.col("o_custkey").cast("string").alias("customer"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
-        F.nullif("o_orderpriority", F.lit("5-LOW")).alias("priority"),
-    )
+    raw = t.orders_raw(spark, sf_dir)
     columns = ["customer", "date", "priority"]
     counts = cells.value_counts(raw, columns, [0, 1, 2])
     dictionary = stage(rank_ordered(counts, ["feature_id"], ["value"], "value_id"), "dictionary")
@@ -417,6 +479,28 @@ def parse_vectors_scan(spark, sf_dir):
     return parse_vectors(index.encoded.select("p_partkey", line.alias("value")), len(index.columns), "p_partkey")
 
 
+@query
+def vectors_checked(spark, sf_dir):
+    """Line items as lines of ids with words and too large numbers among them, good and bad lines from one scan."""
+    quantity = F.col("l_quantity").cast("int").cast("string")
+    word = F.when(F.col("l_discount") == 0.05, F.concat(F.lit("x"), quantity)).when(F.col("l_discount") == 0.02, "")
+    large = (F.col("l_orderkey").cast("bigint") * 10_000_000).cast("string")
+    line = F.concat_ws(" ", "l_linenumber", F.coalesce(word, quantity), large)
+    return checked_vectors(read(spark, sf_dir, "lineitem").select(line.alias("value")), 3)
+
+
+@query
+def labelled_checked(spark, sf_dir):
+    """Line items as labelled lines with words, infinite numbers and too few tokens among them, counted by fault."""
+    label = F.when(F.col("l_returnflag") == "R", "1").when(F.col("l_returnflag") == "A", "-1").otherwise("none")
+    tax = F.when(F.col("l_tax") == 0.03, "NaN").when(F.col("l_tax") == 0.04, "1e999").when(F.col("l_tax") > 0.05, None)
+    number = F.col("l_linenumber").cast("string")
+    line = F.concat_ws(" ", label, number, F.coalesce(tax, F.when(F.col("l_tax") <= 0.05, F.concat(number, F.lit(".5e1")))))
+    points = checked_labelled(read(spark, sf_dir, "lineitem").select(line.alias("value")), 2)
+    sums = [rounded(F.sum(F.col("x")[i])).alias(f"x{i}") for i in range(2)]
+    return points.groupBy("y", "fault").agg(F.count("*").alias("n"), F.count("line").alias("lines"), *sums)
+
+
 @query
 def labelled_scan(spark, sf_dir):
     """Line items as labelled lines, parsed back and added up by label."""

@@ -24,10 +24,15 @@ def spec(spark: SparkSession, *lines: str) -> DataFrame:
     return parse_spec(spark.createDataFrame(list(enumerate(lines)), "pos int, value string"))
 
 
-def lineitem_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+# Conditions on a date that cut a table into file sets which arrive one after the other.
+def periods(date: str) -> list[str]:
+    return [f"{date} < '1997-01-01'", f"{date} >= '1997-01-01' AND {date} < '1999-01-01'", f"{date} >= '1999-01-01'"]
+
+
+def lineitem_raw(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     """Nine string columns: five categorical ones (no discount counts as missing), a constant, an empty one, a key, and
     a derived one without values."""
-    return read(spark, sf_dir, "lineitem").select(
+    return read(spark, sf_dir, "lineitem").where(where).select(
         F.col("l_returnflag").alias("returnflag"),
         F.col("l_linestatus").alias("linestatus"),
         F.col("l_linenumber").cast("string").alias("linenumber"),
@@ -91,6 +96,16 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_of(read(spark, sf_dir, "documents"), "text", "doc_id")
 
 
+def orders_raw(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """Key, customer, date and priority; the priority 5-LOW counts as missing."""
+    return read(spark, sf_dir, "orders").where(where).select(
+        "o_orderkey",
+        F.col("o_custkey").cast("string").alias("customer"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
+        F.nullif("o_orderpriority", F.lit("5-LOW")).alias("priority"),
+    )
+
+
 def page_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as lines of a 63-column log: the title, the whole page and its address in the text fields."""
     flat = F.regexp_replace("html", r"\s", " ")
