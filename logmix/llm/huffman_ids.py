@@ -119,10 +119,13 @@ class TextEncoder:
                 continue
             raw = text.encode()
             cut.append((raw.lower() if self.lowers else raw).replace(b"\n", b" ").split(b" "))
-        here = set().union(*(words for words in cut if words))
-        self._learn(list(here.difference(self.known)))
         # A small table of the words at hand is faster to look up than all known ones.
-        known = {w: self.known[w] for w in here}.__getitem__
+        here = set().union(*(words for words in cut if words))
+        table = dict(zip(here, map(self.known.get, here)))
+        if new := [w for w, ids in table.items() if ids is None]:
+            self._learn(new)
+            table.update(zip(new, map(self.known.__getitem__, new)))
+        known = table.__getitem__
         return [self._whole(t) if words is None else b"".join(map(known, words)) for t, words in zip(texts, cut, strict=True)]
 
 
