@@ -72,7 +72,7 @@ def grow_index(
     values = still.where(~F.col("feature_id").isin(again))
     if again:
         open_features = merged.where(F.col("feature_id").isin(again)).drop("value_id")
-        ranked = rank_ordered(open_features, ["feature_id"], ["value"], "value_id")
+        ranked = rank_ordered(open_features, ["feature_id"], ["value"], "value_id", stored=True)
         values = values.unionByName(ranked.select(values.columns))
     return GrowingIndex(stage(values, "grown-values"), spark.createDataFrame(kept, fields.schema))
 

@@ -50,12 +50,15 @@ def kept_fields(spec: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def build_dictionary(counts: DataFrame, kept: DataFrame) -> DataFrame:
-    """Value ids in string order, within each kept feature. ``counts.feature_id`` holds raw positions."""
+    """Value ids in string order, within each kept feature. ``counts.feature_id`` holds raw positions.
+
+    ``counts`` is read twice and should be stored.
+    """
     ids = kept.select(F.col("feature_id").alias("new_id"), "pos")
     known = counts.join(F.broadcast(ids), counts["feature_id"] == ids["pos"]).select(  # one row per column
         F.col("new_id").alias("feature_id"), "value", "cnt"
     )
-    ranked = rank_ordered(known, ["feature_id"], ["value"], "value_id")
+    ranked = rank_ordered(known, ["feature_id"], ["value"], "value_id", stored=True)
     return ranked.select("feature_id", "value", "value_id", "cnt")
 
 

@@ -13,17 +13,26 @@ from logmix.plans.growing import GrowingIndex
 from logmix.storage import replace
 
 
-def write_lines(df: DataFrame, path: str) -> None:
-    """A single string column as text lines."""
-    replace(df.sparkSession, path, df.write.text)
+def _in_parts(df: DataFrame, *parts: str) -> DataFrame:
+    """Rows of one part together, so that a task writes few folders; AQE splits large parts and joins small ones."""
+    return df.hint("rebalance", *parts) if parts else df
+
+
+def write_lines(df: DataFrame, path: str, records_per_file: int | None = None) -> None:
+    """A single string column as text lines, at most ``records_per_file`` of them in a file."""
+    replace(df.sparkSession, path, df.write.option("maxRecordsPerFile", records_per_file or 0).text)
 
 
 def write_table(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
-    replace(df.sparkSession, path, df.write.partitionBy(*by).parquet)
+    """A table, in one folder per value of ``by``."""
+    replace(df.sparkSession, path, _in_parts(df, *by).write.partitionBy(*by).parquet)
 
 
 def write_dictionary_text(dictionary: DataFrame, path: str, with_counts: bool = True) -> None:
-    """Lines ``id TAB value [TAB count]`` in id order, one folder ``feature_id=<i>`` per feature."""
+    """Lines ``id TAB value [TAB count]`` in id order, one folder ``feature_id=<i>`` per feature.
+
+    Sorted by feature, so there are fewer files than tasks and features together.
+    """
     parts = ["value_id", "value", "cnt"] if with_counts else ["value_id", "value"]
     lines = dictionary.orderBy("feature_id", "value_id").select(
         "feature_id", F.concat_ws("\t", *[F.col(c).cast("string") for c in parts]).alias("value")
@@ -37,15 +46,15 @@ def write_kept(kept: DataFrame, path: str) -> None:
     write_lines(kept.orderBy("feature_id").select(line.alias("value")).coalesce(1), path)
 
 
-def write_vectors(encoded: DataFrame, columns: Sequence[str], path: str) -> None:
+def write_vectors(encoded: DataFrame, columns: Sequence[str], path: str, records_per_file: int | None = None) -> None:
     """Encoded rows as space-separated ids, -1 for a missing cell."""
-    write_lines(encoded.select(vector_line([F.col(c) for c in columns]).alias("value")), path)
+    write_lines(encoded.select(vector_line([F.col(c) for c in columns]).alias("value")), path, records_per_file)
 
 
 def write_vector_parts(encoded: DataFrame, columns: Sequence[str], path: str) -> None:
     """As ``write_vectors``, in one folder ``part=<part>`` per value of column ``part``."""
     lines = encoded.select("part", vector_line([F.col(c) for c in columns]).alias("value"))
-    replace(encoded.sparkSession, path, lines.write.partitionBy("part").text)
+    replace(encoded.sparkSession, path, _in_parts(lines, "part").write.partitionBy("part").text)
 
 
 def score_line(columns: Sequence[str], score: str, is_vector: bool):
@@ -56,9 +65,11 @@ def score_line(columns: Sequence[str], score: str, is_vector: bool):
     return F.concat_ws("\t", vector_line([F.col(c) for c in columns]), value.cast("string"))
 
 
-def write_scores(scored: DataFrame, columns: Sequence[str], score: str, path: str) -> None:
+def write_scores(
+    scored: DataFrame, columns: Sequence[str], score: str, path: str, records_per_file: int | None = None
+) -> None:
     is_vector = dict(scored.dtypes)[score].startswith("array")
-    write_lines(scored.select(score_line(columns, score, is_vector).alias("value")), path)
+    write_lines(scored.select(score_line(columns, score, is_vector).alias("value")), path, records_per_file)
 
 
 def save_model(model: Model, path: str) -> None:

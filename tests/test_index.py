@@ -107,6 +107,19 @@ def test_rank_splits_one_giant_group(spark):
     assert [x["r"] for x in sorted(got, key=lambda x: (x["value"], x["id"]))] == list(range(len(got)))
 
 
+def test_ranking_runs_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    lines = spark.range(3000).select("id", F.hash("id").cast("string").alias("value")).mapInPandas(count, "id long, value string")
+    assert line_index(lines, "id").count() == 3000
+    assert seen.value == 3000
+
+
 def test_line_index_numbers_copies(spark):
     lines = spark.createDataFrame([(i, t) for i, t in enumerate(["b", "a", "b", "", "b"])], "id int, value string")
     assert rows(line_index(lines, "id").select("line_id", "value"), "line_id") == [

@@ -101,6 +101,37 @@ def test_jobs_leave_nothing_staged(spark, tmp_path):
     assert staged() == before
 
 
+def files(folder):
+    return [f for f in folder.rglob("part-*") if f.is_file()]
+
+
+def test_outputs_in_parts_are_few_files(spark, tmp_path):
+    """A task does not write a file into every part, and parts of any size stay whole."""
+    rows = spark.range(20_000, numPartitions=20).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 10).cast("string").alias("part"), F.col("id").cast("int").alias("f0")
+    )
+    sinks.write_vector_parts(rows, ["f0"], f"{tmp_path}/parts")
+    sinks.write_table(rows, f"{tmp_path}/table", by=["part"])
+    for name in ("parts", "table"):
+        assert len(list((tmp_path / name).glob("part=*"))) == 10
+        assert len(files(tmp_path / name)) <= 10 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spark.read.text(f"{tmp_path}/parts").where("part = 0").count() == rows.where("part = '0'").count()
+    values = rows.select(
+        F.col("part").cast("int").alias("feature_id"), F.col("f0").cast("string").alias("value"),
+        F.col("f0").alias("value_id"), F.lit(1).alias("cnt"),
+    )
+    sinks.write_dictionary_text(values, f"{tmp_path}/feature")
+    assert len(files(tmp_path / "feature")) < 10 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_records_per_file(spark, tmp_path):
+    rows = spark.range(1000, numPartitions=2).select(F.col("id").cast("int").alias("f0"), F.lit(1).alias("k"))
+    sinks.write_vectors(rows, ["f0"], f"{tmp_path}/v", records_per_file=100)
+    sinks.write_scores(rows, ["f0"], "k", f"{tmp_path}/s", records_per_file=250)
+    assert len(files(tmp_path / "v")) == 10 and len(files(tmp_path / "s")) == 4
+    assert spark.read.text(f"{tmp_path}/v").count() == spark.read.text(f"{tmp_path}/s").count() == 1000
+
+
 def test_examples(spark, tmp_path):
     (tmp_path / "words").write_text("a b\na\n")
     assert {r["word"]: r["cnt"] for r in jobs.run_word_count(spark, f"{tmp_path}/words").collect()} == {"a": 2, "b": 1}
