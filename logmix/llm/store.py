@@ -186,6 +186,14 @@ class BlobStore:
                 out[np.repeat(bounds[order[found]], own) + step] = _mapped[place][0][np.repeat(start[found], own) + step]
         return out, sizes
 
+    def get(self, keys: np.ndarray) -> list[bytes | None]:
+        """The bytes of each key, which may repeat; None where there is none."""
+        distinct, own = np.unique(keys, return_inverse=True)
+        data, sizes = self.get_arrays(distinct)
+        ends = np.cumsum(np.maximum(sizes, 0))
+        found = [data[e - n : e].tobytes() if n >= 0 else None for e, n in zip(ends, sizes)]
+        return [found[k] for k in own]
+
 
 def _as_bytes(values: pa.Array) -> pa.Array:
     """Lists of 32-bit numbers as bytes; other arrays stay."""
