@@ -68,10 +68,9 @@ def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = sentence_pieces.encode(table(spark, sf_dir, "documents"), "text", ["doc_id"], model)
     # Decoding reads the ids alone.
-    decoded = sentence_pieces.decode(encoded, "ids", ["doc_id", "ids"], model)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+    both = sentence_pieces.encode_and_decode(table(spark, sf_dir, "documents"), "text", ["doc_id"], model)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @shipped

@@ -6,7 +6,7 @@ pieces; the edges so found are grouped by word, and a higher-order ``aggregate``
 * for a unigram model by Viterbi: the best sum of scores up to each character (ties: the longest last piece), in 32-bit
   floats and with the score of an unknown character as the library has them;
 * for a BPE model by its merges: the best-scored neighbouring pair whose join is an edge (ties: the leftmost) becomes one, as
-  often as the word has characters. Viterbi doesn't give a BPE model's ids, since it weighs whole sums.
+  often as there is one. Viterbi doesn't give a BPE model's ids, since it weighs whole sums.
 
 Words are cut where no piece can cross: before a run of blanks and around line ends. The pieces of each word are stored as
 sorted hash arrays that tasks map into memory to encode the texts, so texts are never shuffled. A word of more than
@@ -32,12 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logmix.llm import batches as bt
-from logmix.llm.store import BlobStore, build_blobs
+from logmix.llm.store import BlobStore, build_blobs, find
 
 BLANK = "▁"
 LONGEST = 60  # the places of a word are bits of a number
 _BLANK_BYTES = tuple(BLANK.encode())
-_SLICE_BYTES = 1 << 20
+_SLICE_BYTES = bt.SLICE_BYTES
 _SEEN_WORDS = 1_000_000  # that a task remembers to have sent
 _PARTS = 4  # times the shuffle partitions: each word makes dozens of rows
 _UNKNOWN_PENALTY = 10.0
@@ -172,9 +172,9 @@ def _words_of(texts: DataFrame) -> DataFrame:
             for a, b in bt.slices(offsets, _SLICE_BYTES):
                 words = cut_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 keys, at = np.unique(words.hashes, return_index=True)
-                fresh = np.isin(keys, sent, invert=True)
+                fresh = find(sent, keys) < 0
                 keys, at = keys[fresh], at[fresh]
-                sent = np.union1d(sent, keys) if len(sent) < _SEEN_WORDS else keys
+                sent = np.insert(sent, np.searchsorted(sent, keys), keys) if len(sent) < _SEEN_WORDS else keys
                 letters = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
                 short = letters[words.starts[at] + words.sizes[at]] - letters[words.starts[at]] <= LONGEST
                 keys, at = keys[short], at[short]
@@ -187,8 +187,9 @@ def _words_of(texts: DataFrame) -> DataFrame:
     return found.repartition(parts, "word").distinct()
 
 
-# A BPE edge is one number: rank, start, end and id, from the highest bits. So edges sort by rank, then from the left.
-_RANK_AT, _START_AT, _END_AT, _ID_BITS = 40, 32, 24, 24
+# A BPE edge is one number: rank, start, end, whether its piece may be late, and id, from the highest bits. So edges sort by
+# rank, then from the left.
+_RANK_AT, _START_AT, _END_AT, _LATE_AT, _ID_BITS = 40, 32, 24, 23, 23
 
 
 def _start(edge: Column) -> Column:
@@ -212,6 +213,18 @@ def _bits(start: Column, end: Column) -> tuple[Column, Column]:
     return _bit(start).bitwiseOR(_bit(end)), _bit(end) - _bit(start + 1)
 
 
+def _late(pieces: Pieces) -> set[str]:
+    """The pieces that are one part of a piece with no worse a score: once they are merged, that one may come next, although
+    its turn by rank is over."""
+    found = set()
+    for whole, score in pieces.scores.items():
+        for k in range(1, len(whole)):
+            parts = whole[:k], whole[k:]
+            if all(len(x) == 1 or x in pieces.scores for x in parts):
+                found.update(x for x in parts if len(x) > 1 and pieces.scores[x] <= score)
+    return found
+
+
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     """``(word, key, edges)``: the pieces in each word. For a BPE model an edge is a packed number, best-scored first; for a
     unigram model it has start, end, score and id.
@@ -219,8 +232,9 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     Characters are counted from 0. A word without any piece has no row.
     """
     ranks = {score: k for k, score in enumerate(sorted(set(pieces.scores.values()), reverse=True))}
-    rows = [(p, i, pieces.scores[p], ranks[pieces.scores[p]]) for p, i in pieces.ids.items()]
-    table = words.sparkSession.createDataFrame(rows, "known string, id long, score float, rank long")
+    late = _late(pieces) if pieces.kind == BPE else set()
+    rows = [(p, i, pieces.scores[p], ranks[pieces.scores[p]], int(p in late)) for p, i in pieces.ids.items()]
+    table = words.sparkSession.createDataFrame(rows, "known string, id long, score float, rank long, late int")
     # A hash is a shorter key than text; the texts are compared where the hashes agree.
     table = table.withColumn("hash", F.xxhash64("known"))
     n = F.length("word")
@@ -235,7 +249,7 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     if pieces.kind == UNIGRAM:
         edge = F.struct("start", end.alias("end"), "score", F.col("id").cast("int").alias("id"))
     else:
-        fields = (("rank", _RANK_AT), ("start", _START_AT), (end, _END_AT), ("id", 0))
+        fields = (("rank", _RANK_AT), ("start", _START_AT), (end, _END_AT), ("late", _LATE_AT), ("id", 0))
         edge = reduce(Column.bitwiseOR, [F.shiftleft((F.col(c) if isinstance(c, str) else c).cast("long"), n) for c, n in fields])
     return joined.groupBy("word", "key").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
@@ -263,23 +277,28 @@ def _viterbi(word: Column, edges: Column, unknown: float) -> Column:
     return F.transform(F.array(states), back)[0]
 
 
-def _merges(word: Column, edges: Column) -> Column:
+def _merges(word: Column, marks: Column) -> Column:
     """The bounds of the pieces after all merges, one bit each.
 
-    A pair can be merged if both ends of an edge are bounds and just one lies inside; each step takes that one out for the
-    first such edge in order of rank and place. A state without a pair left is negative and stays.
+    A pair can be merged if both ends of an edge are bounds and just one lies inside; a merge takes that one out. One pass over
+    the edges in order of rank and place makes all merges, unless a merge lets an earlier edge in. Only a late piece can; such
+    a word, a negative state, starts again and looks for the first edge that fits in each step.
     """
-    several = F.filter(edges, lambda e: _end(e) - _start(e) > 1)
-    masks = F.transform(several, lambda e: F.struct(*[c.alias(n) for c, n in zip(_bits(_start(e), _end(e)), ("ends", "inside"))]))
+    zero = F.expr("shiftleft(1L, length(word) + 1) - 1L")
+    fits = lambda s, e: (s.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(s.bitwiseAND(e["inside"])) == 1)
+    merged = lambda s, e: s.bitwiseAND(F.bitwise_not(e["inside"]))
 
-    def step(state: Column, own: Column) -> Column:
-        fits = F.filter(own, lambda e: (state.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(state.bitwiseAND(e["inside"])) == 1))
-        first = F.get(fits, F.lit(0))["inside"]
+    def once(state: Column, edge: Column) -> Column:
+        is_late = F.shiftright(edge["edge"], _LATE_AT).bitwiseAND(F.lit(1)) == 1
+        back = is_late & F.exists(marks, lambda e: (e["edge"] < edge["edge"]) & fits(merged(state, edge), e))
+        return F.when((state > 0) & fits(state, edge), F.when(back, F.lit(-1).cast("long")).otherwise(merged(state, edge))).otherwise(state)
+
+    def step(state: Column) -> Column:
+        first = F.get(F.filter(marks, lambda e: fits(state, e)), F.lit(0))["inside"]
         return F.when(state < 0, state).otherwise(F.coalesce(state.bitwiseAND(F.bitwise_not(first)), -state))
 
-    zero = F.expr("shiftleft(1L, length(word) + 1) - 1L")
-    merge = lambda own: F.aggregate(F.sequence(F.lit(1), F.length(word)), zero, lambda s, _: step(s, own), F.abs)
-    return F.transform(F.array(masks), merge)[0]
+    steps = F.aggregate(F.sequence(F.lit(1), F.length(word)), zero, lambda s, _: step(s), F.abs)
+    return F.aggregate(marks, zero, once, lambda s: F.when(s > 0, s).otherwise(steps))
 
 
 def fold(edges: DataFrame, pieces: Pieces) -> DataFrame:
@@ -289,17 +308,23 @@ def fold(edges: DataFrame, pieces: Pieces) -> DataFrame:
         bits = F.aggregate(places, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(_bit(b)))
         start, end, number = (lambda e: e["start"]), (lambda e: e["end"]), (lambda e: e["id"])
     else:
-        bits = _merges(F.col("word"), F.col("edges"))
+        bits = _merges(F.col("word"), F.col("marks"))
         start, end, number = _start, _end, _id
-    cut = edges.select("word", "key", "edges", bits.alias("bits"))
 
-    def on_path(edge: Column) -> Column:
+    def mark(edge: Column) -> Column:
         ends, inside = _bits(start(edge), end(edge))
-        return (F.col("bits").bitwiseAND(ends) == ends) & (F.col("bits").bitwiseAND(inside) == 0)
+        return F.struct(edge.alias("edge"), ends.alias("ends"), inside.alias("inside"))
+
+    # Each edge's bits are made once: this selection's columns are used several times, so it is not merged with the next.
+    marked = edges.select("word", "key", "edges", F.transform("edges", mark).alias("marks"))
+    cut = marked.select("word", "key", "marks", bits.alias("bits"))
+
+    def on_path(mark: Column) -> Column:
+        return (F.col("bits").bitwiseAND(mark["ends"]) == mark["ends"]) & (F.col("bits").bitwiseAND(mark["inside"]) == 0)
 
     # The pieces on the path, in their order in the word: start and id in one number.
-    placed = lambda e: F.shiftleft(start(e).cast("long"), _ID_BITS).bitwiseOR(number(e).cast("long"))
-    cut = cut.select("word", "key", "bits", F.sort_array(F.transform(F.filter("edges", on_path), placed)).alias("path"))
+    placed = lambda m: F.shiftleft(start(m["edge"]).cast("long"), _ID_BITS).bitwiseOR(number(m["edge"]).cast("long"))
+    cut = cut.select("word", "key", "bits", F.sort_array(F.transform(F.filter("marks", on_path), placed)).alias("path"))
 
     def spelled(place: Column) -> Column:
         """The id of the piece at a place, or those of an unknown character."""
@@ -385,40 +410,30 @@ def _encoded(words: Words, store: BlobStore, pieces: Pieces) -> tuple[np.ndarray
     return ids, bounds[words.texts]
 
 
-def encode(docs: DataFrame, text: str, keep: Sequence[str], model: str, pieces: Pieces | None = None) -> DataFrame:
-    """The columns ``keep`` and ``ids array<int>`` of every row."""
-    pieces = pieces or load(model)
-    # A text that is kept anyway travels once.
-    own = text if text in keep else "_text"
-    rows = docs.select(*keep, *([] if text in keep else [F.col(text).alias("_text")]))
-    words = _words_of(rows.select(F.col(own).alias("_text")))
-    store = build_blobs(fold(lattice(words, pieces), pieces), "key", "ids", "words")
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.select(*keep).dtypes)
+def _encoder(store: BlobStore, pieces: Pieces, text: str, keep: Sequence[str]):
+    """What a task does to encode batches."""
 
     def run(batches):
         for batch in batches:
-            data, offsets = bt.raw_texts(batch.column(own))
+            data, offsets = bt.raw_texts(batch.column(text))
             for a, b in bt.slices(offsets, _SLICE_BYTES):
                 part = batch.slice(a, b - a)
                 ids, bounds = _encoded(cut_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), store, pieces)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists], [*keep, "ids"])
 
-    return rows.mapInArrow(run, f"{schema}, ids array<int>")
+    return run
 
 
-def decode(rows: DataFrame, ids: str, keep: Sequence[str], model: str, pieces: Pieces | None = None) -> DataFrame:
-    """The columns ``keep`` and ``text``, what the ids stand for; ids that the model does not have are an error."""
-    pieces = pieces or load(model)
-    rows = rows.select(*keep, F.col(ids).alias("_ids"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("_ids").dtypes)
+def _decoder(pieces: Pieces, ids: str, keep: Sequence[str], text: str):
+    """What a task does to decode batches."""
     surface = np.frombuffer(b"".join(pieces.surface), np.uint8)
     sizes = np.array(list(map(len, pieces.surface)))
     places = np.cumsum(sizes) - sizes
 
     def run(batches):
         for batch in batches:
-            lists = batch.column("_ids")
+            lists = batch.column(ids)
             counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             flat, before = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(counts)])
             for a, b in bt.slices(before, _SLICE_BYTES // 4):
@@ -439,6 +454,45 @@ def decode(rows: DataFrame, ids: str, keep: Sequence[str], model: str, pieces: P
                 except pa.ArrowInvalid:  # bytes that are no text
                     texts = pa.array([t.decode("utf-8", "replace") for t in raw.to_pylist()], pa.string())
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), texts], [*keep, "text"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), texts], [*keep, text])
+
+    return run
+
+
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
 
-    return rows.mapInArrow(run, f"{schema}, text string")
+
+def _prepared(docs: DataFrame, text: str, keep: Sequence[str], pieces: Pieces) -> tuple[DataFrame, str, BlobStore]:
+    """The rows with the columns ``keep`` and their text, the name of its column, and the pieces of all words."""
+    # A text that is kept anyway travels once.
+    own = text if text in keep else "_text"
+    rows = docs.select(*keep, *([] if text in keep else [F.col(text).alias("_text")]))
+    words = _words_of(rows.select(F.col(own).alias("_text")))
+    return rows, own, build_blobs(fold(lattice(words, pieces), pieces), "key", "ids", "words")
+
+
+def encode(docs: DataFrame, text: str, keep: Sequence[str], model: str, pieces: Pieces | None = None) -> DataFrame:
+    """The columns ``keep`` and ``ids array<int>`` of every row."""
+    pieces = pieces or load(model)
+    rows, own, store = _prepared(docs, text, keep, pieces)
+    return rows.mapInArrow(_encoder(store, pieces, own, keep), f"{_ddl(rows.select(*keep))}, ids array<int>")
+
+
+def decode(rows: DataFrame, ids: str, keep: Sequence[str], model: str, pieces: Pieces | None = None) -> DataFrame:
+    """The columns ``keep`` and ``text``, what the ids stand for; ids that the model does not have are an error."""
+    pieces = pieces or load(model)
+    rows = rows.select(*keep, F.col(ids).alias("_ids"))
+    return rows.mapInArrow(_decoder(pieces, "_ids", keep, "text"), f"{_ddl(rows.drop("_ids"))}, text string")
+
+
+def encode_and_decode(docs: DataFrame, text: str, keep: Sequence[str], model: str, pieces: Pieces | None = None) -> DataFrame:
+    """The columns ``keep``, ``ids``, and ``decoded``, as ``decode`` makes it from the ids alone.
+
+    Both run in one Python process for each task, slice by slice; as two steps, a task holds two processes, and all ids cross
+    the JVM between them.
+    """
+    pieces = pieces or load(model)
+    rows, own, store = _prepared(docs, text, keep, pieces)
+    encoder, decoder = _encoder(store, pieces, own, keep), _decoder(pieces, "ids", [*keep, "ids"], "decoded")
+    return rows.mapInArrow(lambda batches: decoder(encoder(batches)), f"{_ddl(rows.select(*keep))}, ids array<int>, decoded string")
