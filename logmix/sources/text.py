@@ -143,13 +143,20 @@ def checked_labelled(lines: DataFrame, dimensions: int, *keep: str) -> DataFrame
 
     A token that is no finite decimal number is a fault, and so is a line of fewer tokens (``too_few_numbers``).
     """
-    parts = F.split("value", " ", -1)
-    cells = [F.get(parts, F.lit(i)) for i in range(dimensions + 1)]
+    # Columns that are used several times, so that a line is split once and a token is matched and cast once: what one selection
+    # makes, the next ones read.
+    tokens = lines.select(*keep, "value", F.split("value", " ", -1).alias("_parts"))
+    # A missing token is no fault of its own.
+    plain = lambda i: F.get("_parts", F.lit(i)).rlike(_DECIMAL)
+    cast = lambda i: F.get("_parts", F.lit(i)).try_cast("double")
     finite = lambda v: F.when(F.abs(v) < F.lit(float("inf")), v)
-    numbers = [F.when(c.rlike(_DECIMAL), finite(c.try_cast("double"))) for c in cells]
-    short = F.when(F.coalesce(F.size(parts), F.lit(0)) <= dimensions, "too_few_numbers")
+    read = [F.when(plain(i), cast(i)).alias(f"_n{i}") for i in range(dimensions + 1)]
+    numbers = [finite(F.col(f"_n{i}")) for i in range(dimensions + 1)]
+    cells = [F.get("_parts", F.lit(i)) for i in range(dimensions + 1)]
+    short = F.when(F.coalesce(F.size("_parts"), F.lit(0)) <= dimensions, "too_few_numbers")
     fault = F.coalesce(_first_fault(cells, numbers, _DECIMAL), short)
-    checked = lines.select(*keep, "value", numbers[0].alias("y"), F.array(*numbers[1:]).alias("x"), fault.alias(FAULT))
+    found = tokens.select(*keep, "value", "_parts", *read)
+    checked = found.select(*keep, "value", numbers[0].alias("y"), F.array(*numbers[1:]).alias("x"), fault.alias(FAULT))
     return _with_line(checked)
 
 
@@ -158,20 +165,30 @@ def _with_line(checked: DataFrame) -> DataFrame:
     return checked.select(*kept, F.when(F.col(FAULT).isNotNull(), F.col("value")).alias(LINE_TEXT))
 
 
+def _where(checked: DataFrame, condition: Column) -> DataFrame:
+    """``checked`` by a condition on its columns.
+
+    Spark would move the filter before the selections that make these columns, and there split the line and match its tokens again for
+    each place that needs them. It does not move one that reads a row number.
+    """
+    rows = checked.withColumn("_row", F.monotonically_increasing_id())
+    return rows.where(condition & (F.col("_row") >= 0)).select(*checked.columns)
+
+
 def sound(checked: DataFrame) -> DataFrame:
     """The rows without a fault, as the plain parser returns them."""
-    return checked.where(F.col(FAULT).isNull()).drop(FAULT, LINE_TEXT)
+    return _where(checked, F.col(FAULT).isNull()).drop(FAULT, LINE_TEXT)
 
 
 def rejected(checked: DataFrame, *keep: str) -> DataFrame:
     """``(keep…, fault, line)`` of the others."""
-    return checked.where(F.col(FAULT).isNotNull()).select(*keep, FAULT, LINE_TEXT)
+    return _where(checked, F.col(FAULT).isNotNull()).select(*keep, FAULT, LINE_TEXT)
 
 
 def _refuse(checked: DataFrame) -> DataFrame:
     """All rows; a fault ends the job, whatever the ANSI setting."""
     fine = F.assert_true(F.col(FAULT).isNull(), F.concat_ws(" in line: ", FAULT, LINE_TEXT))
-    return checked.where(fine.isNull()).drop(FAULT, LINE_TEXT)
+    return _where(checked, fine.isNull()).drop(FAULT, LINE_TEXT)
 
 
 def parse_vectors(lines: DataFrame, features: int, *keep: str) -> DataFrame:
