@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The results depend on these patterns and lists.
-STRONG_PATTERN = r"(?i)(<strong.*?>)(.+?)(</strong>)"
+# A tag that nothing closes takes the rest of its line, which then has no match either, so a line is searched once, not from each tag.
+STRONG_PATTERN = r"(?i)<strong[^>\n\r\u0085\u2028\u2029]*+>(.+?)</strong>|(<strong.*+)"
 TOP_LEVEL_DOMAINS = "com|net|gov|org|edu|co|biz|tv|info"
 PUNCTUATION_PATTERN = r"\p{Punct}"
 DIGITS_PATTERN = r"\d+"
@@ -56,7 +57,7 @@ def unescape_xml(text: Column) -> Column:
 
 def strip_strong(text: Column) -> Column:
     """Drop ``<strong>`` tags and keep what they enclose."""
-    return _replace(text, STRONG_PATTERN, "$2")
+    return _replace(text, STRONG_PATTERN, "$1$2")
 
 
 def strip_www(text: Column) -> Column:
