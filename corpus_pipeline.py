@@ -11,12 +11,17 @@
 
 A null text counts as empty throughout and is empty after stage 3. Repeated rows (same id and text) stay together or go
 together in stages 1 and 2. Columns other than those of ``documents`` are dropped; an empty table gives no rows.
+
+The stages set the session's bytes of an Arrow batch to ``BATCH_BYTES``, unless the caller has set them: a batch of Spark's 10,000
+rows holds up to 64 MB of texts, and a task holds it several times over, in the JVM and in its worker. The setting stays, since a
+stage's result runs later.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import wraps
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +34,24 @@ from logmix.storage import new_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC_FROM = 0.3
+BATCH_BYTES = 2 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 ORACLE_SQL: str | None = None
 
 
+def bounded(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``stage`` with the bytes of an Arrow batch bounded first; the first argument is the session."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, *rest) -> DataFrame:
+        if spark.conf.get(_BATCH_SETTING, None) is None:
+            spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+        return stage(spark, *rest)
+
+    return run
+
+
+@bounded
 @shipped
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 4) != 2)
@@ -40,6 +60,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("score") < TOXIC_FROM).select(*COLUMNS)
 
 
+@bounded
 @shipped
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash_dedup.near_duplicates(docs, "doc_id", "text", minhash_dedup.Settings(shingle=5, percent=80))
@@ -48,6 +69,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(kept, F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("_kept"), "left_semi").select(*COLUMNS)
 
 
+@bounded
 @shipped
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = [c for c in COLUMNS if c not in ("text", "n_chars")]
@@ -57,6 +79,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+@bounded
 @shipped
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_order(mixing.mix(docs, COLUMNS)).select(*COLUMNS)
@@ -73,6 +96,7 @@ def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(offsets), "_file").select(*docs.columns, (F.col("_first") + F.col("_row")).alias("position"))
 
 
+@bounded
 @shipped
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers

@@ -7,7 +7,9 @@ import zlib
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
@@ -269,3 +271,28 @@ def test_pipeline_ends_in_the_order_of_the_schedule(spark, folder):
     assert {r.doc_id: r.position for r in ended.collect()} == plan
     whole = corpus_pipeline.run(spark, folder)
     assert sorted(r.position for r in whole.select("position").collect()) == list(range(whole.count()))
+
+
+def test_pipeline_bounds_the_bytes_of_a_batch(spark):
+    """A caller's own bound stays."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    docs = docs.withColumns({"lang": F.lit("en"), "source": F.lit("a"), "n_chars": F.length("text").cast("long")})
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], ["n"])
+
+    def largest(stage):
+        mixed = stage(spark, docs, GIVEN)
+        assert mixed.count() == 2000
+        return max(r.n for r in docs.select("text").mapInArrow(sizes, "n long").collect())
+
+    try:
+        for _, stage in [s for s in corpus_pipeline.STAGES if s[0] in ("toxicity", "mixing")]:
+            spark.conf.unset(bound)
+            assert largest(stage) < 3 << 20
+        spark.conf.set(bound, "4m")
+        assert largest(stage) > 3 << 20
+    finally:
+        spark.conf.unset(bound)
