@@ -190,6 +190,7 @@ def _words_of(texts: DataFrame) -> DataFrame:
 # A BPE edge is one number: rank, start, end, whether its piece may be late, and id, from the highest bits. So edges sort by
 # rank, then from the left.
 _RANK_AT, _START_AT, _END_AT, _LATE_AT, _ID_BITS = 40, 32, 24, 23, 23
+_PAGE = 8  # bits of a code point within a page of the table of characters
 
 
 def _start(edge: Column) -> Column:
@@ -226,25 +227,28 @@ def _late(pieces: Pieces) -> set[str]:
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``(word, key, edges)``: the pieces in each word. For a BPE model an edge is a packed number, best-scored first; for a
-    unigram model it has start, end, score and id.
+    """``(word, key, edges)``: the pieces in each word. For a BPE model an edge is a packed number, best-scored first, and pieces
+    of one character, which no merge makes, are left out; for a unigram model it has start, end, score and id.
 
-    Characters are counted from 0. A word without any piece has no row.
+    Characters are counted from 0. A word without any edge has no row.
     """
+    least = 2 if pieces.kind == BPE else 1
     ranks = {score: k for k, score in enumerate(sorted(set(pieces.scores.values()), reverse=True))}
     late = _late(pieces) if pieces.kind == BPE else set()
-    rows = [(p, i, pieces.scores[p], ranks[pieces.scores[p]], int(p in late)) for p, i in pieces.ids.items()]
+    rows = [(p, i, pieces.scores[p], ranks[pieces.scores[p]], int(p in late)) for p, i in pieces.ids.items() if len(p) >= least]
     table = words.sparkSession.createDataFrame(rows, "known string, id long, score float, rank long, late int")
-    # A hash is a shorter key than text; the texts are compared where the hashes agree.
-    table = table.withColumn("hash", F.xxhash64("known"))
+    # A hash is a shorter key than text; the texts are compared where the hashes agree. That comparison is no equality of columns,
+    # which would make the text part of the key of the join again.
+    table = table.withColumn("hash", F.xxhash64("known")).withColumn("bytes", F.octet_length("known"))
     n = F.length("word")
-    starts = words.where(n > 0).select("word", "key", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    starts = words.where(n >= least).select("word", "key", F.explode(F.sequence(F.lit(0), n - least)).alias("start"))
     reach = F.least(F.lit(pieces.longest), n - F.col("start"))
-    sizes = starts.select("word", "key", "start", F.explode(F.sequence(F.lit(1), reach)).alias("size"))
+    sizes = starts.select("word", "key", "start", F.explode(F.sequence(F.lit(least), reach)).alias("size"))
     parts = sizes.withColumn("piece", F.substring(F.col("word"), F.col("start") + 1, F.col("size")))
     parts = parts.withColumn("hash", F.xxhash64("piece"))
+    is_known = F.startswith("piece", "known") & (F.octet_length("piece") <= F.col("bytes"))
     # The vocabulary bounds the table of pieces.
-    joined = parts.join(F.broadcast(table), (parts["hash"] == table["hash"]) & (F.col("piece") == F.col("known")))
+    joined = parts.join(F.broadcast(table), (parts["hash"] == table["hash"]) & is_known)
     end = F.col("start") + F.col("size")
     if pieces.kind == UNIGRAM:
         edge = F.struct("start", end.alias("end"), "score", F.col("id").cast("int").alias("id"))
@@ -301,6 +305,19 @@ def _merges(word: Column, marks: Column) -> Column:
     return F.aggregate(marks, zero, once, lambda s: F.when(s > 0, s).otherwise(steps))
 
 
+def _alone(pieces: Pieces, char: Column) -> Column:
+    """The id of a piece of one character; -1 or null if there is none. A table of pages of code points has the ids."""
+    known = {ord(p): i for p, i in pieces.ids.items() if len(p) == 1}
+    pages = sorted({c >> _PAGE for c in known})
+    first = {page: k << _PAGE for k, page in enumerate(pages)}
+    listed = lambda numbers: F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>")
+    places = listed([first.get(page, -(1 << _PAGE)) for page in range(max(pages, default=0) + 1)])
+    ids = listed([known.get((page << _PAGE) + k, -1) for page in pages or [0] for k in range(1 << _PAGE)])
+    code = F.ascii(char)
+    place = F.get(places, F.shiftright(code, _PAGE)) + code.bitwiseAND(F.lit((1 << _PAGE) - 1))
+    return F.get(ids, place)
+
+
 def fold(edges: DataFrame, pieces: Pieces) -> DataFrame:
     """``(key, ids)`` from the lattice."""
     if pieces.kind == UNIGRAM:
@@ -325,6 +342,12 @@ def fold(edges: DataFrame, pieces: Pieces) -> DataFrame:
     # The pieces on the path, in their order in the word: start and id in one number.
     placed = lambda m: F.shiftleft(start(m["edge"]).cast("long"), _ID_BITS).bitwiseOR(number(m["edge"]).cast("long"))
     cut = cut.select("word", "key", "bits", F.sort_array(F.transform(F.filter("marks", on_path), placed)).alias("path"))
+    if pieces.kind == BPE:
+        both = lambda i: F.call_function("shiftright", F.col("bits"), i).bitwiseAND(F.lit(3)) == 3
+        single = lambda i: F.shiftleft(i.cast("long"), _ID_BITS).bitwiseOR(_alone(pieces, F.substring("word", i + 1, F.lit(1))).cast("long"))
+        singles = F.transform(F.filter(F.sequence(F.lit(0), F.length("word") - 1), both), single)
+        known = F.sort_array(F.concat("path", F.filter(singles, lambda x: x >= 0)))
+        cut = cut.withColumn("path", F.when(F.size("path") == F.bit_count("bits") - 1, F.col("path")).otherwise(known))
 
     def spelled(place: Column) -> Column:
         """The id of the piece at a place, or those of an unknown character."""
