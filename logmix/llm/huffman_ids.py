@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmix.llm import batches as bt
+from logmix.llm.store import find
 from logmix.storage import new_folder
 
 LONGEST = 20  # bits of a code
 STRIDE = 512  # ids from one offset to the next
 BLOCK_IDS = 1 << 16  # a block is closed once it holds as many
 _CACHED_WORDS = 1_000_000
+_LETTERS = np.arange(97, 123, dtype=np.uint8)
 _NO_KEY = np.iinfo(np.int64).max
 
 
@@ -41,7 +43,9 @@ class TextEncoder:
     """The ids of whole texts by a file of the tokenizers library, without added special tokens.
 
     ``by_word`` is for tokenizers that drop blanks, so that blank-separated words can be encoded one by one: new words are
-    encoded together, parted by a special token, and kept. A text that spells a special token is encoded as it is.
+    encoded together, parted by a special token, and kept. A text that spells a special token is encoded as it is. Kept words
+    are sorted runs of 64-bit hashes, which are not compared again, with places in one array of ids; all words of a slice of
+    texts are looked up at once.
     """
 
     def __init__(self, path: str, by_word: bool = True):
@@ -63,7 +67,32 @@ class TextEncoder:
             self.is_last[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
         normalizer = self.tokenizer.normalizer
         self.lowers = normalizer is not None and normalizer.normalize_str("AZ") == "az"
-        self.known: dict[bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Runs of sorted hashes, each at least four times as long as the next, with the first id and the number of ids.
+        self.runs: list[tuple[np.ndarray, ...]] = []
+        self.ids = np.zeros(0, self.kind)
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first id of each of some sorted words, -1 where it isn't known, and the number of ids."""
+        first, sizes = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        for known, starts, counts in self.runs:
+            rest = np.flatnonzero(first < 0)
+            at = find(known, keys[rest])
+            hit = at >= 0
+            first[rest[hit]], sizes[rest[hit]] = starts[at[hit]], counts[at[hit]]
+        return first, sizes
+
+    def _keep(self, keys: np.ndarray, made: list[bytes]) -> None:
+        sizes = np.array(list(map(len, made)), np.int64) // self.kind.itemsize
+        run = (keys, len(self.ids) + np.cumsum(sizes) - sizes, sizes)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), self.kind)])
+        while self.runs and 4 * len(run[0]) > len(self.runs[-1][0]):
+            both = [np.concatenate(x) for x in zip(self.runs.pop(), run)]
+            order = np.argsort(both[0], kind="stable")
+            run = tuple(x[order] for x in both)
+        self.runs.append(run)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -82,51 +111,58 @@ class TextEncoder:
             out += [raw[a:b] for a, b in zip([0, *(x + width * self.kind.itemsize for x in at)], at)]
         return out
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Words of letters alone are joined by blanks, as each ends with a marked piece; others by a special token.
-
-        A full stop or comma after letters is a token of its own, so such a word is put together from both.
-        """
-        plain, other, composed = set(), [], []
-        for word in words:
-            text = word.decode()
-            if text.lower().isalpha():
-                plain.add(word)
-            elif text[-1:] in (".", ",") and text[:-1].lower().isalpha():
-                composed.append(word)
-                plain.add(word[:-1])
-                other += [] if word[-1:] in self.known else [word[-1:]]
-            else:
-                other.append(word)
-        plain = [w for w in plain if w not in self.known]
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words. Those of letters alone are joined by blanks, as each ends with a marked piece; others by a special token."""
+        is_plain = [w.decode().lower().isalpha() for w in words]
+        plain = [w for w, x in zip(words, is_plain) if x]
+        other = [w for w, x in zip(words, is_plain) if not x]
         marked = lambda ids: np.flatnonzero(self.is_last[ids]) + 1
         parted = lambda ids: np.append(np.flatnonzero(ids == self.separator_id), len(ids))
-        made = self._cut(plain, 128, " ", marked, 0)
-        self.known.update(zip(plain, made or self._cut(plain, 32, self.separator, parted, 1), strict=True))
-        self.known.update(zip(other, self._cut(other, 32, self.separator, parted, 1), strict=True))
-        for word in composed:
-            self.known[word] = self.known[word[:-1]] + self.known[word[-1:]]
+        made = self._cut(plain, 128, " ", marked, 0) or self._cut(plain, 32, self.separator, parted, 1)
+        of_plain, of_other = iter(made), iter(self._cut(other, 32, self.separator, parted, 1))
+        return [next(of_plain if x else of_other) for x in is_plain]
+
+    def _by_word(self, raw: list[bytes]) -> list[bytes]:
+        """The ids of texts without special tokens, with blanks for line ends."""
+        sizes = np.array(list(map(len, raw)), np.int64)
+        offsets, whole = np.concatenate([[0], np.cumsum(sizes)]), b"".join(raw)
+        data = np.frombuffer(whole, np.uint8)
+        inside = data != 32
+        cut = np.zeros(len(data) + 1, bool)
+        cut[offsets] = True
+        begins, closes = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1] | cut[1:-1]
+        closes[:-1] &= ~inside[1:] | cut[1:-1]
+        # A full stop or comma behind a letter, at the end of a word, is a token of its own.
+        stops = np.flatnonzero(closes & ~begins & ((data == 46) | (data == 44)))
+        stops = stops[np.isin(data[stops - 1] | 32, _LETTERS)]
+        begins[stops] = closes[stops - 1] = True
+        starts, ends = np.flatnonzero(begins), np.flatnonzero(closes) + 1
+        hashes = bt.span_hash(bt.prefix_hash(data, bt._BYTES), starts, ends)
+        keys, at, own = np.unique(hashes, return_index=True, return_inverse=True)
+        if sum(len(r[0]) for r in self.runs) > _CACHED_WORDS:
+            self._forget()
+        first, counts = self._find(keys)
+        if len(new := np.flatnonzero(first < 0)):
+            spans = zip(starts[at[new]].tolist(), ends[at[new]].tolist())
+            self._keep(keys[new], self._learn([whole[a:b] for a, b in spans]))
+            first, counts = self._find(keys)
+        counts = counts[own]
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.ids[np.repeat(first[own] - bounds[:-1], counts) + np.arange(bounds[-1])].tobytes()
+        bounds = (bounds[np.searchsorted(starts, offsets)] * self.kind.itemsize).tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [self._whole(t) for t in texts]
-        if len(self.known) > _CACHED_WORDS:
-            self.known.clear()
-        cut: list[list[bytes] | None] = []
-        for text in texts:
-            if any(s in text for s in self.special):
-                cut.append(None)
-                continue
-            raw = text.encode()
-            cut.append((raw.lower() if self.lowers else raw).replace(b"\n", b" ").split(b" "))
-        # A small table of the words at hand is faster to look up than all known ones.
-        here = set().union(*(words for words in cut if words))
-        table = dict(zip(here, map(self.known.get, here)))
-        if new := [w for w, ids in table.items() if ids is None]:
-            self._learn(new)
-            table.update(zip(new, map(self.known.__getitem__, new)))
-        known = table.__getitem__
-        return [self._whole(t) if words is None else b"".join(map(known, words)) for t, words in zip(texts, cut, strict=True)]
+        raw = [t.encode() for t in texts]
+        raw = [(x.lower() if self.lowers else x).replace(b"\n", b" ") for x in raw]
+        special = [s.encode() for s in self.special]
+        # Lower-casing may spell a special token, too.
+        odd = [any(s in x for s in special) or any(s in t for s in self.special) for x, t in zip(raw, texts)]
+        rest = iter(self._by_word([x for x, is_odd in zip(raw, odd) if not is_odd]))
+        return [self._whole(t) if is_odd else next(rest) for t, is_odd in zip(texts, odd)]
 
 
 _encoders: dict[tuple[str, bool], TextEncoder] = {}
